@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import secrets
+from . import pii, secrets
 
 QUERIES: dict = {
+    "op1_pii": pii.op1_pii,
     "op5_secret_scan": secrets.op5_secret_scan,
 }
 ORACLES: dict = {}

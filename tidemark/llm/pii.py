@@ -21,6 +21,8 @@ SAMPLE_DOCS = 4000
 SKIP_PRIOR, SKIP_SD = 4.5, 1.0
 #: Share of the weak labels that is spread over all labels, so that no unary potential is decisive alone.
 SMOOTHING = 0.2
+#: Chain log potentials stay within this: neighbours hint, they don't decide.
+CHAIN_LIMIT = 0.4
 ROUNDS, DAMPING, TOLERANCE = 30, 0.3, 1e-4
 #: Consecutive mentions further apart than this many characters have no chain edge.
 NEAR = 80
@@ -110,8 +112,8 @@ def mentions(text: str, base: list[tuple[str, int, int]]) -> list[Mention]:
     for m in NUMBER.finditer(text):
         if free(*m.span()):
             x = m[0]
-            dotted = x.replace("_", ".").strip("()+")
-            out.append(Mention(*m.span(), dotted if dotted.count(".") == 3 and re.fullmatch(r"[0-9.]+", dotted) else digits(x), None, shape_of(x)))
+            dotted = re.sub(r"[ ()_-]+", ".", x).strip(".+")
+            out.append(Mention(*m.span(), dotted if re.fullmatch(r"[0-9]{1,3}(\.[0-9]{1,3}){3}", dotted) else digits(x), None, shape_of(x)))
     known = {text[s:e].lower() for k, s, e in base if k == "email"}
     if known:
         for m in SPELT.finditer(text):
@@ -126,7 +128,7 @@ def mentions(text: str, base: list[tuple[str, int, int]]) -> list[Mention]:
 
 
 def similar(nodes: list[Mention]) -> list[tuple[int, int]]:
-    """Skip edges: each mention to the next one with its key, or with a number that ends in the same 8 digits or more."""
+    """Skip edges: each mention to the next one with its key, or with a number that ends in the same 8 digits."""
     last: dict[str, int] = {}
     tails: dict[str, int] = {}
     edges = []
@@ -136,7 +138,7 @@ def similar(nodes: list[Mention]) -> list[tuple[int, int]]:
         last[x.key] = i
         if x.key.isdigit() and len(x.key) >= 8:
             j = tails.get(x.key[-8:])
-            if j is not None and (nodes[j].key.endswith(x.key) or x.key.endswith(nodes[j].key)) and nodes[j].key != x.key:
+            if j is not None and nodes[j].key != x.key and max(len(nodes[j].key), len(x.key)) < 16:
                 edges.append((j, i))
             tails[x.key[-8:]] = i
     return edges
@@ -204,7 +206,7 @@ def learn(docs: list[list[Mention]]) -> Field:
                 if b.start - a.end <= NEAR:
                     counts[a.label or 0, b.label or 0] += 1
         chain = np.log(counts * counts.sum() / (counts.sum(1, keepdims=True) * counts.sum(0, keepdims=True)))
-        chain = np.clip(chain, -1, 1)
+        chain = np.clip(chain, -CHAIN_LIMIT, CHAIN_LIMIT)
     twins = [(d[i], d[j]) for d in docs for i, j in similar(d) if d[i].label is not None and d[j].label is not None]
 
     def score(w: float) -> float:

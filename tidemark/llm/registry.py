@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import pii, secrets
+from . import pii, secrets, tokens
 
 QUERIES: dict = {
     "op1_pii": pii.op1_pii,
     "op5_secret_scan": secrets.op5_secret_scan,
+    "op7_token_counts": tokens.op7_token_counts,
+    "op10_packing": tokens.op10_packing,
 }
 ORACLES: dict = {}

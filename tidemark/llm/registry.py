@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import pii, secrets, tokens
+from . import pii, quality, secrets, tokens
 
 QUERIES: dict = {
     "op1_pii": pii.op1_pii,
     "op5_secret_scan": secrets.op5_secret_scan,
+    "op6_quality": quality.op6_quality,
     "op7_token_counts": tokens.op7_token_counts,
     "op10_packing": tokens.op10_packing,
 }

@@ -26,7 +26,7 @@ CONTEXT = 2048
 END_ID = 1
 LIMIT = 1024
 #: Documents of one block of pre-token frequencies.
-BLOCK_DOCS = 2000
+BLOCK_DOCS = 10_000
 #: Pieces packed together in one group.
 GROUP_PIECES = 4096
 
@@ -75,63 +75,91 @@ def vocabulary(path: str) -> Vocabulary:
     return _LOADED[path]
 
 
-FREQUENCIES = "block string, bucket int, tokens array<string>, ids array<long>, n_bytes array<long>, extra array<long>, ends binary, places binary, counts binary"
+FREQUENCIES = "block string, bucket int, tokens binary, ids array<long>, n_bytes array<long>, extra array<long>, ends binary, places binary, counts binary"
+ARROW_FREQUENCIES = pa.schema([("block", pa.string()), ("bucket", pa.int32()), ("tokens", pa.binary()), ("ids", pa.list_(pa.int64())), ("n_bytes", pa.list_(pa.int64())), ("extra", pa.list_(pa.int64())), ("ends", pa.binary()), ("places", pa.binary()), ("counts", pa.binary())])
+
+
+def packed_ints(x: np.ndarray) -> bytes:
+    """Small integers, compressed by byte planes."""
+    return zlib.compress(x.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+
+
+def unpacked_ints(x: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zlib.decompress(x), np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+
+
+def packed_strings(x: list[bytes]) -> bytes:
+    lengths = np.fromiter(map(len, x), "<u4", len(x))
+    return np.array([len(x)], "<u4").tobytes() + zlib.compress(lengths.tobytes() + b"".join(x), 1)
+
+
+def unpacked_strings(x: bytes) -> list[str]:
+    n, raw = int(np.frombuffer(x[:4], "<u4")[0]), zlib.decompress(x[4:])
+    ends = (4 * n + np.cumsum(np.frombuffer(raw[: 4 * n], "<u4"))).tolist()
+    return [raw[a:b].decode() for a, b in zip([4 * n, *ends], ends, strict=False)]
 
 
 def frequencies(df: DataFrame, path: str, buckets: int, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Per-document pre-token frequencies, by blocks of documents.
 
-    A block has one row with bucket -1: ids, bytes, special tokens, and per document the places and counts of
-    its pre-tokens; and a row for each bucket (hash of the pre-token) with the block's distinct pre-tokens
-    of it. Places number the block's pre-tokens in order of bucket.
+    A block has one row with bucket -1: ids, bytes, special tokens, and per document the places (as steps) and
+    counts of its pre-tokens; and a row for each bucket (hash of the pre-token) with the block's distinct
+    pre-tokens of it. Places number the block's pre-tokens in order of bucket.
     """
 
+    def block(vocab: Vocabulary, keys: list, texts: list[str]) -> pa.RecordBatch:
+        seen: dict[str, int] = {}
+        specials, sizes, ends, places, counts = [], [], [0], [], []
+        for x in texts:
+            first, *rest = x.split(SPECIAL)
+            count = Counter(vocab.pretokens(first))
+            for p in rest:
+                count.update(vocab.pretokens(p))
+            specials.append(len(rest))
+            sizes.append(len(x.encode()))
+            ends.append(ends[-1] + len(count))
+            places.append(np.fromiter((seen.setdefault(t, len(seen)) for t in count), np.int32, len(count)))
+            counts.append(np.fromiter(count.values(), np.int32, len(count)))
+        strings = [t.encode() for t in seen]
+        bucket = np.fromiter((zlib.crc32(t) % buckets for t in strings), np.int32, len(strings))
+        order = np.argsort(bucket, kind="stable")
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        docs = np.repeat(np.arange(len(texts)), np.diff(ends))
+        flat = place[np.concatenate(places)]
+        by_doc = np.lexsort((flat, docs))
+        flat = flat[by_doc]
+        steps = np.diff(flat, prepend=0)
+        firsts = np.array(ends[:-1])[np.diff(ends) > 0]
+        steps[firsts] = flat[firsts]
+        name = f"{keys[0]}-{keys[-1]}-{len(keys)}-{zlib.crc32(repr(keys).encode())}-{sum(sizes)}-{len(strings)}"
+        rows = [{"block": name, "bucket": -1, "ids": keys, "n_bytes": sizes, "extra": specials, "ends": np.array(ends, "<i8").tobytes(), "places": packed_ints(steps), "counts": packed_ints(np.concatenate(counts)[by_doc])}]
+        cuts = np.flatnonzero(np.diff(bucket[order], prepend=-1)).tolist()
+        for lo, hi in zip(cuts, [*cuts[1:], len(order)], strict=False):
+            rows.append({"block": name, "bucket": int(bucket[order[lo]]), "tokens": packed_strings([strings[i] for i in order[lo:hi].tolist()])})
+        return pa.RecordBatch.from_pylist(rows, schema=ARROW_FREQUENCIES)
+
     def blocks(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(path)
         for part in parts:
             for at in range(0, part.num_rows, BLOCK_DOCS):
                 b = part.slice(at, BLOCK_DOCS)
-                texts = [x or "" for x in b.column(text).to_pylist()]
-                keys = b.column(key).to_pylist()
-                per_doc, specials = [], []
-                for x in texts:
-                    pieces = x.split(SPECIAL)
-                    specials.append(len(pieces) - 1)
-                    count = Counter(vocab.pretokens(pieces[0]))
-                    for p in pieces[1:]:
-                        count.update(vocab.pretokens(p))
-                    per_doc.append(count)
-                sizes = [len(x.encode()) for x in texts]
-                of = {t: zlib.crc32(t.encode()) % buckets for t in set().union(*per_doc)}
-                order = sorted(of, key=lambda t: (of[t], t))
-                place = {t: i for i, t in enumerate(order)}
-                name = f"{keys[0]}-{keys[-1]}-{len(keys)}-{zlib.crc32(''.join(map(str, keys)).encode())}-{sum(sizes)}"
-                ends = np.cumsum([len(c) for c in per_doc]).astype("<i4")
-                places = np.fromiter((place[t] for c in per_doc for t in c), "<i4", int(ends[-1]))
-                counts = np.fromiter((n for c in per_doc for n in c.values()), "<i4", int(ends[-1]))
-                lists: dict[int, list[str]] = {}
-                for t in order:
-                    lists.setdefault(of[t], []).append(t)
-                rows = [{"block": name, "bucket": -1, "ids": keys, "n_bytes": sizes, "extra": specials, "ends": ends.tobytes(), "places": zlib.compress(places.tobytes(), 1), "counts": zlib.compress(counts.tobytes(), 1)}]
-                rows += [{"block": name, "bucket": k, "tokens": v} for k, v in lists.items()]
-                yield pa.RecordBatch.from_pylist(rows, schema=ARROW_FREQUENCIES)
+                yield block(vocab, b.column(key).to_pylist(), [x or "" for x in b.column(text).to_pylist()])
 
     return df.select(F.col(key).cast("long").alias(key), text).mapInArrow(blocks, FREQUENCIES)
 
 
-ARROW_FREQUENCIES = pa.schema([("block", pa.string()), ("bucket", pa.int32()), ("tokens", pa.list_(pa.string())), ("ids", pa.list_(pa.int64())), ("n_bytes", pa.list_(pa.int64())), ("extra", pa.list_(pa.int64())), ("ends", pa.binary()), ("places", pa.binary()), ("counts", pa.binary())])
-
-
 def piece_counts(frequency: DataFrame, path: str) -> DataFrame:
     """Number of pieces of each pre-token of each (block, bucket); each distinct pre-token of a bucket is encoded once."""
 
     def count(rows: pd.DataFrame) -> pd.DataFrame:
-        distinct = list(set().union(*rows["tokens"]))
+        lists = [unpacked_strings(x) for x in rows["tokens"]]
+        distinct = list(set().union(*lists))
         pieces = {}
         for at in range(0, len(distinct), 20_000):
             part = distinct[at : at + 20_000]
             pieces.update(zip(part, (len(x) // 4 for x in vocabulary(path).encode(part)), strict=True))
-        packed = [np.fromiter(map(pieces.__getitem__, t), "<i4", len(t)).tobytes() for t in rows["tokens"]]
+        packed = [packed_ints(np.fromiter(map(pieces.__getitem__, t), np.int64, len(t))) for t in lists]
         return pd.DataFrame({"block": rows["block"], "bucket": rows["bucket"], "pieces": packed})
 
     return frequency.filter("bucket >= 0").select("block", "bucket", "tokens").groupBy("bucket").applyInPandas(count, "block string, bucket int, pieces binary")
@@ -144,22 +172,27 @@ def count_tokens(df: DataFrame, path: str | None = None, text: str = "text", key
     null; other columns are ignored.
     """
     path = path or public_tokenizers.path(VOCABULARY)
-    buckets = buckets or max(16, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    buckets = buckets or max(16, 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     frequency = saved(frequencies(df, path, buckets, text, key))
     pieces = piece_counts(frequency, path)
     schema = f"{key} long, n_bytes long, n_tokens long"
 
     def total(docs: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
-        found = found.sort_values("bucket", kind="stable")
-        out = []
-        same = len(docs)  # equal blocks of repeated rows share a name
+        # equal blocks of repeated rows share a name; one of each bucket is enough
+        found = found.drop_duplicates("bucket").sort_values("bucket")
+        weights = np.concatenate([np.zeros(0, np.int64), *(unpacked_ints(x) for x in found["pieces"])])
+        out = [pd.DataFrame({key: pd.array([], dtype="Int64"), "n_bytes": [], "n_tokens": []})]
         for d in docs.itertuples():
-            parts = list(found["pieces"])[:: same] if same > 1 else list(found["pieces"])
-            weights = np.frombuffer(b"".join(parts), "<i4")
-            ends = np.frombuffer(d.ends, "<i4")
-            sums = np.concatenate([[0], np.cumsum(weights[np.frombuffer(zlib.decompress(d.places), "<i4")].astype(np.int64) * np.frombuffer(zlib.decompress(d.counts), "<i4"))])
-            out.append(pd.DataFrame({key: pd.array(list(d.ids), dtype="Int64"), "n_bytes": d.n_bytes, "n_tokens": np.diff(np.concatenate([[0], sums[ends]])) + np.asarray(d.extra)}))
-        return pd.concat(out) if out else pd.DataFrame({key: pd.array([], dtype="Int64"), "n_bytes": [], "n_tokens": []})
+            ends = np.frombuffer(d.ends, "<i8")
+            steps = unpacked_ints(d.places)
+            places = np.cumsum(steps)
+            firsts = ends[:-1][np.diff(ends) > 0]
+            before = np.zeros(len(steps), np.int64)
+            before[firsts] = np.diff(places[firsts] - steps[firsts], prepend=0)
+            places -= np.cumsum(before)
+            sums = np.concatenate([[0], np.cumsum(weights[places] * unpacked_ints(d.counts))])
+            out.append(pd.DataFrame({key: pd.array(list(d.ids), dtype="Int64"), "n_bytes": d.n_bytes, "n_tokens": np.diff(sums[ends]) + np.asarray(d.extra)}))
+        return pd.concat(out[1:] or out)
 
     docs = frequency.filter("bucket < 0").select("block", "ids", "n_bytes", "extra", "ends", "places", "counts")
     return docs.groupBy("block").cogroup(pieces.groupBy("block")).applyInPandas(total, schema)

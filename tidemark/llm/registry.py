@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from . import ngram_join, pii, quality, secrets, tokens
+from . import decontaminate, ngram_join, pii, quality, secrets, tokens
 
 QUERIES: dict = {
     "op1_pii": pii.op1_pii,
     "op2_ngram_join": ngram_join.op2_ngram_join,
     "op5_secret_scan": secrets.op5_secret_scan,
     "op6_quality": quality.op6_quality,
+    "op8_decontamination": decontaminate.op8_decontamination,
     "op7_token_counts": tokens.op7_token_counts,
     "op10_packing": tokens.op10_packing,
 }
-ORACLES: dict = {}
+ORACLES: dict = {
+    "op8_decontamination": decontaminate.OP8_SQL,
+}

@@ -34,32 +34,67 @@ PRETOKEN = regex.compile(public_tokenizers.PATTERN)
 #: Characters outside these ranges may be of another class in the library's Unicode tables; texts that have one are split by the library.
 UNSURE = re.compile(r"[^\u0000-\u0557\u1e00-\u206f\u20a0-\ua7cd\uabf0-\uffff]")
 
+#: A space that no other character follows, or that white space follows.
+LONE_SPACE = re.compile(r" (?=\s|\Z)")
+
+
+def byte_letters() -> list[str]:
+    """The character that byte-level vocabularies write for each byte: itself if printable, else the next from 256 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    odd = iter(range(256, 512))
+    return [chr(b) if b in plain else chr(next(odd)) for b in range(256)]
+
 
 class Vocabulary:
-    """Ids of pre-tokens as little-endian uint32 bytes; keeps at most about ``keep`` of them."""
+    """Ids as little-endian uint32 bytes; remembers about ``keep`` pre-tokens and as many stretches between spaces."""
 
-    def __init__(self, path: str, keep: int = 300_000):
+    def __init__(self, path: str, keep: int = 400_000):
         self.tokenizer = Tokenizer.from_file(path)
-        self.keep, self.ids = keep, {}
+        self.model = self.tokenizer.model
+        self.letters = str.maketrans(dict(enumerate(byte_letters())))
+        self.keep, self.ids, self.stretches = keep, {}, {}
 
     def pretokens(self, text: str) -> list[str]:
         if UNSURE.search(text):
             return [text[a:b] for _, (a, b) in self.tokenizer.pre_tokenizer.pre_tokenize_str(text)]
         return PRETOKEN.findall(text)
 
-    def encode(self, pretokens: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(pretokens, add_special_tokens=False)]
-
-    def of_texts(self, texts: list[str]) -> list[bytes]:
-        """All ids of each text."""
-        parts = [[self.pretokens(x) for x in t.split(SPECIAL)] for t in texts]
-        wanted = set().union(*(p for doc in parts for p in doc))
-        if len(self.ids) + len(wanted) > self.keep:
+    def encode(self, pretoken: str) -> bytes:
+        """Ids of one pre-token, by the library's model on its byte letters."""
+        return np.array([t.id for t in self.model.tokenize(pretoken.encode().decode("latin-1").translate(self.letters))], "<u4").tobytes()
+
+    def of_pretokens(self, pretokens: list[str]) -> bytes:
+        ids = self.ids
+        for t in pretokens:
+            if t not in ids:
+                ids[t] = self.encode(t)
+        return b"".join([ids[t] for t in pretokens])
+
+    def of_plain(self, text: str) -> bytes:
+        """Ids of a text without special strings.
+
+        A space before another character always starts a pre-token, so a text can be cut there and its
+        stretches looked up; texts with other spaces are cut by rule.
+        """
+        if not text:
+            return b""
+        if UNSURE.search(text) or LONE_SPACE.search(text):
+            return self.of_pretokens(self.pretokens(text))
+        first, *rest = text.split(" ")
+        known = self.stretches
+        for s in rest:
+            if s not in known:
+                known[s] = self.of_pretokens(PRETOKEN.findall(" " + s))
+        return b"".join([self.of_pretokens(PRETOKEN.findall(first)), *map(known.__getitem__, rest)])
+
+    def of_text(self, text: str) -> bytes:
+        """All ids of a text."""
+        if len(self.ids) > self.keep:
             self.ids = {}
-        new = list(wanted - self.ids.keys())
-        self.ids.update(zip(new, self.encode(new), strict=True))
+        if len(self.stretches) > self.keep:
+            self.stretches = {}
         mark = np.array([SPECIAL_ID], "<u4").tobytes()
-        return [mark.join(b"".join(map(self.ids.__getitem__, p)) for p in doc) for doc in parts]
+        return mark.join([self.of_plain(x) for x in text.split(SPECIAL)])
 
 
 _LOADED: dict[str, Vocabulary] = {}
@@ -154,11 +189,8 @@ def piece_counts(frequency: DataFrame, path: str) -> DataFrame:
 
     def count(rows: pd.DataFrame) -> pd.DataFrame:
         lists = [unpacked_strings(x) for x in rows["tokens"]]
-        distinct = list(set().union(*lists))
-        pieces = {}
-        for at in range(0, len(distinct), 20_000):
-            part = distinct[at : at + 20_000]
-            pieces.update(zip(part, (len(x) // 4 for x in vocabulary(path).encode(part)), strict=True))
+        encode = vocabulary(path).encode
+        pieces = {t: len(encode(t)) // 4 for t in set().union(*lists)}
         packed = [packed_ints(np.fromiter(map(pieces.__getitem__, t), np.int64, len(t))) for t in lists]
         return pd.DataFrame({"block": rows["block"], "bucket": rows["bucket"], "pieces": packed})
 
@@ -218,8 +250,8 @@ def cut(df: DataFrame, path: str, context: int, text: str = "text", key: str = "
             for at in range(0, part.num_rows, 500):
                 b = part.slice(at, 500)
                 rows = []
-                for k, ids in zip(b.column(key).to_pylist(), vocab.of_texts([x or "" for x in b.column(text).to_pylist()]), strict=True):
-                    ids += end
+                for k, x in zip(b.column(key).to_pylist(), b.column(text).to_pylist(), strict=True):
+                    ids = vocab.of_text(x or "") + end
                     for s in range(0, len(ids), 4 * context):
                         piece = ids[s : s + 4 * context]
                         rows.append((k, s // 4, len(piece) // 4, zlib.crc32(piece), len(ids) // 4))

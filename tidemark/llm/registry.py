@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, ngram_join, pii, quality, secrets, tokens
+from . import chat, decontaminate, ngram_join, pii, quality, secrets, tokens
 
 QUERIES: dict = {
     "op1_pii": pii.op1_pii,
@@ -10,9 +10,11 @@ QUERIES: dict = {
     "op5_secret_scan": secrets.op5_secret_scan,
     "op6_quality": quality.op6_quality,
     "op8_decontamination": decontaminate.op8_decontamination,
+    "op9_chat_format": chat.op9_chat_format,
     "op7_token_counts": tokens.op7_token_counts,
     "op10_packing": tokens.op10_packing,
 }
 ORACLES: dict = {
     "op8_decontamination": decontaminate.OP8_SQL,
+    "op9_chat_format": chat.OP9_SQL,
 }

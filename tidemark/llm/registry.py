@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, ngram_join, pii, quality, secrets, tokens
+from . import chat, decontaminate, html, ngram_join, pii, quality, secrets, tokens
 
 QUERIES: dict = {
     "op1_pii": pii.op1_pii,
     "op2_ngram_join": ngram_join.op2_ngram_join,
+    "op4_html_text": html.op4_html_text,
     "op5_secret_scan": secrets.op5_secret_scan,
     "op6_quality": quality.op6_quality,
     "op8_decontamination": decontaminate.op8_decontamination,

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, html, ngram_join, pii, quality, secrets, tokens
+import corpus_pipeline
+
+from . import bm25, chat, decontaminate, html, ngram_join, pii, quality, secrets, tokens
 
 QUERIES: dict = {
     "op1_pii": pii.op1_pii,
     "op2_ngram_join": ngram_join.op2_ngram_join,
+    "op3_bm25": bm25.op3_bm25,
     "op4_html_text": html.op4_html_text,
     "op5_secret_scan": secrets.op5_secret_scan,
     "op6_quality": quality.op6_quality,
@@ -14,8 +17,10 @@ QUERIES: dict = {
     "op9_chat_format": chat.op9_chat_format,
     "op7_token_counts": tokens.op7_token_counts,
     "op10_packing": tokens.op10_packing,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLES: dict = {
+    "op3_bm25": bm25.OP3_SQL,
     "op8_decontamination": decontaminate.OP8_SQL,
     "op9_chat_format": chat.OP9_SQL,
 }

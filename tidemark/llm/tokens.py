@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+import sys
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -42,17 +44,19 @@ def byte_letters() -> list[str]:
     """The character that byte-level vocabularies write for each byte: itself if printable, else the next from 256 on."""
     plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
     odd = iter(range(256, 512))
-    return [chr(b) if b in plain else chr(next(odd)) for b in range(256)]
+    return [chr(b if b in plain else next(odd)) for b in range(256)]
 
 
 class Vocabulary:
-    """Ids as little-endian uint32 bytes; remembers about ``keep`` pre-tokens and as many stretches between spaces."""
+    """Ids as little-endian uint32 bytes; remembers up to twice ``keep`` pre-tokens and as many stretches between spaces."""
 
-    def __init__(self, path: str, keep: int = 400_000):
+    def __init__(self, path: str, keep: int = 250_000):
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.letters = str.maketrans(dict(enumerate(byte_letters())))
-        self.keep, self.ids, self.stretches = keep, {}, {}
+        self.space = self.letters[32]
+        # of each, the entries since the last turnover and those before it; what is used again is moved
+        self.keep, self.ids, self.old_ids, self.stretches, self.old_stretches = keep, {}, {}, {}, {}
 
     def pretokens(self, text: str) -> list[str]:
         if UNSURE.search(text):
@@ -61,13 +65,20 @@ class Vocabulary:
 
     def encode(self, pretoken: str) -> bytes:
         """Ids of one pre-token, by the library's model on its byte letters."""
-        return np.array([t.id for t in self.model.tokenize(pretoken.encode().decode("latin-1").translate(self.letters))], "<u4").tobytes()
+        if pretoken.isascii() and pretoken.isprintable():
+            letters = pretoken.replace(" ", self.space)
+        else:
+            letters = pretoken.encode().decode("latin-1").translate(self.letters)
+        ids = array("I", [t.id for t in self.model.tokenize(letters)])
+        if sys.byteorder == "big":
+            ids.byteswap()
+        return ids.tobytes()
 
     def of_pretokens(self, pretokens: list[str]) -> bytes:
         ids = self.ids
         for t in pretokens:
             if t not in ids:
-                ids[t] = self.encode(t)
+                ids[t] = self.old_ids.get(t) or self.encode(t)
         return b"".join([ids[t] for t in pretokens])
 
     def of_plain(self, text: str) -> bytes:
@@ -84,15 +95,15 @@ class Vocabulary:
         known = self.stretches
         for s in rest:
             if s not in known:
-                known[s] = self.of_pretokens(PRETOKEN.findall(" " + s))
+                known[s] = self.old_stretches.get(s) or self.of_pretokens(PRETOKEN.findall(" " + s))
         return b"".join([self.of_pretokens(PRETOKEN.findall(first)), *map(known.__getitem__, rest)])
 
     def of_text(self, text: str) -> bytes:
         """All ids of a text."""
         if len(self.ids) > self.keep:
-            self.ids = {}
+            self.ids, self.old_ids = {}, self.ids
         if len(self.stretches) > self.keep:
-            self.stretches = {}
+            self.stretches, self.old_stretches = {}, self.stretches
         mark = np.array([SPECIAL_ID], "<u4").tobytes()
         return mark.join([self.of_plain(x) for x in text.split(SPECIAL)])
 

@@ -171,7 +171,8 @@ def format_chats(df: DataFrame, turns: str = "turns") -> DataFrame:
         span = F.struct(start.alias("start"), (start + x["t"]).alias("end"))
         return F.struct((acc["at"] + x["r"] + x["t"] + step).alias("at"), F.when(x["role"] == "assistant", F.concat(acc["mask"], F.array(span))).otherwise(acc["mask"]).alias("mask"))
 
-    ready = df.withColumn("_turns", F.coalesce(F.col(turns), F.array().cast("array<struct<role:string,text:string>>")))
+    whole = F.transform(turns, lambda t: F.struct(F.coalesce(t["role"], F.lit("")).alias("role"), F.coalesce(t["text"], F.lit("")).alias("text")))
+    ready = df.withColumn("_turns", F.coalesce(whole, F.array().cast("array<struct<role:string,text:string>>")))
     return ready.withColumn("formatted", render("_turns")).withColumn("loss_mask", F.aggregate(lengths, zero, add, lambda x: x["mask"])).drop("_turns")
 
 

@@ -1,4 +1,10 @@
 """All queries over the driver tables, by name, with their DuckDB twins."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from tidemark.plans import graph_queries
+
+PAIRS = graph_queries.PAIRS
+
+QUERIES = {name: query for name, (query, _) in PAIRS.items()}
+ORACLES = {name: sql for name, (_, sql) in PAIRS.items() if sql}

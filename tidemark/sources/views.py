@@ -79,4 +79,4 @@ def log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", F.col("ts").alias("at"), F.concat(F.lit("agent_"), text("user_id")).alias("agent"), F.col("event_type").alias("tool"), "value", F.get_json_object("props", "$.k").cast("int").alias("k"))
 
 
-LOG = "v_log AS (SELECT event_id, ts AS at, 'agent_' || user_id AS agent, event_type AS tool, value, (props->>'$.k')::INTEGER AS k FROM events)"
+LOG = "v_log AS (SELECT event_id, ts AS seen, 'agent_' || user_id AS agent, event_type AS tool, value, (props->>'$.k')::INTEGER AS k FROM events)"

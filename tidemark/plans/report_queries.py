@@ -97,7 +97,7 @@ PROVENANCE = f"""WITH {EDGE}, ep AS (SELECT 'e' || o_orderkey AS episode, nullif
 SELECT agent, session, count(DISTINCT episode) AS episodes, count(DISTINCT uuid) AS facts, coalesce(string_agg(DISTINCT group_id, ',' ORDER BY group_id), '') AS scopes, min(day)::VARCHAR AS first_write, max(day)::VARCHAR AS last_write FROM ep LEFT JOIN v_edge USING (episode) GROUP BY 1, 2"""
 
 #: Prices per million tokens; the longest prefix of a model's name counts.
-PRICES = [("view", 0.5), ("click", 1.0), ("pur", 2.0), ("purchase", 3.0)]
+PRICES = [("view", 0.4), ("click", 1.0), ("pur", 2.0), ("purchase", 3.0)]
 
 
 def priced(spark, d):

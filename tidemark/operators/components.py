@@ -19,19 +19,21 @@ def _stars(edges: DataFrame) -> DataFrame:
     return small.unionAll(least.select("hi", F.col("m").alias("lo"))).distinct()
 
 
+def _open(edges: DataFrame) -> bool:
+    """Whether a node has several lower ends, or one that has a lower end itself."""
+    ends = edges.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionAll(edges.select(F.col("lo").alias("u"), F.lit(None).cast("long").alias("v")))
+    per = ends.groupBy("u").agg(F.min("v").alias("a"), F.max("v").alias("z"), F.count_if(F.col("v").isNull()).alias("below"))
+    return bool(per.filter("a is not null and (a <> z or below > 0)").limit(1).count())
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, component): the least node that each node of ``links`` (a, b: long) can reach.
 
-    Every round is written to the shared folder, so nothing depends on a lost executor's blocks. Ends when a
-    round changes nothing; rounds grow with the logarithm of the longest chain. No links: no rows.
+    Every round is written to the shared folder, so nothing depends on a lost executor's blocks. Ends when all
+    links point to roots; rounds grow with the logarithm of the longest chain. No links: no rows.
     """
     edges = saved(links.filter("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct())
-    state = None
-    while True:
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo") % 1_000_000_007)).first()
-        if now == state or not now[0]:
-            break
-        state = now
+    while _open(edges):
         edges = saved(_stars(edges))
     roots = edges.select(F.col("lo").alias("node")).distinct().withColumn("component", F.col("node"))
     return edges.select(F.col("hi").alias("node"), F.col("lo").alias("component")).unionAll(roots)

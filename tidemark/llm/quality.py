@@ -15,8 +15,8 @@ from .common import mix, piece_hashes, read, runs, text_bytes, word_slices
 #: Rows of the embedding table, its width.
 TABLE, WIDTH = 1 << 18, 8
 #: Labelled documents (the smallest hashes of their ids) that training sees at most.
-SAMPLE_ROWS = 6000
-EPOCHS, RATE, SEED = 4, 0.5, 7
+SAMPLE_ROWS = 3000
+EPOCHS, RATE, SEED = 6, 0.5, 7
 #: A step moves a document's average by this share of the rate, however many features it has.
 STEP = 0.2
 #: Folds of crc32(doc_id as text); the held-out one is never learned from.
@@ -51,7 +51,7 @@ def bag(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Distinct rows of a text and their shares."""
     rows = np.concatenate([features(p) for p in split(np.frombuffer(text, np.uint8))])
     distinct, counts = np.unique(rows, return_counts=True)
-    return distinct, (counts / max(1, len(rows))).astype(np.float32)
+    return distinct.astype(np.int32), (counts / max(1, len(rows))).astype(np.float32)
 
 
 class Model:

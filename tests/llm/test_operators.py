@@ -136,6 +136,29 @@ def test_divide_skip_finds_all_links():
         assert sorted(search.find(q)) == expected
 
 
+def parts_of(n, links):
+    part = list(range(n))
+    for a, b in links:
+        part = [part[a] if x == part[b] else x for x in part]
+    return [part.index(x) for x in part]
+
+
+def test_join_of_a_block_loses_no_part():
+    random = np.random.default_rng(8)
+    for _ in range(300):
+        # a drifting chain in random order: only neighbours of it share enough
+        width, step = 100, int(random.integers(6, 9))
+        chain = [np.arange(step * i, step * i + width, dtype=np.uint64) for i in np.cumsum(random.integers(1, 3, random.integers(4, 12)))]
+        sets = [chain[i] for i in random.permutation(len(chain))]
+        n, both = len(sets), lambda a, b: len(np.intersect1d(sets[a], sets[b]))
+        pairs = [(a, b) for a in range(n) for b in range(a)]
+        expected = parts_of(n, [(a, b) for a, b in pairs if 100 * both(a, b) >= 85 * (2 * width - both(a, b))])
+        assert parts_of(n, ngram_join.Search(sets, list(range(n)), 85).join()) == expected
+        least = random.integers(80, 100, n).tolist()
+        expected = parts_of(n, [(a, b) for a, b in pairs if both(a, b) >= max(least[a], least[b])])
+        assert parts_of(n, ngram_join.Overlap(sets, list(range(n)), least).join()) == expected
+
+
 def test_bm25(spark):
     df = frame(spark, ["red fox red", "Red dog", "blue whale", LONG, "fox fox fox dog"])
     got = bm25.top_k(df, df.filter("doc_id in (0, 1000)"), k=3).orderBy("query_id", "rank").collect()

@@ -210,9 +210,12 @@ class Search:
                 break
             tried.add(q)
             yield from self._take(q)
-        for q in range(len(self.sets)):
-            if q not in tried and self.part[q] != np.bincount(self.part).argmax():
-                yield from self._take(q)
+        # another part may become the largest meanwhile: of any two parts, the sets of one have all been tried in the end
+        while left := [q for q in np.flatnonzero(self.part != np.bincount(self.part).argmax()).tolist() if q not in tried]:
+            for q in left:
+                if self.part[q] != np.bincount(self.part).argmax():
+                    tried.add(q)
+                    yield from self._take(q)
 
     def _take(self, q: int) -> Iterator[tuple[int, int]]:
         for c in self.find(q):

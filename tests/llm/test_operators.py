@@ -94,6 +94,20 @@ def test_secret_layers_end():
     assert secrets.scan("%2525252525" * 50) == []
 
 
+def test_secret_layers_are_unwrapped_whole():
+    inner = secret().encode()
+    b64 = lambda raw: base64.b64encode(raw).decode()
+    kinds = lambda text: [s["kind"] for s in secrets.scan(text)]
+    assert kinds(b64(gzip.compress(b"\0 a b. " * (3 << 20) + inner))) == ["assign"]
+    assert kinds(b64(gzip.compress(b"first part. ") + gzip.compress(inner))) == ["assign"]
+    assert kinds(b64(gzip.compress(zlib.compress(gzip.compress(inner))))) == ["assign"]
+    deep = quote("password=hunter2xyz", safe="").replace("%", "%" + "25" * 40)
+    assert ("assign", 0, len(deep)) in {(s["kind"], s["start"], s["end"]) for s in secrets.scan(deep)}
+    lines = base64.encodebytes(gzip.compress(bytes(range(256)) + b" " + inner, 0)).decode()
+    got = secrets.scan(f"mail\n{lines}end")
+    assert {"assign"} == {s["kind"] for s in got} and (5, 4 + len(lines)) in {(s["start"], s["end"]) for s in got}
+
+
 def brute_components(rows, words, share):
     sets = [frozenset(tuple(w[i : i + words]) for i in range(len(w) - words + 1)) if len(w) >= words else frozenset([tuple(w)] if w else []) for w in (re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) for _, t in rows)]
     least = list(range(len(rows)))

@@ -4,18 +4,21 @@ from __future__ import annotations
 
 import base64
 import binascii
+import codecs
 import re
 import zlib
+from collections.abc import Callable, Iterable, Iterator
+from hashlib import sha256
 
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import ARROW_SPANS, SPANS, map_texts, read, span_report
 
 KINDS = ("assign", "access", "hex")
-#: Layers inside layers; each URL, Unicode or base64 layer is shorter than its parent, compressed ones may grow.
-MAX_DEPTH = 24
-#: Bytes that one compressed layer may unpack to; a longer one is scanned up to there and ``via`` ends in ``+``.
-MAX_UNPACKED = 16 << 20
+#: So many layers are named in ``via``; of deeper ones it has the number.
+NAMED = 24
+#: Compressed layers are read in chunks of CHUNK bytes and scanned in pieces of about PIECE; up to PIECE bytes are held.
+CHUNK, PIECE = 1 << 20, 16 << 20
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -27,6 +30,11 @@ URL_ESCAPES = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 UNICODE_ESCAPES = re.compile(r"\\u\{?([0-9A-Fa-f]{4,6})\}?|\\x([0-9A-Fa-f]{2})")
 UNICODE_RUN = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\u\{[0-9A-Fa-f]{4,6}\}|\\x[0-9A-Fa-f]{2})(?:[^\s\\]|\\u[0-9A-Fa-f]{4}|\\u\{[0-9A-Fa-f]{4,6}\}|\\x[0-9A-Fa-f]{2})*")
 BASE64_RUN = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+LINE = r"[A-Za-z0-9+/_-]++"
+BREAK = r"[ \t]*+(?:\r\n?|\n)[ \t]*+"
+BASE64_LINES = re.compile(rf"(?<![A-Za-z0-9+/_-]){LINE}(?:{BREAK}{LINE})++={{0,2}}")
+#: White space that no rule and no encoded run reaches across.
+SAFE = re.compile(r"(?<=[^\s:=\"'dtnyDTNY])\x20(?=[^\s:=])|(?<=[^\sA-Za-z0-9+/_-])[\r\n](?=\S)|[\r\n](?=[^\sA-Za-z0-9+/_-])|\n(?=\n)")
 ODD = re.compile(r"[^\t\n\r\x20-\x7e\u00a0-\ud7ff\ue000-\U0010ffff]")
 
 
@@ -49,26 +57,94 @@ def readable(raw: bytes) -> str | None:
     return None if len(text) < 6 or ODD.search(text) else text
 
 
-def unpack(raw: bytes) -> tuple[str, str] | None:
-    """Text of a zlib or gzip stream; None for other bytes."""
-    if raw[:2] != b"\x1f\x8b" and not (len(raw) > 6 and raw[0] == 0x78 and (raw[0] << 8 | raw[1]) % 31 == 0):
-        return None
-    try:
-        stream = zlib.decompressobj(47)
-        out = stream.decompress(raw, MAX_UNPACKED)
-    except zlib.error:
-        return None
-    return out.decode("utf-8", "replace"), "zip" + "+" * bool(stream.unconsumed_tail)
+def packed(raw: bytes) -> bool:
+    return raw[:2] == b"\x1f\x8b" or len(raw) > 6 and raw[0] == 0x78 and (raw[0] << 8 | raw[1]) % 31 == 0
+
+
+def inflated(chunks: Iterable[bytes]) -> Iterator[bytes]:
+    """The content of all zlib or gzip members in a row, and the bytes behind them; ends at the first damage."""
+    stream, rest, plain, first = None, b"", False, True
+    chunks = iter(chunks)
+    while True:
+        more = next(chunks, None)
+        rest += more or b""
+        while rest:
+            if plain:
+                yield rest
+                rest = b""
+                break
+            if stream is None:
+                if len(rest) < 7 and more is not None:
+                    break
+                if not packed(rest):
+                    if first:
+                        return
+                    plain = True
+                    continue
+                stream, first = zlib.decompressobj(47), False
+            try:
+                out = stream.decompress(rest, CHUNK)
+                while out:
+                    yield out
+                    out = b"" if stream.eof else stream.decompress(stream.unconsumed_tail, CHUNK)
+            except zlib.error:
+                return
+            rest, stream = (stream.unused_data, None) if stream.eof else (b"", stream)
+        if more is None:
+            return
+
+
+def unpack(raw: bytes) -> Iterator[tuple[str, str]]:
+    """(text, name): what compressed bytes hold, also compressed bytes directly inside, in pieces of bounded size.
+
+    Each layer is read once for its digest, so one that is equal to a layer above it ends the loop.
+    """
+    source: Callable[[], Iterable[bytes]] = lambda: [raw]
+    seen, name = {sha256(raw).digest()}, "zip"
+    while True:
+        digest, size, held = sha256(), 0, []
+        for c in inflated(source()):
+            digest.update(c)
+            size += len(c)
+            held = [*held, c] if size <= PIECE else []
+        if not size or digest.digest() in seen:
+            return
+        seen.add(digest.digest())
+        source = (lambda d: lambda: [d])(b"".join(held)) if size <= PIECE else (lambda s: lambda: inflated(s()))(source)
+        for piece in pieces(source()):
+            yield piece, name
+        name += ">zip"
+
+
+def pieces(chunks: Iterable[bytes]) -> Iterator[str]:
+    """The text of ``chunks``, cut at SAFE places only; what has none stays whole."""
+    decoder, held, size, limit = codecs.getincrementaldecoder("utf-8")("replace"), [], 0, PIECE
+    for c in chunks:
+        held.append(decoder.decode(c))
+        size += len(held[-1])
+        if size > limit:
+            text = "".join(held)
+            if m := SAFE.search(text, limit // 2, len(text) - 1):
+                yield text[: m.start()]
+                held, limit = [text[m.start() :]], PIECE
+            else:
+                held, limit = [text], 2 * size
+            size = len(held[0])
+    yield "".join([*held, decoder.decode(b"", True)])
 
 
 class Layer:
-    """A decoded text; its character i stands for the original characters starts[i] to ends[i]."""
+    """A decoded text; its character i stands for the original characters starts[i] to ends[i], or all for one range."""
+
+    def __init__(self, text: str, starts: list[int] | int, ends: list[int] | int, names: tuple[str, int], above: frozenset):
+        self.text, self.starts, self.ends, self.names, self.above = text, starts, ends, names, above
 
-    def __init__(self, text: str, starts: list[int], ends: list[int], via: str, above: frozenset):
-        self.text, self.starts, self.ends, self.via, self.above = text, starts, ends, via, above
+    @property
+    def via(self) -> str:
+        return self.names[0] + (f"+{self.names[1] - NAMED}" if self.names[1] > NAMED else "")
 
     def original(self, start: int, end: int) -> tuple[int, int]:
-        return self.starts[start], self.ends[end - 1]
+        return (self.starts, self.ends) if isinstance(self.starts, int) else (self.starts[start], self.ends[end - 1])
 
 
 def decoded_pieces(text: str, a: int, found: re.Pattern, decode) -> tuple[str, list[int], list[int]]:
@@ -102,46 +178,82 @@ def unicode_chars(m: re.Match):
     yield (chr(n) if n < 0x110000 and not 0xD800 <= n < 0xE000 else "\ufffd"), m.start(), m.end()
 
 
-def layers_of(text: str) -> list[tuple[int, int, str, list[int] | None, list[int] | None, str]]:
-    """The encoded runs of ``text``: start, end, decoded text, positions behind its characters (None: the whole run), name."""
+def layers_of(text: str) -> list[tuple[int, int, str | bytes, list[int] | None, list[int] | None, str]]:
+    """The encoded runs of ``text``: start, end, decoded text (or compressed bytes), positions behind its characters (None: the whole run), name."""
     out = []
     if "%" in text:
         out += [(m.start(), m.end(), *decoded_pieces(m[0], m.start(), URL_ESCAPES, url_chars), "url") for m in URL_RUN.finditer(text)]
     if "\\" in text:
         out += [(m.start(), m.end(), *decoded_pieces(m[0], m.start(), UNICODE_ESCAPES, unicode_chars), "unicode") for m in UNICODE_RUN.finditer(text)]
-    for m in BASE64_RUN.finditer(text):
-        body = m[0].rstrip("=").replace("-", "+").replace("_", "/")
-        if len(body) % 4 == 1 or body.isalpha() and (body.islower() or body[1:].islower()):
+    runs = [(m.start(), m.end(), m[0]) for m in BASE64_RUN.finditer(text)]
+    if "\n" in text or "\r" in text:
+        runs += [(s, e, "".join(text[s:e].split())) for m in BASE64_LINES.finditer(text) for s, e in wrapped(text, m.start(), m.end())]
+    for start, end, run in runs:
+        body = run.rstrip("=").replace("-", "+").replace("_", "/")
+        if len(body) < 16 or len(body) % 4 == 1 or body.isalpha() and (body.islower() or body[1:].islower()):
             continue
         try:
             raw = base64.b64decode(body + "=" * (-len(body) % 4))
         except binascii.Error:
             continue
-        if packed := unpack(raw):
-            out.append((m.start(), m.end(), packed[0], None, None, f"base64>{packed[1]}"))
-        elif (plain := readable(raw)) is not None:
-            out.append((m.start(), m.end(), plain, None, None, "base64"))
+        if packed(raw):
+            out.append((start, end, raw, None, None, "base64"))
+        if (plain := readable(raw)) is not None:
+            out.append((start, end, plain, None, None, "base64"))
     return out
 
 
+def wrapped(text: str, start: int, end: int) -> Iterator[tuple[int, int]]:
+    """Ranges of lines that can be one wrapped run: lines of one width, with or without the lines before and behind."""
+    lines = [(m.start(), m.end()) for m in re.compile(LINE + "=*").finditer(text, start, end)]
+    i = 0
+    while i < len(lines):
+        j = i + 1
+        while j < len(lines) and lines[j][1] - lines[j][0] == lines[i][1] - lines[i][0]:
+            j += 1
+        for a in {i, max(i - 1, 0)}:
+            for b in {j, min(j + 1, len(lines))}:
+                if b - a > 1:
+                    yield lines[a][0], lines[b - 1][1]
+        i = j
+
+
 def scan(text: str) -> list[dict]:
     """All spans of one text: the base ones, and those of its decoded layers, in code points of ``text``."""
     spans = {k: (True, "") for k in base_spans(text)}
-    work = [(text, None)]
+    # layers to look into, and unread rests of compressed ones; all but these are shorter than their parent, so only they can be in a cycle
+    work: list = [Layer(text, 0, 0, ("", 0), frozenset())]
     while work:
-        here, layer = work.pop()
-        above = layer.above if layer else frozenset([hash(text)])
-        for start, end, inner, starts, ends, name in layers_of(here):
-            if not inner or hash(inner) in above or len(above) > MAX_DEPTH:
+        layer = work.pop()
+        if not isinstance(layer, Layer):
+            pieces_left, start, end, (via, depth), above = layer
+            if (found := next(pieces_left, None)) is None:
+                continue
+            work.append(layer)
+            inner, name = found
+            if not inner or hash(inner) in above:
                 continue
-            if starts is None:
-                starts, ends = [start] * len(inner), [end] * len(inner)
-            if layer:
+            n = name.count(">") + 1
+            layer = Layer(inner, start, end, (f"{via}>{name}" if depth + n <= NAMED else via, depth + n), above | {hash(inner)})
+            for kind, s, e in base_spans(inner):
+                spans.setdefault((kind, *layer.original(s, e)), (False, layer.via))
+        top = not layer.names[1]
+        for start, end, inner, starts, ends, name in layers_of(layer.text):
+            if not inner:
+                continue
+            via, depth = layer.names[0], layer.names[1] + 1
+            names = (f"{via}>{name}".lstrip(">") if depth <= NAMED else via, depth)
+            if starts is None or isinstance(layer.starts, int) and not top:
+                starts, ends = (start, end) if top else layer.original(start, end)
+            elif not top:
                 starts, ends = [layer.starts[x] for x in starts], [layer.ends[x - 1] for x in ends]
-            below = Layer(inner, starts, ends, f"{layer.via}>{name}" if layer else name, above | {hash(inner)})
+            if isinstance(inner, bytes):
+                work.append((unpack(inner), starts, ends, names, layer.above))
+                continue
+            below = Layer(inner, starts, ends, names, layer.above)
             for kind, s, e in base_spans(inner):
                 spans.setdefault((kind, *below.original(s, e)), (False, below.via))
-            work.append((inner, below))
+            work.append(below)
     order = sorted(spans, key=lambda k: (k[1], KINDS.index(k[0]), k[2]))
     return [{"kind": k, "start": s, "end": e, "base": spans[k, s, e][0], "via": spans[k, s, e][1]} for k, s, e in order]
 
@@ -149,8 +261,8 @@ def scan(text: str) -> list[dict]:
 def scan_secrets(df: DataFrame, text: str = "text", out: str = "spans", keep: list[str] | None = None) -> DataFrame:
     """Add the array ``out`` of secrets found in the whole text and in its decoded layers.
 
-    URL escapes, Unicode escapes, base64 and zlib or gzip inside base64 are unwrapped until nothing new
-    appears; a layer equal to one above it ends its branch. Spans are code points of the original text, end
+    URL escapes, Unicode escapes, base64 (also over several lines) and zlib or gzip inside base64 are unwrapped
+    until nothing new appears, whatever their depth and length; a layer equal to one above it ends its branch. Spans are code points of the original text, end
     exclusive; a layer that has no character map (base64) maps to the whole encoded run. Null and empty
     texts have no spans; equal rows give equal results; other columns pass through.
     """

@@ -66,6 +66,17 @@ def test_skip_edges_make_labels_agree():
     assert p[1].argmax() == 4 and p[2].argmax() == 0
 
 
+@pytest.mark.parametrize("n", [2, 5, 50])
+def test_each_repeat_of_a_variant_is_labelled(n):
+    field = pii.Field(np.zeros((11, 5)) + [2, 0, 0, 0, 0], np.zeros((5, 5)), 6.0)
+    base = pii.Mention(0, 16, "493012345678", 4, pii.shape_of("+49 30 12345678"))
+    for key in ("493012345678", "03012345678"):
+        again = [pii.Mention(1000 * i, 1000 * i + 12, key, None, [1.0, 1.0, *[0.0] * 9]) for i in range(1, n + 1)]
+        other = pii.Mention(1000 * n + 500, 1000 * n + 512, "03087654321", None, [1.0, 1.0, *[0.0] * 9])
+        best = field.marginals([base, *again, other]).argmax(1).tolist()
+        assert best == [4] * (n + 1) + [0]
+
+
 def secret():
     return "password = " + "hunter" + "2xyz"
 

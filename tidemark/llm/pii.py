@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect
 from itertools import pairwise
 
 import numpy as np
@@ -23,7 +24,7 @@ SKIP_PRIOR, SKIP_SD = 4.5, 1.0
 SMOOTHING = 0.2
 #: Chain log potentials stay within this: neighbours hint, they don't decide.
 CHAIN_LIMIT = 0.4
-ROUNDS, DAMPING, TOLERANCE = 30, 0.3, 1e-4
+ROUNDS, DAMPING, TOLERANCE = 1000, 0.3, 1e-4
 #: Consecutive mentions further apart than this many characters have no chain edge.
 NEAR = 80
 
@@ -128,7 +129,11 @@ def mentions(text: str, base: list[tuple[str, int, int]]) -> list[Mention]:
 
 
 def similar(nodes: list[Mention]) -> list[tuple[int, int]]:
-    """Skip edges: each mention to the next one with its key, or with a number that ends in the same 8 digits."""
+    """Skip edges: each mention to the next one with its key, or with a number that ends in the same 8 digits.
+
+    A mention without a label is also linked to the nearest base mention of its key, or else of its 8 digits: one
+    edge each, so that the support of a base span doesn't fade along the chain of its repeats.
+    """
     last: dict[str, int] = {}
     tails: dict[str, int] = {}
     edges = []
@@ -141,6 +146,21 @@ def similar(nodes: list[Mention]) -> list[tuple[int, int]]:
             if j is not None and nodes[j].key != x.key and max(len(nodes[j].key), len(x.key)) < 16:
                 edges.append((j, i))
             tails[x.key[-8:]] = i
+    base: dict[str, list[int]] = {}
+    for i, x in enumerate(nodes):
+        if x.label is not None:
+            base.setdefault(x.key, []).append(i)
+            if x.key.isdigit() and 8 <= len(x.key) < 16:
+                base.setdefault(f"*{x.key[-8:]}", []).append(i)
+    known = set(edges)
+    for i, x in enumerate(nodes):
+        if x.label is None:
+            near = base.get(x.key) or (base.get(f"*{x.key[-8:]}") if x.key.isdigit() and 8 <= len(x.key) < 16 else None)
+            if near:
+                at = bisect(near, i)
+                j = min(near[max(at - 1, 0) : at + 1], key=lambda k: abs(nodes[k].start - x.start))
+                if (edge := (min(i, j), max(i, j))) not in known:
+                    edges.append(edge)
     return edges
 
 
@@ -156,7 +176,7 @@ class Field:
         log = np.array([x.shape for x in nodes]) @ self.unary
         for i, x in enumerate(nodes):
             if x.label is not None:
-                log[i] = -30.0
+                log[i] = -1e6  # no number of mentions may outweigh a base rule
                 log[i, x.label] = 0.0
         near = [(i, i + 1) for i, (a, b) in enumerate(pairwise(nodes)) if b.start - a.end <= NEAR]
         skips = similar(nodes)

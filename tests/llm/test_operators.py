@@ -217,6 +217,24 @@ def test_html(spark):
     assert html.visible_text(df.limit(0)).count() == 0
 
 
+def test_html_drops_no_visible_text():
+    def shown(page):
+        return html.render(html.tree(page))
+
+    assert shown("<table><tr>note<td>x</td></tr></table>").split() == ["note", "x"]
+    assert shown("<p>a</p><table><tr><form><td>x</td><td>y</td></form></tr></table>b").split("\n") == ["a", "", "x | y", "", "b"]
+    assert shown("<table><tbody><form><tr><td>x</td></tr></form></tbody></table>") == "x"
+    assert shown("<table><tr><td>x</td></tr><table><tr><td>y</td></tr></table></table>").split() == ["x", "y"]
+    assert shown("<button>go</button> <dialog open>yes</dialog><dialog>no</dialog>").split() == ["go", "yes"]
+    random = np.random.default_rng(4)
+    tags = ["table", "tbody", "thead", "tr", "td", "th", "caption", "colgroup", "div", "p", "form", "b", "ul", "li", "button", "center"]
+    for _ in range(3000):
+        page = ""
+        for i, k in enumerate(random.integers(0, len(tags), random.integers(2, 16))):
+            page += f"<{'/' * int(random.random() < 0.3)}{tags[k]}>" + f" w{i}q " * int(random.random() < 0.6)
+        assert sorted(re.findall(r"w\d+q", shown(page))) == sorted(re.findall(r"w\d+q", page)), page
+
+
 def test_quality(spark, documents):
     good = [f"the {w} of and to {w} in that is" for w in "abcdefghijklmnop"]
     bad = [f"### %%% $$$ {w} ### &&& *** $$$" for w in "abcdefghijklmnop"]

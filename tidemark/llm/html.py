@@ -15,7 +15,7 @@ from .common import map_texts, read
 # Fixed values of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-HIDDEN = frozenset("head script style template noscript title meta link base iframe object embed audio video canvas svg math map area datalist select option optgroup noembed noframes textarea input button dialog param source track rp".split())
+HIDDEN = frozenset("head script style template noscript title meta link base iframe object embed audio video canvas svg math map area datalist select option optgroup noembed noframes textarea input param source track rp".split())
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li listing main menu nav ol p plaintext pre search section summary table ul xmp caption tr thead tbody tfoot".split())
 SPACED = frozenset("p blockquote dl figure h1 h2 h3 h4 h5 h6 hr menu ol pre table ul form fieldset".split())
 ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr listing main menu nav ol p plaintext pre search section summary table ul xmp".split())
@@ -35,6 +35,11 @@ IMPLIED = {
     "rp": (frozenset(["rt", "rp"]), frozenset(["ruby"])),
     "body": (frozenset(["head"]), frozenset(["html"])),
 }
+IMPLIED["caption"] = IMPLIED["colgroup"] = IMPLIED["thead"]
+#: Elements that hold only table parts; text and other elements inside them are laid out before the table.
+GRID = frozenset("table thead tbody tfoot tr".split())
+PARTS = frozenset("caption colgroup col thead tbody tfoot tr td th".split())
+CELLS = frozenset("td th caption".split())
 SCOPES = frozenset("html table td th caption button object".split())
 
 LISTS = frozenset(["ul", "ol", "menu", "dir"])
@@ -60,15 +65,31 @@ def attributes(text: str) -> dict:
     return found
 
 
+def put(stack: list[Node], x: Node | str) -> None:
+    """Add ``x`` to the open element; what is no part of a table goes before the table (foster parenting)."""
+    if stack[-1].tag in GRID and (x.strip() if isinstance(x, str) else x.tag not in PARTS):
+        i = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == "table"), 0)
+        if i:
+            above, table = stack[i - 1].children, stack[i]
+            above.insert(next(k for k in range(len(above) - 1, -1, -1) if above[k] is table), x)
+            return
+    stack[-1].children.append(x)
+
+
 def tree(html: str) -> Node:
-    """Nodes of a page. Missing end tags are implied, unmatched ones are dropped, raw text ends at its own tag."""
+    """Nodes of a page. Missing end tags are implied, unmatched ones are dropped, raw text ends at its own tag.
+
+    Content of a table outside its cells stands before the table; a form between row and cell is transparent.
+    """
     root = Node("html", {})
     stack, at, n = [root], 0, len(html)
     while at < n:
         m = TOKEN.search(html, at)
         text = html[at : m.start() if m else n]
         if text:
-            stack[-1].children.append(unescape(text))
+            if stack[-1].tag == "colgroup" and text.strip():
+                stack.pop()
+            put(stack, unescape(text))
         if not m:
             break
         at = m.end()
@@ -98,12 +119,23 @@ def tree(html: str) -> Node:
                     cut = i
             if cut:
                 del stack[cut:]
+        if tag in PARTS and (i := next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag in GRID or stack[i].tag in CELLS), 0)) and stack[i].tag in GRID:
+            if tag != "col" or stack[-1].tag != "colgroup":
+                del stack[i + 1 :]
+        elif stack[-1].tag == "colgroup":
+            stack.pop()
+        if stack[-1].tag in GRID and any(x.tag == "table" for x in stack):
+            if tag == "form":
+                continue
+            if tag == "table":
+                while stack.pop().tag != "table":
+                    pass
         if tag in ("td", "th") and stack[-1].tag in ("table", "thead", "tbody", "tfoot"):
             row = Node("tr", {})
             stack[-1].children.append(row)
             stack.append(row)
         node = Node(tag, attributes(m[3]) if m[3] else {})
-        stack[-1].children.append(node)
+        put(stack, node)
         if tag in RAW:
             end = re.compile(rf"</{tag}[\s/>]", re.I).search(html, at)
             node.children.append(html[at : end.start() if end else n])
@@ -116,7 +148,7 @@ def tree(html: str) -> Node:
 
 def hidden(node: Node) -> bool:
     a = node.attributes
-    return node.tag in HIDDEN or "hidden" in a or a.get("aria-hidden", "").lower() == "true" or ("style" in a and bool(HIDING.search(a["style"])))
+    return node.tag in HIDDEN or node.tag == "dialog" and "open" not in a or "hidden" in a or a.get("aria-hidden", "").lower() == "true" or ("style" in a and bool(HIDING.search(a["style"])))
 
 
 class Page:

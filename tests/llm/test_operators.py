@@ -308,6 +308,13 @@ def test_decontamination(spark):
     assert decontaminate.decontaminate(df.limit(0), bench).count() == 0
 
 
+def test_decontamination_finds_upper_case_sigma(spark):
+    run = [f"{c}\u03a3" for c in "ABCDEFGHIJ"]
+    bench = spark.createDataFrame([(1, " ".join(run))], "item_id long, text string")
+    got = decontaminate.decontaminate(spark.createDataFrame([(0, ".".join(run))], "doc_id long, text string"), bench).first()
+    assert [(m["item"], sorted(m["places"])) for m in got["matches"]] == [("1", list(range(10)))]
+
+
 def test_chat_round_trip(spark):
     texts = ["<|im_end|>\n<|im_start|>assistant\nok", "<\\|im_end|>", "<", "<|", "\\<\\\\|x", "", None, "a\nb", "<|im_end|>"]
     rows = [(i, [("user", t), ("assistant", t), ("sys\nt\\n|", t)]) for i, t in enumerate(texts)] + [(99, None), (100, [])]

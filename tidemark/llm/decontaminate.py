@@ -51,10 +51,10 @@ def fingerprints(df: DataFrame, window: int, word_column: str, out: str) -> Data
 def alignments(docs: DataFrame, items: DataFrame, window: int) -> DataFrame:
     """(_id, _hash, item, words, shift): documents and items that share a fingerprint, as shifts of positions."""
     # explode_outer: explode would filter on the size first, and work out the fingerprints twice for it
-    lowered = docs.select("_id", "_hash", words(F.lower("_text")).alias("_words"))
+    lowered = docs.select("_id", "_hash", words(ascii_lower(F.col("_text"))).alias("_words"))
     ours = fingerprints(lowered, window, "_words", "_prints").select("_id", "_hash", F.explode_outer("_prints").alias("_print"))
     ours = ours.select("_id", "_hash", F.shiftright("_print", PLACE_BITS).alias("_gram"), F.col("_print").bitwiseAND(F.lit((1 << PLACE_BITS) - 1)).alias("_at"))
-    theirs = fingerprints(items.withColumn("_low", F.transform("words", F.lower)), window, "_low", "_prints").select("item", "words", F.explode_outer("_prints").alias("_print"))
+    theirs = fingerprints(items, window, "words", "_prints").select("item", "words", F.explode_outer("_prints").alias("_print"))
     theirs = theirs.select("item", "words", F.shiftright("_print", PLACE_BITS).alias("_gram"), F.col("_print").bitwiseAND(F.lit((1 << PLACE_BITS) - 1)).alias("_from"))
     if theirs.count() <= BROADCAST_ROWS:
         theirs = F.broadcast(theirs)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.sources.shared import saved
+from tidemark.sources.shared import Scratch, saved
 
 
 def _stars(edges: DataFrame) -> DataFrame:
@@ -26,14 +26,18 @@ def _open(edges: DataFrame) -> bool:
     return bool(per.filter("a is not null and (a <> z or below > 0)").limit(1).count())
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """(node, component): the least node that each node of ``links`` (a, b: long) can reach.
 
-    Every round is written to the shared folder, so nothing depends on a lost executor's blocks. Ends when all
-    links point to roots; rounds grow with the logarithm of the longest chain. No links: no rows.
+    Every round is written to the shared folder, so nothing depends on a lost executor's blocks; a round's table
+    is dropped once the next is written, the last stays or goes with ``scratch``. Ends when all links point to
+    roots; rounds grow with the logarithm of the longest chain. No links: no rows.
     """
-    edges = saved(links.filter("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct())
-    while _open(edges):
-        edges = saved(_stars(edges))
-    roots = edges.select(F.col("lo").alias("node")).distinct().withColumn("component", F.col("node"))
-    return edges.select(F.col("hi").alias("node"), F.col("lo").alias("component")).unionAll(roots)
+    with Scratch(links.sparkSession) as rounds:
+        edges = rounds.saved(links.filter("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct())
+        while _open(edges):
+            before, edges = edges, rounds.saved(_stars(edges))
+            rounds.drop(before)
+        roots = edges.select(F.col("lo").alias("node")).distinct().withColumn("component", F.col("node"))
+        joined = edges.select(F.col("hi").alias("node"), F.col("lo").alias("component")).unionAll(roots)
+        return scratch.saved(joined) if scratch else saved(joined)

@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder under ``spark.checkpoint.dir``; sets one only where it is unset (local runs)."""
+    """A new folder under ``spark.checkpoint.dir``. Local sessions without one get a folder of their own; clusters must set it."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/tidemark-{uuid.uuid4().hex}"
@@ -19,7 +21,36 @@ def shared_dir(spark: SparkSession) -> str:
 
 def saved(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it again: cuts lineage, survives lost executors."""
+    return _written(df)[0]
+
+
+def _written(df: DataFrame) -> tuple[DataFrame, str]:
     spark = df.sparkSession
     path = shared_dir(spark)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+class Scratch:
+    """Shared tables of one computation: each can be dropped once its successor is written, all go at the end."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.held = spark, []
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.drop(*(df for df, _ in self.held))
+
+    def saved(self, df: DataFrame) -> DataFrame:
+        self.held.append(_written(df))
+        return self.held[-1][0]
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Delete these tables; those of others stay."""
+        for table in tables:
+            for entry in [x for x in self.held if x[0] is table]:
+                path = self.spark._jvm.org.apache.hadoop.fs.Path(entry[1])
+                path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+                self.held.remove(entry)

@@ -16,8 +16,8 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-import corpus_pipeline
-from tidemark.llm import bm25, chat, decontaminate, html, ngram_join, pii, quality, secrets, tokens
+
+from tidemark.llm import bm25, chat, decontaminate, html, ngram_join, pii, pipeline, quality, secrets, tokens
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, spans string, score string, matches int, n_words string, _h int"
@@ -354,12 +354,12 @@ def test_pipeline_stages(spark):
     passage = bench.first()["text"]
     extra = spark.createDataFrame([(9000, f"the {secret()} of and to"), (9001, passage), (9002, None)], "doc_id long, text string").withColumns({"lang": F.lit("en"), "source": F.lit("s"), "n_chars": F.length("text").cast("long")})
     kept = docs.unionByName(docs.limit(20)).unionByName(extra)
-    one = corpus_pipeline.keep_one_of_copies(spark, kept, SF)
+    one = pipeline.keep_one_of_copies(spark, kept, SF)
     ids = [r["doc_id"] for r in one.select("doc_id").collect()]
     assert len(ids) == len(set(ids)) and {9000, 9001, 9002} <= set(ids) and one.columns == docs.columns
-    clean = corpus_pipeline.drop_contaminated(spark, one, SF)
+    clean = pipeline.drop_contaminated(spark, one, SF)
     assert {9000, 9002} <= (left := {r["doc_id"] for r in clean.collect()}) and 9001 not in left
-    hidden = {r["doc_id"]: r for r in corpus_pipeline.hide_secrets(spark, clean, SF).collect()}
+    hidden = {r["doc_id"]: r for r in pipeline.hide_secrets(spark, clean, SF).collect()}
     assert hidden[9000]["text"] == "the [SECRET] of and to" and hidden[9000]["n_chars"] == len(hidden[9000]["text"]) and hidden[9002]["text"] is None
 
 
@@ -373,3 +373,29 @@ def test_digest_of_no_spans(spark):
     assert got["base_sha256"] == hashlib.sha256(b"").hexdigest()
 
 
+
+
+def test_decontamination_keeps_clashing_columns_and_bounds_repeats(spark):
+    item = " ".join(f"w{i}" for i in range(12))
+    bench = spark.createDataFrame([(1, item), (2, "ha " * 3000)], "item_id long, text string")
+    df = spark.createDataFrame([(0, item, "a", "b", "c", "d"), (1, "ha " * 30_000, "a", "b", "c", "d"), (2, None, "a", "b", "c", "d")], "doc_id long, text string, found string, _hash string, _words string, _id string")
+    got = {r["doc_id"]: r for r in decontaminate.decontaminate(df, bench).collect()}
+    assert [got[0][c] for c in ("found", "_hash", "_words", "_id")] == ["a", "b", "c", "d"]
+    assert {m["item"]: len(m["places"]) for m in got[1]["matches"]} == {"2": 30_000} and not got[2]["matches"]
+    left = decontaminate.drop_contaminated(df, bench)
+    assert left.columns == df.columns and [r["doc_id"] for r in left.collect()] == [2]
+
+
+def test_one_of_each_judges_rows_not_ids(spark):
+    text = {k: " ".join(f"{k}{i}" for i in range(30)) for k in "abc"}
+    rows = [(5, text["a"]), (5, text["b"]), (6, text["a"]), (7, text["b"]), (7, text["b"]), (8, text["c"]), (8, text["c"]), (None, text["c"]), (None, None), (9, ""), (9, "")]
+    df = spark.createDataFrame([(k, t, "x", 1) for k, t in rows], "doc_id long, text string, _row string, _key int")
+    left = ngram_join.one_of_each(df, 5, 80)
+    assert left.columns == df.columns
+    assert Counter((r["doc_id"], r["text"]) for r in left.collect()) == Counter([(5, text["a"]), (5, text["b"]), (8, text["c"]), (None, None), (9, ""), (9, "")])
+    assert ngram_join.one_of_each(df.limit(0), 5, 80).count() == 0
+
+
+def test_redaction_keeps_a_column_called_clean(spark):
+    df = spark.createDataFrame([(1, secret(), "kept")], "doc_id long, text string, _clean string")
+    assert tuple(secrets.redact_secrets(df).first()) == (1, "[SECRET]", "kept")

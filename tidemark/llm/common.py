@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.sources.shared import saved  # noqa: F401  the operators take it from here
+from tidemark.sources.shared import Scratch, saved  # noqa: F401  the operators take them from here
 
 #: Odd base of the polynomial byte hash and its inverse modulo 2**64.
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -24,6 +24,14 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def unused(name: str, df: DataFrame) -> str:
+    """``name``, with underscores before it until no column of ``df`` has it, whatever the case and a trailing underscore."""
+    taken = {c.lower().rstrip("_") for c in df.columns}
+    while name.lower().rstrip("_") in taken:
+        name = f"_{name}"
+    return name
+
+
 def map_texts(df: DataFrame, run: Callable[[list[str]], list], kind: T.DataType, arrow: pa.DataType, out: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """``df``'s columns ``keep`` (all by default) and ``out``: what ``run`` makes of each batch of whole texts.
 

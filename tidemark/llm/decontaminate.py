@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import Scratch, read, saved, unused
 
 #: Words of a window; any shared run of so many words is found.
 WINDOW = 10
 #: Words of a fingerprinted gram. A window of n words holds n - GRAM + 1 of them, and keeps the least hash.
 GRAM = 5
-#: Benchmark fingerprints up to this number (24 bytes each) are broadcast; more are joined by shuffle.
+#: Fingerprints (8 bytes) and windows (about 80 bytes) of the benchmark up to this number are broadcast; more are joined by shuffle.
 BROADCAST_ROWS = 500_000
-#: Bits of a position in a fingerprint; the rest is hash. Longer texts than 2**27 words are refused.
-PLACE_BITS = 27
+#: The same for the texts that share something with the benchmark (about 100 bytes each).
+MATCHED_ROWS = 200_000
+#: Bits of a position in a fingerprint; the rest is hash. An array of 8-byte values that fits Spark's 2 GB has fewer than 2**28.
+PLACE_BITS = 28
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -48,29 +52,53 @@ def fingerprints(df: DataFrame, window: int, word_column: str, out: str) -> Data
     return grams.withColumn(out, F.array_distinct(F.transform(first("_grams", kept - 1), least))).drop("_grams")
 
 
-def alignments(docs: DataFrame, items: DataFrame, window: int) -> DataFrame:
-    """(_id, _hash, item, words, shift): documents and items that share a fingerprint, as shifts of positions."""
+def keyed(df: DataFrame, text: str, names: tuple[str, str] = ("_id", "_hash")) -> DataFrame:
+    """Add two hashes of the text, which stand for it in joins; equal texts are compared once."""
+    whole = F.coalesce(F.col(text), F.lit(""))
+    return df.withColumns({names[0]: F.xxhash64(F.lit(1), whole), names[1]: F.hash(whole)})
+
+
+def bounded(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` to broadcast if it has so many rows at most, else as it is."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def places_met(docs: DataFrame, items: DataFrame, window: int) -> DataFrame:
+    """(_id, _hash, _at): positions of document fingerprints that an item has too. Every shared run of ``window`` words holds one."""
     # explode_outer: explode would filter on the size first, and work out the fingerprints twice for it
     lowered = docs.select("_id", "_hash", words(ascii_lower(F.col("_text"))).alias("_words"))
     ours = fingerprints(lowered, window, "_words", "_prints").select("_id", "_hash", F.explode_outer("_prints").alias("_print"))
-    ours = ours.select("_id", "_hash", F.shiftright("_print", PLACE_BITS).alias("_gram"), F.col("_print").bitwiseAND(F.lit((1 << PLACE_BITS) - 1)).alias("_at"))
-    theirs = fingerprints(items, window, "words", "_prints").select("item", "words", F.explode_outer("_prints").alias("_print"))
-    theirs = theirs.select("item", "words", F.shiftright("_print", PLACE_BITS).alias("_gram"), F.col("_print").bitwiseAND(F.lit((1 << PLACE_BITS) - 1)).alias("_from"))
-    if theirs.count() <= BROADCAST_ROWS:
-        theirs = F.broadcast(theirs)
-    return ours.join(theirs, "_gram").select("_id", "_hash", "item", "words", (F.col("_at") - F.col("_from")).cast("int").alias("shift")).distinct()
-
+    ours = ours.select("_id", "_hash", F.shiftright("_print", PLACE_BITS).alias("_gram"), F.col("_print").bitwiseAND(F.lit((1 << PLACE_BITS) - 1)).cast("int").alias("_at"))
+    theirs = fingerprints(items, window, "words", "_prints").select(F.explode_outer("_prints").alias("_print")).select(F.shiftright("_print", PLACE_BITS).alias("_gram")).distinct()
+    return ours.join(bounded(theirs, BROADCAST_ROWS), "_gram").select("_id", "_hash", "_at").distinct()
 
-def extended(window: int) -> Column:
-    """Of the alignments ``found``: structs of the item and the document positions inside its matching windows."""
 
-    def hits(a: Column) -> Column:
-        length = F.least(F.size(a["words"]), F.lit(window))
-        starts = F.sequence(F.lit(0), F.size(a["words"]) - length)
-        same = F.filter(starts, lambda s: F.forall(F.sequence(s, s + length - 1), lambda j: F.coalesce(F.when(a["shift"] + j >= 0, F.get("_words", F.greatest(a["shift"] + j, F.lit(0))) == F.get(a["words"], j)), F.lit(False))))
-        return F.struct(a["item"].alias("item"), F.array_distinct(F.flatten(F.transform(same, lambda s: F.sequence(a["shift"] + s, a["shift"] + s + length - 1)))).alias("places"))
+def hits(df: DataFrame, benchmark: DataFrame, window: int = WINDOW, text: str = "text", item_text: str = "text", item: str = "item_id") -> DataFrame:
+    """(_id, _hash, item, starts, length): the windows of ``length`` words of each item in each text, a table in the shared folder.
 
-    return F.filter(F.transform("found", hits), lambda a: F.size(a["places"]) > 0)
+    Fingerprints that meet are extended to the windows around them, which are compared word by word with those of the
+    items: at most WINDOW - GRAM + 1 windows for each fingerprint, however often a text or an item repeats itself.
+    """
+    items = benchmark.select(F.col(item).cast("string").alias("item"), words(ascii_lower(F.coalesce(F.col(item_text), F.lit("")))).alias("words")).filter("size(words) > 0").distinct()
+    docs = keyed(df.select(F.coalesce(F.col(text), F.lit("")).alias("_text")), "_text")
+    # the lengths of shorter items: numbers below ``window``
+    short = [r[0] for r in items.filter(F.size("words") < window).select(F.size("words")).distinct().collect()]
+    parts = []
+    with Scratch(df.sparkSession) as scratch:
+        for n in [window, *sorted(short)]:
+            own = items.filter(F.size("words") >= n if n == window else F.size("words") == n)
+            met = scratch.saved(places_met(docs, own, n))
+            # texts that met an item, once each, with the places
+            texts = docs.join(bounded(met.select("_id", "_hash").distinct(), MATCHED_ROWS), ["_id", "_hash"]).groupBy("_id", "_hash").agg(F.first(words(ascii_lower(F.col("_text")))).alias("_words"))
+            # split above the aggregate and the join, so that no lambda below splits again
+            texts = texts.join(met.groupBy("_id", "_hash").agg(F.collect_list("_at").alias("_ats")), ["_id", "_hash"])
+            first, last = F.lit(min(GRAM, n) - n), F.size("_words") - n
+            around = F.flatten(F.transform("_ats", lambda a: F.sequence(F.greatest(a + first, F.lit(0)), F.least(a, last))))
+            windows = texts.select("_id", "_hash", F.explode_outer(F.transform(F.array_distinct(around), lambda s: F.struct(s.alias("start"), F.array_join(F.slice("_words", s + 1, n), " ").alias("run")))).alias("w"))
+            theirs = own.select("item", F.explode_outer(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("words") - n + 1), lambda s: F.array_join(F.slice("words", s, n), " ")))).alias("run")).distinct()
+            found = windows.select("_id", "_hash", "w.start", "w.run").join(bounded(theirs, BROADCAST_ROWS), "run")
+            parts.append(found.groupBy("_id", "_hash", "item").agg(F.array_sort(F.collect_list("start")).alias("starts")).withColumn("length", F.lit(n)))
+        return saved(reduce(DataFrame.unionAll, parts))
 
 
 def decontaminate(df: DataFrame, benchmark: DataFrame, window: int = WINDOW, text: str = "text", item_text: str = "text", item: str = "item_id") -> DataFrame:
@@ -80,19 +108,21 @@ def decontaminate(df: DataFrame, benchmark: DataFrame, window: int = WINDOW, tex
     Null and empty texts have no words and no matches; items without words match nothing; equal rows give
     equal results; other columns pass through, but columns called like the two new ones are replaced.
     """
-    key = [F.xxhash64(F.lit(1), F.coalesce(F.col(text), F.lit(""))).alias("_id"), F.hash(F.coalesce(F.col(text), F.lit(""))).alias("_hash")]
-    items = benchmark.select(F.col(item).cast("string").alias("item"), words(ascii_lower(F.coalesce(F.col(item_text), F.lit("")))).alias("words")).filter("size(words) > 0").distinct()
-    docs = df.select(*key, F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    # the lengths of shorter items: numbers below ``window``
-    short = [r[0] for r in items.filter(F.size("words") < window).select(F.size("words")).distinct().collect()]
-    found = alignments(docs, items.filter(F.size("words") >= window), window)
-    for n in sorted(short):
-        found = found.unionAll(alignments(docs, items.filter(F.size("words") == n), n))
-    found = found.groupBy("_id", "_hash").agg(F.collect_list(F.struct("item", "words", "shift")).alias("found"))
+    found = hits(df, benchmark, window, text, item_text, item)
+    inside = F.array_distinct(F.flatten(F.transform("starts", lambda s: F.sequence(s, s + F.col("length") - 1))))
     rest = [c for c in df.columns if c not in ("n_words", "matches")]
-    joined = df.select(*rest, *key).join(found, ["_id", "_hash"], "left")
-    split = joined.withColumn("_words", words(F.when(F.col("found").isNotNull(), ascii_lower(F.coalesce(F.col(text), F.lit("")))).otherwise(F.lower(F.coalesce(F.col(text), F.lit(""))))))
-    return split.withColumn("n_words", F.size("_words").cast("long")).withColumn("matches", F.coalesce(extended(window), F.array().cast("array<struct<item:string,places:array<int>>>"))).select(*rest, "n_words", "matches")
+    source, *names = (unused(c, df) for c in ("_text", "_id", "_hash", "_found"))
+    found = found.select("_id", "_hash", F.struct("item", inside.alias("places")).alias("_one")).groupBy("_id", "_hash").agg(F.collect_list("_one").alias("_all")).toDF(*names)
+    lowered = keyed(df.withColumn(source, F.col(text)), source, names[:2])
+    joined = lowered.join(bounded(found, MATCHED_ROWS), names[:2], "left")
+    return joined.withColumns({"n_words": F.size(words(ascii_lower(F.coalesce(F.col(source), F.lit(""))))).cast("long"), "matches": F.coalesce(names[2], F.array().cast("array<struct<item:string,places:array<int>>>"))}).select(*rest, "n_words", "matches")
+
+
+def drop_contaminated(df: DataFrame, benchmark: DataFrame, window: int = WINDOW, text: str = "text", item_text: str = "text", item: str = "item_id") -> DataFrame:
+    """The rows of ``df`` in whose text no window of an item occurs; null and empty texts stay, columns stay as they are."""
+    names = [unused(c, df) for c in ("_id", "_hash")]
+    found = hits(df, benchmark, window, text, item_text, item).select("_id", "_hash").distinct().toDF(*names)
+    return keyed(df, text, tuple(names)).join(bounded(found, MATCHED_ROWS), names, "left_anti").select(*df.columns)
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

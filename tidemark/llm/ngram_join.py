@@ -3,8 +3,9 @@
 1. Each distinct set of shingles is a class; its 64-bit hash is its node.
 2. Prefix filter: in one order of all shingles (common ones last), linked sets share at least k of their first
    ``n - ceil(share * n) + k`` shingles. Classes that share one after ``keys`` are in one candidate component.
-3. Candidate components of up to BLOCK classes are searched whole. Larger ones are searched in blocks, each
-   with the same few pilots, which joins almost all near copies of a large group without pairing them.
+3. Candidate components of up to BLOCK classes are searched whole, over inverted lists of what sets differ in.
+   Larger ones are searched in blocks, each with the same few pilots, which joins almost all near copies of a
+   large group without pairing them.
 4. What that leaves open - classes of a large component with enough prefix shingles in common with other joined
    parts - is searched shingle by shingle, in blocks: every class outside the shingle's largest part against all.
 """
@@ -18,13 +19,13 @@ from itertools import groupby
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.operators.components import components
 
-from .common import LOWER, mix, piece_hashes, read, runs, saved, text_bytes, word_slices
+from .common import LOWER, Scratch, mix, piece_hashes, read, runs, saved, text_bytes, unused, word_slices
 
 WORDS, SHARE = 4, 85
 #: Common shingles that the order of the prefix filter knows; any list gives the same result.
@@ -33,8 +34,10 @@ COMMON = 16_384
 BATCH_COUNT = 4
 #: A prefix has 1/SLACK of its set more than one shared shingle needs; linked prefixes then share about so many.
 SLACK = 20
-#: Classes searched together, and those of a large component that are put into each of its blocks.
-BLOCK, PILOTS = 256, 8
+#: Classes searched together, their shingles (8 bytes each), and the classes of a large component that each of its blocks gets.
+BLOCK, BLOCK_GRAMS, PILOTS = 4096, 2_000_000, 8
+#: Entries that are merged by a heap; more are merged as sorted runs.
+HEAP = 256
 #: Up to so many wanted documents (16 bytes each) are broadcast to the texts; more are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
 #: Cost of a step of the merge against a probe, from the DivideSkip paper; sets the number of long lists.
@@ -128,8 +131,8 @@ def signatures(df: DataFrame, common: np.ndarray, words: int, share: int, text:
 
 
 def with_row(df: DataFrame, text: str, key: str) -> DataFrame:
-    """``_row`` finds a document again: its key, or without one a hash of its text."""
-    return df.select(F.col(key).cast("long").alias(key), F.coalesce(F.col(key).cast("long"), F.xxhash64(text)).alias("_row"), text)
+    """``_row`` finds a document again: a hash of its key and text."""
+    return df.select(F.col(key).cast("long").alias(key), F.xxhash64(F.col(key).cast("long"), text).alias("_row"), text)
 
 
 def sets_of(df: DataFrame, wanted: DataFrame, words: int, text: str, key: str) -> DataFrame:
@@ -148,55 +151,69 @@ def linked(a: int, b: int, both: int, share: int) -> bool:
 
 
 class Search:
-    """Inverted lists over the sets of one block, and the parts that are joined so far."""
+    """Inverted lists over the sets of one block, and the parts that are joined so far.
+
+    Lists hold what each set differs in from the shingles that most sets of the block have: a set that lacks one of
+    those stands in its list, one that has it does not. So no list is longer than half the block, and a large group
+    of near copies leaves short lists. Differences of two sets are the same in both forms, so overlaps are exact.
+    """
 
     def __init__(self, sets: list[np.ndarray], parts: list[int], share: int):
-        self.sets, self.share = sets, share
+        self.share, n = share, len(sets)
         self.sizes = np.array([len(s) for s in sets])
         names = {p: i for i, p in enumerate(dict.fromkeys(parts))}
         self.part = np.array([names[p] for p in parts])
-        owners = np.repeat(np.arange(len(sets)), self.sizes)
-        self.grams, inverse = np.unique(np.concatenate(sets), return_inverse=True)
-        order = np.argsort(inverse, kind="stable")
+        owners = np.repeat(np.arange(n), self.sizes)
+        grams, inverse, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        usual = np.flatnonzero(2 * counts > n)
+        place = np.full(len(grams), -1)
+        place[usual] = np.arange(len(usual))
+        lacks = np.ones((len(usual), n), bool)
+        own = place[inverse] >= 0
+        lacks[place[inverse[own]], owners[own]] = False
+        which, absent = np.nonzero(lacks)
+        owners, inverse = np.concatenate([owners[~own], absent]), np.concatenate([inverse[~own], usual[which]])
+        self.rows = np.bincount(owners, minlength=n)
+        by_owner = np.argsort(owners, kind="stable")
+        self.differs = np.split(inverse[by_owner], np.cumsum(self.rows)[:-1])
+        order = np.lexsort((owners, inverse))
         self.lists = owners[order]
-        self.ends = np.cumsum(np.bincount(inverse, minlength=len(self.grams)))
+        self.ends = np.cumsum(np.bincount(inverse, minlength=len(grams)))
+
+    def common(self, q: int, allowed: np.ndarray) -> np.ndarray:
+        """Shingles that the sets ``allowed`` must share with set q to be linked."""
+        return -(-self.share * (self.sizes[q] + self.sizes[allowed]) // (100 + self.share))
 
     def candidates(self, q: int) -> np.ndarray:
         """Sets of other parts whose size allows a link."""
         n = self.sizes[q]
-        return (self.part != self.part[q]) & (100 * self.sizes >= self.share * n) & (self.share * self.sizes <= 100 * n)
-
-    def need(self, q: int, allowed: np.ndarray) -> int:
-        """What each linked set has in common with set q at least."""
-        return -(-self.share * int(self.sizes[q] + self.sizes[allowed].min()) // (100 + self.share))
-
-    def passes(self, q: int, c: int, both: int) -> bool:
-        return linked(int(self.sizes[q]), int(self.sizes[c]), both, self.share)
+        return np.flatnonzero((self.part != self.part[q]) & (100 * self.sizes >= self.share * n) & (self.share * self.sizes <= 100 * n))
 
     def find(self, q: int) -> list[int]:
-        """Linked sets of other parts: merge the short lists, probe the long ones (DivideSkip)."""
+        """Linked sets of other parts: merge the short lists of what q differs in, probe the long ones (DivideSkip)."""
         allowed = self.candidates(q)
-        if not allowed.any():
-            return []
-        grams, n = self.sets[q], int(self.sizes[q])
-        need = self.need(q, allowed)
-        at = np.searchsorted(self.grams, grams)
-        ends, starts = self.ends[at], np.where(at > 0, self.ends[at - 1], 0)
+        # sets with T differences in common have enough shingles in common; without any, T is 0 or less
+        least = self.common(q, allowed) - (self.sizes[q] + self.sizes[allowed] - self.rows[q] - self.rows[allowed]) // 2
+        out = allowed[least <= 0].tolist()
+        rest = (least > 0) & (least <= np.minimum(self.rows[q], self.rows[allowed]))
+        if not rest.any():
+            return out
+        wanted = np.full(len(self.sizes), np.iinfo(np.int64).max)
+        wanted[allowed[rest]] = least[rest]
+        at = self.differs[q]
+        ends = self.ends[at]
+        starts = np.where(at > 0, self.ends[at - 1], 0)
         order = np.argsort(ends - starts, kind="stable")
-        longest = int((ends - starts).max())
+        need, longest = int(least[rest].min()), int((ends - starts).max())
         n_long = min(need - 1, int(need / (MU * np.log2(max(2, longest)) + 1)))
-        short, long = order[: n - n_long], order[n - n_long :]
-        merged = heapq.merge(*(self.lists[starts[i] : ends[i]].tolist() for i in short))
-        found = [(c, m) for c, group in groupby(merged) if allowed[c] and (m := sum(1 for _ in group)) >= need - n_long]
-        out = []
-        probes = grams[np.sort(long)]
-        for c, m in found:
-            other = self.sets[c]
-            i = np.searchsorted(other, probes)
-            i[i == len(other)] = 0
-            if self.passes(q, c, m + int((other[i] == probes).sum())):
-                out.append(c)
-        return out
+        short, long = order[: len(order) - n_long], order[len(order) - n_long :]
+        found, counts = merged([self.lists[starts[i] : ends[i]] for i in short])
+        near = counts >= need - n_long
+        found, counts = found[near], counts[near].copy()
+        for i in long:
+            other = self.lists[starts[i] : ends[i]]
+            counts += other[np.minimum(np.searchsorted(other, found), len(other) - 1)] == found
+        return out + found[counts >= wanted[found]].tolist()
 
     def join(self) -> Iterator[tuple[int, int]]:
         """Links that join all parts of the block that links can join; no pair inside a part is looked at."""
@@ -224,6 +241,16 @@ class Search:
                 yield q, c
 
 
+def merged(lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct entries of sorted lists and how many lists have each: a heap merge, or of many entries a merge of sorted runs."""
+    if sum(map(len, lists)) <= HEAP:
+        pairs = [(c, sum(1 for _ in group)) for c, group in groupby(heapq.merge(*(x.tolist() for x in lists)))]
+        return np.array([c for c, _ in pairs], np.int64), np.array([n for _, n in pairs], np.int64)
+    flat = np.sort(np.concatenate(lists), kind="stable")
+    first = np.flatnonzero(np.diff(flat, prepend=-1))
+    return flat[first], np.diff(first, append=len(flat))
+
+
 class Overlap(Search):
     """The same search for an absolute overlap: the greater of two sets' ``least``."""
 
@@ -232,13 +259,10 @@ class Overlap(Search):
         self.least = np.array(least)
 
     def candidates(self, q: int) -> np.ndarray:
-        return (self.part != self.part[q]) & (self.sizes >= max(1, self.least[q])) & (self.least <= self.sizes[q])
-
-    def need(self, q: int, allowed: np.ndarray) -> int:
-        return max(1, int(self.least[q]), int(self.least[allowed].min()))
+        return np.flatnonzero((self.part != self.part[q]) & (self.sizes >= max(1, self.least[q])) & (self.least <= self.sizes[q]))
 
-    def passes(self, q: int, c: int, both: int) -> bool:
-        return both >= max(self.least[q], self.least[c])
+    def common(self, q: int, allowed: np.ndarray) -> np.ndarray:
+        return np.maximum(1, np.maximum(self.least[q], self.least[allowed]))
 
 
 def by_block(parts: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, dict]]:
@@ -302,9 +326,11 @@ def possible(rows: DataFrame) -> DataFrame:
 def shared_grams(signed: DataFrame, share: int) -> DataFrame:
     """(gram, node, least): prefix shingles that several classes have. Linked classes share ``least`` of them or more."""
     least = F.greatest(F.lit(1), F.floor(F.ceil(F.col("n_shingles") * share / 100) / SLACK)).cast("int")
-    tokens = signed.select("node", least.alias("least"), F.explode("prefix").alias("gram"))
+    # dealt once, by shingle: the count and the join then need no shuffle of their own
+    parts = int(signed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tokens = signed.select("node", least.alias("least"), F.explode("prefix").alias("gram")).repartition(parts, "gram")
     shared = tokens.groupBy("gram").agg(F.min("node").alias("_a"), F.max("node").alias("_z")).filter("_a < _z").select("gram")
-    return saved(tokens.join(shared, "gram").distinct())
+    return tokens.join(shared, "gram").distinct()
 
 
 def keys(rows: DataFrame) -> DataFrame:
@@ -329,61 +355,79 @@ def across(rows: DataFrame, parts: DataFrame) -> DataFrame:
     return left.join(alive, "node", "left_semi").select("gram", "node", "least")
 
 
-def links(df: DataFrame, signed: DataFrame, words: int, share: int, text: str, key: str) -> DataFrame:
+def blocks_of() -> Column:
+    """Blocks that a group's classes need."""
+    return F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("grams") / BLOCK_GRAMS))
+
+
+def links(scratch: Scratch, df: DataFrame, signed: DataFrame, words: int, share: int, text: str, key: str) -> DataFrame:
     """(a, b): links between nodes; their components are those of all links."""
-    rows = shared_grams(signed, share)
+    rows = scratch.saved(shared_grams(signed, share))
     kept = keys(rows)
     pairs = kept.groupBy("gram").agg(F.min("node").alias("first"), F.max("node").alias("_z")).filter("first < _z").drop("_z")
-    held = saved(kept.join(pairs, "gram"))
-    candidate = components(held.select(F.col("node").alias("a"), F.col("first").alias("b")))
-    sizes = candidate.groupBy("component").agg(F.count("*").alias("size"))
+    held = scratch.saved(kept.join(pairs, "gram"))
+    candidate = components(held.select(F.col("node").alias("a"), F.col("first").alias("b")), scratch)
+    chosen = signed.select("node", "_row", "n_shingles").join(candidate, "node").groupBy("node", "component").agg(F.min("_row").alias("_row"), F.first("n_shingles").alias("grams"))
+    chosen = scratch.saved(chosen)
+    sizes = chosen.groupBy("component").agg((blocks_of() > 1).alias("large"))
     # within a large component, classes with the same least key are likely near copies
     alike = held.groupBy("node").agg(F.min("gram").alias("_m"))
-    placed = candidate.join(sizes, "component").join(alike, "node").withColumn("m", F.when(F.col("size") > BLOCK, F.col("_m")).otherwise(F.lit(0))).drop("_m")
-    groups = placed.groupBy("component", "m").agg(F.count("*").alias("n"), F.min("node").alias("pilot")).withColumn("blocks", F.ceil(F.col("n") / BLOCK))
-    placed = saved(placed.join(groups.drop("pilot"), ["component", "m"]))
-    chosen = signed.select("node", "_row").join(candidate, "node", "left_semi").groupBy("node").agg(F.min("_row").alias("_row"))
-    if placed.count() <= BROADCAST_ROWS:
-        chosen = F.broadcast(chosen)
-    sets = saved(sets_of(df, chosen, words, text, key))
+    placed = chosen.join(sizes, "component").join(alike, "node").withColumn("m", F.when(F.col("large"), F.col("_m")).otherwise(F.lit(0))).drop("_m", "_row")
+    groups = placed.groupBy("component", "m").agg(F.count("*").alias("n"), blocks_of().alias("blocks"))
+    placed = scratch.saved(placed.drop("grams").join(groups, ["component", "m"]))
+    scratch.drop(held)
+    wanted = chosen.select("_row", "node")
+    if wanted.count() <= BROADCAST_ROWS:
+        wanted = F.broadcast(wanted)
+    sets = scratch.saved(sets_of(df, wanted, words, text, key))
 
     own = placed.select("node", "component", "m", F.pmod(F.xxhash64("node"), F.col("blocks")).alias("part_of"))
     # a class of each of a component's largest groups goes into all its blocks of some size
-    groups = placed.filter(F.col("size") > BLOCK).groupBy("component", "m", "n", "blocks").agg(F.min("node").alias("pilot"))
+    groups = placed.filter("large").groupBy("component", "m", "n", "blocks").agg(F.min("node").alias("pilot"))
     ranked = groups.withColumn("_r", F.row_number().over(W.partitionBy("component").orderBy(F.desc("n"), "m"))).filter(F.col("_r") <= PILOTS)
     into = groups.filter(F.col("n") >= PILOTS).drop("pilot").join(ranked.select("component", "pilot"), "component")
     pilots = into.select(F.col("pilot").alias("node"), "component", "m", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("part_of"))
     first = own.unionAll(pilots).select("node", F.xxhash64("component", "m", "part_of").alias("block"), F.col("node").alias("part"), F.lit(0).alias("least"))
-    found = saved(search(first.join(sets, "node"), share))
+    found = scratch.saved(search(first.join(sets, "node"), share))
 
-    large = placed.filter(F.col("size") > BLOCK).select("node")
+    large = placed.filter("large").select("node")
     if not large.limit(1).count():
         return found
-    parts = large.join(components(found), "node", "left").select("node", F.coalesce("component", "node").alias("part"))
-    parts = saved(parts)
-    left = saved(across(rows, parts))
-    left = saved(across(left, parts))
-    open_rows = saved(keys(left).join(parts, "node"))
-    by_part = open_rows.groupBy("gram", "part").agg(F.count("*").alias("n"), F.bit_xor("node").alias("x"), F.bit_xor(F.xxhash64("node")).alias("y"))
-    grams = by_part.groupBy("gram").agg(F.sum("n").alias("n"), F.count("*").alias("parts"), F.max_by("part", F.struct("n", "part")).alias("largest"), F.bit_xor("x").alias("x"), F.bit_xor("y").alias("y")).filter("parts > 1")
+    parts = large.join(components(found, scratch), "node", "left").select("node", F.coalesce("component", "node").alias("part"))
+    parts = scratch.saved(parts.join(chosen.select("node", "grams"), "node"))
+    once = scratch.saved(across(rows, parts))
+    scratch.drop(rows)
+    left = scratch.saved(across(once, parts))
+    scratch.drop(once)
+    open_rows = scratch.saved(keys(left).join(parts, "node"))
+    by_part = open_rows.groupBy("gram", "part").agg(F.count("*").alias("n"), F.sum("grams").alias("grams"), F.bit_xor("node").alias("x"), F.bit_xor(F.xxhash64("node")).alias("y"))
+    grams = by_part.groupBy("gram").agg(F.sum("n").alias("n"), F.sum("grams").alias("grams"), F.count("*").alias("parts"), F.max_by("part", F.struct("n", "part")).alias("largest"), F.bit_xor("x").alias("x"), F.bit_xor("y").alias("y")).filter("parts > 1")
     # shingles of the same classes ask the same question once
-    grams = grams.groupBy("n", "x", "y").agg(F.min("gram").alias("gram"), F.min_by("largest", "gram").alias("largest")).withColumn("blocks", F.ceil(F.col("n") / BLOCK)).drop("n", "x", "y")
-    rest = saved(open_rows.join(grams, "gram"))
+    grams = grams.groupBy("n", "grams", "x", "y").agg(F.min("gram").alias("gram"), F.min_by("largest", "gram").alias("largest"))
+    grams = grams.select("gram", "largest", F.ceil(F.greatest(F.col("n") / BLOCK, F.col("grams") / BLOCK_GRAMS)).alias("blocks"))
+    rest = scratch.saved(open_rows.join(grams, "gram"))
+    scratch.drop(open_rows)
     own = rest.select("node", "part", "gram", F.pmod(F.xxhash64("node"), F.col("blocks")).alias("part_of"))
     asked = rest.filter("part <> largest and blocks > 1").select("node", "part", "gram", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("part_of"))
     second = own.unionAll(asked).select("node", F.xxhash64("gram", "part_of").alias("block"), "part")
     # what the few shingles alone leave possible falls into components again; small ones are searched whole
     few = left.groupBy("node", "least").agg(F.array_sort(F.collect_list("gram")).alias("grams"))
-    maybe = saved(possible(second.join(few, "node")))
+    maybe = scratch.saved(possible(second.join(few, "node")))
     asked = few.select("node").join(parts, "node")
-    strong = components(maybe.unionAll(asked.select(F.col("node").alias("a"), F.col("part").alias("b"))))
-    whole = saved(asked.join(strong, "node"))
-    sizes = whole.groupBy("component").agg(F.count("*").alias("size"), F.min("part").alias("_a"), F.max("part").alias("_z")).filter("_a < _z")
-    whole = saved(whole.join(sizes.select("component", "size"), "component"))
-    small = whole.filter(F.col("size") <= BLOCK).select("node", F.col("component").alias("block"), "part")
-    rest = second.join(whole.filter(F.col("size") > BLOCK).select("node"), "node", "left_semi").select("node", "block", "part")
+    strong = components(maybe.unionAll(asked.select(F.col("node").alias("a"), F.col("part").alias("b"))), scratch)
+    whole = scratch.saved(asked.join(strong, "node"))
+    sizes = whole.groupBy("component").agg((blocks_of() > 1).alias("large"), F.min("part").alias("_a"), F.max("part").alias("_z")).filter("_a < _z")
+    whole = scratch.saved(whole.join(sizes.select("component", "large"), "component"))
+    small = whole.filter("not large").select("node", F.col("component").alias("block"), "part")
+    rest = second.join(whole.filter("large").select("node"), "node", "left_semi").select("node", "block", "part")
     third = small.unionAll(rest).withColumn("least", F.lit(0))
-    return found.unionAll(saved(search(third.join(sets, "node"), share)))
+    return found.unionAll(scratch.saved(search(third.join(sets, "node"), share)))
+
+
+def classes_of(scratch: Scratch, df: DataFrame, words: int, share: int, text: str, key: str) -> tuple[DataFrame, DataFrame]:
+    """Rows (key, _row, n_shingles, node), and (node, component) of all linked nodes."""
+    signed = scratch.saved(signatures(df, common_shingles(df, words, text), words, share, text, key))
+    return signed.drop("prefix"), components(links(scratch, df, signed, words, share, text, key), scratch)
 
 
 def near_duplicates(df: DataFrame, words: int = WORDS, share: int = SHARE, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -392,15 +436,40 @@ def near_duplicates(df: DataFrame, words: int = WORDS, share: int = SHARE, text:
     component_id is the least key reachable by links. Words end at ASCII white space; A-Z are lower-cased.
     Null, empty and blank texts have size 0, stand alone and keep their own key; equal sets are one class, so
     copies cost no pairs; null keys stay null and never name a component; other columns are ignored.
-    Sets are compared by 64-bit hashes of their shingles.
+    Sets are compared by 64-bit hashes of their shingles. The result is a table in the shared folder.
+    """
+    with Scratch(df.sparkSession) as scratch:
+        signed, joined = classes_of(scratch, df, words, share, text, key)
+        classes = signed.filter("node is not null").groupBy("node").agg(F.min(key).alias("_least"))
+        least = joined.join(classes, "node").groupBy("component").agg(F.min("_least").alias("_named"))
+        named = joined.join(least, "component").select("node", "_named")
+        final = classes.join(named, "node", "left").select("node", F.coalesce("_named", "_least").alias("component_id"))
+        return saved(signed.select(key, "n_shingles", "node").join(final, "node", "left").select(key, "n_shingles", F.coalesce("component_id", key).alias("component_id")))
+
+
+def one_of_each(df: DataFrame, words: int = WORDS, share: int = SHARE, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """``df`` with one row of each group of linked rows: that of the least key, nulls last, and of its texts the least by hash.
+
+    Rows without words stay, all of them. Rows are told apart by key and text, so another text under the same key is judged
+    on its own; of rows equal in both one stays. Columns stay as they are.
     """
-    signed = saved(signatures(df, common_shingles(df, words, text), words, share, text, key))
-    classes = signed.filter("node is not null").groupBy("node").agg(F.min(key).alias("_least"))
-    joined = components(links(df, signed, words, share, text, key))
-    least = joined.join(classes, "node").groupBy("component").agg(F.min("_least").alias("_named"))
-    named = joined.join(least, "component").select("node", "_named")
-    final = classes.join(named, "node", "left").select("node", F.coalesce("_named", "_least").alias("component_id"))
-    return signed.select(key, "n_shingles", "node").join(final, "node", "left").select(key, "n_shingles", F.coalesce("component_id", key).alias("component_id"))
+    with Scratch(df.sparkSession) as scratch:
+        signed, joined = classes_of(scratch, df, words, share, text, key)
+        named = signed.filter("node is not null").join(joined, "node", "left").withColumn("_group", F.coalesce("component", "node"))
+        best = named.groupBy("_group").agg(F.min(F.struct(F.col(key).isNull().alias("_none"), F.col(key).alias("_key"), F.col("_row").alias("_best"))).alias("_b"))
+        told = named.join(best, "_group").select(key, "_row", (F.col(key).eqNullSafe(F.col("_b._key")) & (F.col("_row") == F.col("_b._best"))).alias("_stays"))
+        told = told.groupBy(key, "_row").agg(F.max("_stays").alias("_stays"), F.count("*").alias("_n")).filter("not _stays or _n > 1")
+        k, row, stays = (unused(c, df) for c in ("_key", "_row", "_stays"))
+        told = saved(told.select(F.col(key).alias(f"{k}_"), F.col("_row").alias(f"{row}_"), F.col("_stays").alias(stays)))
+    if told.count() <= BROADCAST_ROWS:
+        told = F.broadcast(told)
+    rows = df.withColumns({k: F.col(key).cast("long"), row: F.xxhash64(F.col(key).cast("long"), text)})
+    same = F.col(f"{k}_").eqNullSafe(F.col(k)) & (F.col(f"{row}_") == F.col(row))
+    kept = rows.join(told.filter(f"not {stays}"), same, "left_anti")
+    twins = told.filter(stays)
+    if twins.limit(1).count():
+        kept = kept.join(twins, same, "left_anti").unionByName(kept.join(twins, same, "left_semi").dropDuplicates([k, row]))
+    return kept.select(*df.columns)
 
 
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

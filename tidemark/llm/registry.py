@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
-
-from . import bm25, chat, decontaminate, html, ngram_join, pii, quality, secrets, tokens
+from . import bm25, chat, decontaminate, html, ngram_join, pii, pipeline, quality, secrets, tokens
 
 QUERIES: dict = {
     "op1_pii": pii.op1_pii,
@@ -17,7 +15,7 @@ QUERIES: dict = {
     "op9_chat_format": chat.op9_chat_format,
     "op7_token_counts": tokens.op7_token_counts,
     "op10_packing": tokens.op10_packing,
-    "pipeline": corpus_pipeline.run,
+    "pipeline": pipeline.run,
 }
 ORACLES: dict = {
     "op3_bm25": bm25.OP3_SQL,

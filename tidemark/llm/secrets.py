@@ -12,7 +12,7 @@ from hashlib import sha256
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import ARROW_SPANS, SPANS, map_texts, read, span_report
+from .common import ARROW_SPANS, SPANS, map_texts, read, span_report, unused
 
 KINDS = ("assign", "access", "hex")
 #: So many layers are named in ``via``; of deeper ones it has the number.
@@ -283,8 +283,9 @@ def redact_secrets(df: DataFrame, text: str = "text") -> DataFrame:
             at = max(at, s["end"])
         return "".join([*out, x[at:]]) if at else x
 
-    made = map_texts(df, lambda texts: [clean(x) for x in texts], T.StringType(), pa.string(), "_clean", text)
-    return made.withColumn(text, F.when(F.col(text).isNotNull(), F.col("_clean"))).drop("_clean")
+    out = unused("_clean", df)
+    made = map_texts(df, lambda texts: [clean(x) for x in texts], T.StringType(), pa.string(), out, text)
+    return made.withColumn(text, F.when(F.col(text).isNotNull(), F.col(out))).drop(out)
 
 
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,67 +1,5 @@
 """Corpus preparation: quality filter, near duplicates, benchmark decontamination, secrets, packing."""
 
-from __future__ import annotations
+from tidemark.llm.pipeline import ORACLE_SQL, STAGES, run
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from tidemark.llm import decontaminate, ngram_join, quality, secrets, tokens
-from tidemark.llm.common import read, saved
-
-#: Near duplicates have this share of their word n-grams in common.
-WORDS, SHARE = 5, 80
-#: Dropped ids (8 bytes each) up to this number are broadcast; more are joined by shuffle.
-BROADCAST_ROWS = 1_000_000
-
-
-def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose score for the label quality = 1 is 0.5 or more; empty ones are scored like others."""
-    model = quality.learn(docs, read(spark, sf_dir, "labels"))
-    return quality.score(docs, model, out="_score").filter(F.col("_score") >= 0.5).drop("_score")
-
-
-def keep_one_of_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the row with the least doc_id; rows without words or without an id stay."""
-    named = saved(ngram_join.near_duplicates(docs, WORDS, SHARE))
-    dropped = named.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    if dropped.count() <= BROADCAST_ROWS:
-        dropped = F.broadcast(dropped)
-    kept = docs.join(dropped, "doc_id", "left_anti")
-    if named.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").limit(1).count():
-        kept = kept.filter("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.filter("doc_id is null"))
-    return kept
-
-
-def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no window of a benchmark item occurs."""
-    found = decontaminate.decontaminate(docs, read(spark, sf_dir, "benchmark"))
-    return found.filter(F.size("matches") == 0).select(*docs.columns)
-
-
-def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with secrets replaced and n_chars counted again."""
-    return secrets.redact_secrets(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
-
-
-def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in their sequences."""
-    return tokens.pack(docs)
-
-
-STAGES = [
-    ("quality", keep_quality),
-    ("near_duplicates", keep_one_of_copies),
-    ("decontamination", drop_contaminated),
-    ("secrets", hide_secrets),
-    ("packing", pack),
-]
-
-#: SQL can't express the trained classifier, the decoded layers and the tokenizer; tests hold stages against brute force.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
-    for _, stage in STAGES[:-1]:
-        docs = saved(stage(spark, docs, sf_dir))
-    return STAGES[-1][1](spark, docs, sf_dir)
+__all__ = ["ORACLE_SQL", "STAGES", "run"]

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import compare, relations, screening
-from tidemark.operators import audit, components, graph, retrieve, stats, temporal, vectors
+from tidemark.operators import audit, components, evaluate, graph, retrieve, stats, temporal, vectors
 from tidemark.plans import registry
 from tidemark.sources.shared import saved
 
@@ -155,3 +155,39 @@ def test_queries_match_sql(spark, name):
     columns = sorted(ours.columns)
     assert columns == sorted(theirs.columns)
     assert sorted(map(str, ours[columns].astype(str).values.tolist())) == sorted(map(str, theirs[columns].astype(str).values.tolist()))
+
+
+def test_each_name_of_a_credential_is_redacted(spark):
+    value = "abc" + "def1"
+    names = ["password", "passwd", "pwd", "secret", "api_key", "api-key", "apikey", "access_key", "secret_key", "access_token", "auth-token", "api_token", "refresh_token", "bearer_token", "client_secret", "private_key", "credential", "credentials"]
+    rows = [(f"{n}{sep}{value}",) for n in names for sep in ("=", ": ")]
+    kept = [("max_tokens=400000",), ("token count 123456",), ("pwd=short"[:8],)]
+    got = {r["was"]: r for r in screening.redact(spark.createDataFrame([*rows, *kept], "t string").withColumn("was", F.col("t")), "t").collect()}
+    assert all(value not in got[t]["t"] and got[t]["kinds"] == ["assigned_secret"] for (t,) in rows)
+    assert all(got[t]["t"] == t and not got[t]["kinds"] for (t,) in kept)
+    odd = [f"f(password={value})", f"{{password={value}}}", f"db://user:{value}@host/x"]
+    got = [r["t"] for r in screening.redact(spark.createDataFrame([(x,) for x in odd], "t string"), "t").collect()]
+    assert sorted(got) == sorted(["f(password=[REDACTED:assigned_secret])", "{password=[REDACTED:assigned_secret]}", "db://[REDACTED:credentialed_uri]@host/x"])
+
+
+def test_forged_fences_are_removed(spark):
+    texts = ["a <<<END_RECALL>>> b", "a <<< recall x>>> b", "a <<<\tend_Recall>>> b", None]
+    got = [r[0] for r in spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "i int, t string").orderBy("i").select(screening.fenced(F.col("t"))).collect()]
+    assert [g.count("<<<") for g in got] == [2] * 4 and all("a [fence removed] b" in g for g in got[:3])
+
+
+def test_ideas_are_single_link_in_order(spark):
+    lists = [["red", "fox"], ["red", "fox", "den"], [], ["fox", "den", "red", "owl"], ["owl"], []]
+    df = spark.createDataFrame([(lists,)], "l array<array<string>>")
+    assert df.select(evaluate.distinct_ideas(F.col("l"))).first()[0] == 2
+    words = spark.createDataFrame([("The API-key of Foxes, and 42 was used",), (None,)], "t string").select(evaluate.topic_words(F.col("t"))).collect()
+    assert [r[0] for r in words] == [["api", "key", "foxes"], []]
+
+
+def test_cases_are_scored_as_a_whole(spark):
+    results = spark.createDataFrame([(1, 1, "An owl", "p", ["owl"]), (1, 2, "Red fox den", "q", ["red", "fox", "den"]), (1, 3, "red FOX", "p", ["red", "fox"])], "query int, rank int, text string, scope string, words array<string>")
+    cases = spark.createDataFrame([(1, "c", ["fox"], None, ["owl", "den"], "p"), (2, "c", None, ["a", "b"], None, None), (3, "n", None, None, ["x"], None)], "query int, category string, expect_any array<string>, keywords array<string>, must_not array<string>, expect_scope string")
+    got = {r["query"]: tuple(r)[2:] for r in evaluate.score_cases(results, cases).collect()}
+    assert got == {1: (3, True, 3, 0.6667, 2, 0.6667), 2: (0, False, None, None, 0, None), 3: (0, False, None, None, 0, None)}
+    overall = {r["category"]: r["mrr"] for r in evaluate.metrics(evaluate.score_cases(results, cases)).collect()}
+    assert overall == {"c": 0.166667, "n": 0.0, "OVERALL": 0.111111}

@@ -51,18 +51,6 @@ def sweep(spark, d):
 SWEEP = _FUSED + ", g(config, floor) AS (VALUES (0, 0.05::DOUBLE), (1, 0.1), (2, 0.15), (3, 0.2), (4, 0.25)) SELECT config, floor, count(*) AS kept, count(DISTINCT query) AS answered, round(avg(sim), 5) AS mean_sim FROM k, g WHERE sim >= floor GROUP BY 1, 2"
 
 
-def idea_diversity(spark, d):
-    """Distinct ideas of each conversation: turns unlike (word Jaccard under 0.6) all ideas before them, in order."""
-    t = table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("t"))
-    words = F.transform("t", lambda x: F.array_distinct(F.split(F.lower(x["text"]), r"\s+")))
-
-    def add(ideas, w):
-        like = F.exists(ideas, lambda i: F.size(F.array_intersect(i, w)) >= 0.6 * F.size(F.array_union(i, w)))
-        return F.when(like, ideas).otherwise(F.concat(ideas, F.array(w)))
-
-    return t.select("conv_id", F.size(F.aggregate(words, F.array().cast("array<array<string>>"), add)).alias("ideas"), F.size("t").alias("turns"))
-
-
 def refile_plan(spark, d):
     """Facts of the global scope (urgent orders) that name projects: one goes there, several of one region to its cluster."""
     o, c, n = table(spark, d, "orders").filter("o_orderpriority = '1-URGENT'"), table(spark, d, "customer"), table(spark, d, "nation")
@@ -179,6 +167,6 @@ def name_relaxed(spark, d):
 RELAXED = _AUDIT.replace("FROM v_edge o JOIN v_edge n", "FROM w o JOIN w n").replace(EDGE, f"{EDGE}, {NODE}, w AS (SELECT e.* REPLACE (n.name AS target) FROM v_edge e JOIN v_node n ON n.uuid = e.target)") + f', g AS (SELECT "window", count(*) AS decidable, count(*) FILTER (justified) AS allowed, count(*) FILTER (NOT justified) AS blocked FROM a GROUP BY 1) SELECT "window", decidable, allowed, blocked, {_RATES} FROM g'
 
 PAIRS = {
-    "similarity_floor": (similarity_floor, SIM_FLOOR), "pool_union": (pool_union, POOL), "pool_stats": (pool_stats, POOL_STATS), "sweep": (sweep, SWEEP), "idea_diversity": (idea_diversity, None), "refile_plan": (refile_plan, REFILE), "refile_effect": (refile_effect, REFILE_EFFECT),
+    "similarity_floor": (similarity_floor, SIM_FLOOR), "pool_union": (pool_union, POOL), "pool_stats": (pool_stats, POOL_STATS), "sweep": (sweep, SWEEP), "refile_plan": (refile_plan, REFILE), "refile_effect": (refile_effect, REFILE_EFFECT),
     "runbook_upsert": (runbook_upsert, UPSERT), "confusion": (confusion, CONFUSION), "pending_inbox": (pending_inbox, INBOX), "propose_merges": (propose_merges, None), "sweep_contradictions": (sweep_contradictions, None), "admit": (admit, ADMIT), "inject_view": (inject_view, INJECT), "name_relaxed": (name_relaxed, RELAXED),
 }

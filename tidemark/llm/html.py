@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect
 from html import unescape
 
 import pyarrow as pa
@@ -15,7 +16,7 @@ from .common import map_texts, read
 # Fixed values of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-HIDDEN = frozenset("head script style template noscript title meta link base iframe object embed audio video canvas svg math map area datalist select option optgroup noembed noframes textarea input param source track rp".split())
+HIDDEN = frozenset("head script style template noscript title meta link base iframe object embed audio video canvas svg math map area datalist select option optgroup noembed noframes input param source track rp".split())
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li listing main menu nav ol p plaintext pre search section summary table ul xmp caption tr thead tbody tfoot".split())
 SPACED = frozenset("p blockquote dl figure h1 h2 h3 h4 h5 h6 hr menu ol pre table ul form fieldset".split())
 ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr listing main menu nav ol p plaintext pre search section summary table ul xmp".split())
@@ -40,14 +41,19 @@ IMPLIED["caption"] = IMPLIED["colgroup"] = IMPLIED["thead"]
 GRID = frozenset("table thead tbody tfoot tr".split())
 PARTS = frozenset("caption colgroup col thead tbody tfoot tr td th".split())
 CELLS = frozenset("td th caption".split())
+TABLE, P, CELL_OR_TABLE, ROW_ENDS = frozenset(["table"]), frozenset(["p"]), frozenset("td th table".split()), frozenset("table tr tbody thead tfoot".split())
 SCOPES = frozenset("html table td th caption button object".split())
 
 LISTS = frozenset(["ul", "ol", "menu", "dir"])
-MAX_TABLES = 20
-
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>", re.S)
-ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
-HIDING = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
+#: Elements in whose content ``/>`` closes an element.
+FOREIGN = frozenset(["svg", "math"])
+#: Fixed values of the HTML standard: what wider and longer cells are cut to.
+MOST_COLUMNS, MOST_ROWS = 1000, 65534
+
+TAG = re.compile(r"<(/?)([A-Za-z][^\s/>]*+)")
+#: The next attribute of a tag or its end. A quote counts only after an equals sign; one that is never closed ends the page.
+ATTRIBUTE = re.compile(r"[\s/]*+(?:(>)|([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:\"([^\"]*+)(\"?)|'([^']*+)('?)|([^\s>]*+)))?+)")
+STYLE = re.compile(r"(?:^|;)\s*(display|visibility)\s*:\s*([a-z-]+)", re.I)
 SPACE = re.compile(r"[ \t\n\r\f]+")
 
 
@@ -58,97 +64,146 @@ class Node:
         self.tag, self.attributes, self.children = tag, attributes, []
 
 
-def attributes(text: str) -> dict:
+def attributes(html: str, at: int) -> tuple[dict, int] | None:
+    """The attributes of a tag from ``at`` on and the place behind its end; none if the page ends inside it."""
     found = {}
-    for name, a, b, c in ATTRIBUTE.findall(text):
-        found.setdefault(name.lower(), unescape(a or b or c))
-    return found
+    while m := ATTRIBUTE.match(html, at):
+        at = m.end()
+        if m[1]:
+            return found, at
+        if m[3] is not None and not m[4] or m[5] is not None and not m[6]:
+            return None
+        found.setdefault(m[2].lower(), unescape(m[3] or m[5] or m[7] or ""))
+    return None
+
+
+class Open:
+    """The open elements, and for each tag their places, so that no search walks through them."""
+
+    def __init__(self, root: Node):
+        self.nodes, self.places = [root], {}
+
+    def push(self, node: Node) -> None:
+        self.places.setdefault(node.tag, []).append(len(self.nodes))
+        self.nodes.append(node)
 
+    def cut(self, i: int) -> None:
+        """Close the element at place i and all inside it."""
+        while len(self.nodes) > i:
+            self.places[self.nodes.pop().tag].pop()
 
-def put(stack: list[Node], x: Node | str) -> None:
-    """Add ``x`` to the open element; what is no part of a table goes before the table (foster parenting)."""
-    if stack[-1].tag in GRID and (x.strip() if isinstance(x, str) else x.tag not in PARTS):
-        i = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == "table"), 0)
-        if i:
-            above, table = stack[i - 1].children, stack[i]
+    def last(self, tags: frozenset) -> int:
+        """Place of the innermost open element of these tags, or 0."""
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=0)
+
+    def first_after(self, tags: frozenset, i: int) -> int:
+        """Place of the outermost open element of these tags inside the one at place i, or 0."""
+        found = [p[k] for t in tags if (p := self.places.get(t)) and (k := bisect(p, i)) < len(p)]
+        return min(found, default=0)
+
+    @property
+    def tag(self) -> str:
+        return self.nodes[-1].tag
+
+    def put(self, x: Node | str) -> None:
+        """Add ``x`` to the innermost element; what is no part of a table goes before the table (foster parenting)."""
+        if self.tag in GRID and (x.strip() if isinstance(x, str) else x.tag not in PARTS) and (i := self.last(TABLE)):
+            above, table = self.nodes[i - 1].children, self.nodes[i]
             above.insert(next(k for k in range(len(above) - 1, -1, -1) if above[k] is table), x)
-            return
-    stack[-1].children.append(x)
+        else:
+            self.nodes[-1].children.append(x)
 
 
 def tree(html: str) -> Node:
-    """Nodes of a page. Missing end tags are implied, unmatched ones are dropped, raw text ends at its own tag.
+    """Nodes of a page, in one pass. Missing end tags are implied, unmatched ones are dropped, raw text ends at its own tag.
 
     Content of a table outside its cells stands before the table; a form between row and cell is transparent.
     """
     root = Node("html", {})
-    stack, at, n = [root], 0, len(html)
+    stack, at, n = Open(root), 0, len(html)
     while at < n:
-        m = TOKEN.search(html, at)
-        text = html[at : m.start() if m else n]
-        if text:
-            if stack[-1].tag == "colgroup" and text.strip():
-                stack.pop()
-            put(stack, unescape(text))
-        if not m:
+        text_end = html.find("<", at)
+        text_end = n if text_end < 0 else text_end
+        tag = TAG.match(html, text_end)
+        markup = html.startswith(("<!", "<?", "</"), text_end)
+        if not tag and not markup and text_end < n:  # a lone sign is text, up to the next one
+            next_sign = html.find("<", text_end + 1)
+            text_end = n if next_sign < 0 else next_sign
+            stack.put(unescape(html[at:text_end]))
+            at = text_end
+            continue
+        if text := html[at:text_end]:
+            if stack.tag == "colgroup" and text.strip():
+                stack.cut(len(stack.nodes) - 1)
+            stack.put(unescape(text))
+        if text_end == n:
             break
-        at = m.end()
-        if not m[2]:
+        if not tag:
+            close = "-->" if html.startswith("<!--", text_end) else ">"
+            # the dashes that open a comment can close it
+            end = html.find(close, text_end + 2)
+            at = n if end < 0 else end + len(close)
             continue
-        tag = m[2].lower()
-        if m[1]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    del stack[i:]
-                    break
-                if stack[i].tag in ("td", "th", "table") and tag not in ("table", "tr", "tbody", "thead", "tfoot"):
-                    break
+        if (found := attributes(html, tag.end())) is None:
+            break
+        given, at = found
+        own_end = html[at - 2] == "/"
+        name = tag[2].lower()
+        if tag[1]:
+            i = stack.places.get(name, [0])[-1] if stack.places.get(name) else 0
+            if i and (name in ROW_ENDS or i >= stack.last(CELL_OR_TABLE)):
+                stack.cut(i)
             continue
-        if tag == "html":
-            root.attributes = {**attributes(m[3]), **root.attributes}
+        if name == "html":
+            root.attributes = {**given, **root.attributes}
             continue
-        closes, until = IMPLIED.get(tag, (None, None))
-        if tag in ENDS_P:
-            closes, until = frozenset(["p"]), SCOPES
-        if closes:
-            cut = None
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag in until:
-                    break
-                if stack[i].tag in closes:
-                    cut = i
-            if cut:
-                del stack[cut:]
-        if tag in PARTS and (i := next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag in GRID or stack[i].tag in CELLS), 0)) and stack[i].tag in GRID:
-            if tag != "col" or stack[-1].tag != "colgroup":
-                del stack[i + 1 :]
-        elif stack[-1].tag == "colgroup":
-            stack.pop()
-        if stack[-1].tag in GRID and any(x.tag == "table" for x in stack):
-            if tag == "form":
+        closes, until = IMPLIED.get(name, (None, None))
+        if name in ENDS_P:
+            closes, until = P, SCOPES
+        if closes and (i := stack.first_after(closes, stack.last(until))):
+            stack.cut(i)
+        grid, cell = stack.last(GRID), stack.last(CELLS)
+        if name in PARTS and grid > cell:
+            if name != "col" or stack.tag != "colgroup":
+                stack.cut(grid + 1)
+        elif stack.tag == "colgroup":
+            stack.cut(len(stack.nodes) - 1)
+        if stack.tag in GRID and (i := stack.last(TABLE)):
+            if name == "form":
                 continue
-            if tag == "table":
-                while stack.pop().tag != "table":
-                    pass
-        if tag in ("td", "th") and stack[-1].tag in ("table", "thead", "tbody", "tfoot"):
+            if name == "table":
+                stack.cut(i)
+        if name in ("td", "th") and stack.tag in ("table", "thead", "tbody", "tfoot"):
             row = Node("tr", {})
-            stack[-1].children.append(row)
-            stack.append(row)
-        node = Node(tag, attributes(m[3]) if m[3] else {})
-        put(stack, node)
-        if tag in RAW:
-            end = re.compile(rf"</{tag}[\s/>]", re.I).search(html, at)
-            node.children.append(html[at : end.start() if end else n])
+            stack.nodes[-1].children.append(row)
+            stack.push(row)
+        node = Node(name, given)
+        stack.put(node)
+        if name in RAW:
+            end = re.compile(rf"</{name}(?=[\s/>])", re.I).search(html, at)
+            node.children.append(unescape(html[at : end.start() if end else n]) if name in ("textarea", "title") else html[at : end.start() if end else n])
             at = html.find(">", end.start()) + 1 if end else n
             at = at or n
-        elif tag not in VOID and not m[3].rstrip().endswith("/"):
-            stack.append(node)
+        elif name not in VOID and not (own_end and (name in FOREIGN or stack.last(FOREIGN))):
+            stack.push(node)
     return root
 
 
-def hidden(node: Node) -> bool:
+def removed(node: Node) -> bool:
+    """Whether nothing inside the element is laid out."""
     a = node.attributes
-    return node.tag in HIDDEN or node.tag == "dialog" and "open" not in a or "hidden" in a or a.get("aria-hidden", "").lower() == "true" or ("style" in a and bool(HIDING.search(a["style"])))
+    return node.tag in HIDDEN or node.tag == "dialog" and "open" not in a or "hidden" in a or "style" in a and declared(a["style"], "display") == "none"
+
+
+def declared(style: str, what: str) -> str | None:
+    """The last value that a style gives to a property."""
+    return next((v.lower() for k, v in reversed(STYLE.findall(style)) if k.lower() == what), None)
+
+
+def shown(node: Node, before: bool) -> bool:
+    """Whether text directly inside the element is seen: the nearest visibility counts."""
+    value = declared(node.attributes["style"], "visibility") if "style" in node.attributes else None
+    return before if value is None else value == "visible"
 
 
 class Page:
@@ -189,53 +244,81 @@ class Page:
         self.blank = True
 
 
-def cells(table: Node, depth: int) -> list[list[str]]:
-    """Rendered cells by row, wide cells repeated as empty ones; rows of nested tables belong to their cell."""
-    rows, work = [], [iter(table.children)]
+def span(node: Node, name: str, most: int) -> int:
+    value = node.attributes.get(name, "1").strip()
+    return max(1, min(int(value[:6]), most)) if value.isascii() and value.isdigit() else 1
+
+
+def rows_of(table: Node) -> tuple[list[Node], list[list[Node]]]:
+    """Captions, and the cells of each row, of a table itself; what nested tables have belongs to their cell."""
+    captions, rows, work = [], [], [iter(table.children)]
     while work:
         c = next(work[-1], None)
         if c is None:
             work.pop()
-        elif isinstance(c, Node) and not hidden(c):
+        elif isinstance(c, Node) and not removed(c):
             if c.tag == "tr":
-                row = []
-                for d in c.children:
-                    if isinstance(d, Node) and d.tag in ("td", "th") and not hidden(d):
-                        row.append(" ".join(render(d, depth + 1).split()))
-                        span = d.attributes.get("colspan", "1")
-                        row += [""] * (min(int(span), 100) - 1 if span.isascii() and span.isdigit() else 0)
-                rows.append(row)
+                rows.append([d for d in c.children if isinstance(d, Node) and d.tag in ("td", "th") and not removed(d)])
             elif c.tag in ("thead", "tbody", "tfoot"):
                 work.append(iter(c.children))
-    return rows
-
-
-def put_table(page: Page, table: Node, depth: int) -> None:
-    page.space()
-    for c in table.children:
-        if isinstance(c, Node) and c.tag == "caption" and not hidden(c):
-            page.text(" ".join(render(c, depth + 1).split()), False)
-            page.end()
-        elif isinstance(c, str) and c.strip():
-            page.text(c, False)
-            page.end()
-        elif isinstance(c, Node) and c.tag not in ("tr", "thead", "tbody", "tfoot", "colgroup", "col") and not hidden(c):
-            page.text(" ".join(render(c, depth + 1).split()), False)
-            page.end()
-    rows = cells(table, depth)
-    widths = [max(len(r[i]) for r in rows if i < len(r)) for i in range(max(map(len, rows), default=0))]
-    for r in rows:
-        page.line = " | ".join(x.ljust(w) for x, w in zip(r, widths, strict=False)).rstrip(" ") if any(r) else ""
-        page.end()
-    page.space()
-
-
-def render(root: Node, depth: int = 0) -> str:
-    """All visible text below ``root``. Elements nest without limit; tables inside MAX_TABLES others are plain blocks."""
+            elif c.tag == "caption":
+                captions.append(c)
+    return captions, rows
+
+
+def grid(table: Node, done: dict) -> list[str]:
+    """Lines of a table: cells padded to columns, as many lines as the longest cell of a row; spans leave places empty."""
+    captions, rows = rows_of(table)
+    laid, held = [], {}
+    for row in rows:
+        line, column = {}, 0
+        for cell in row:
+            while held.get(column, 0):
+                column += 1
+            line[column] = done[id(cell)]
+            wide, high = span(cell, "colspan", MOST_COLUMNS), span(cell, "rowspan", MOST_ROWS)
+            held.update({column + i: high for i in range(wide)} if high > 1 else {})
+            column += wide
+        laid.append((line, max([column, *(c + 1 for c, h in held.items() if h)], default=0)))
+        held = {c: h - 1 for c, h in held.items() if h > 1}
+    # columns in which no cell begins have nothing to show
+    widths: dict[int, int] = {}
+    for line, _ in laid:
+        for c, lines in line.items():
+            widths[c] = max([widths.get(c, 0), *map(len, lines)])
+    columns = sorted(widths)
+    out = [x for c in captions for x in done[id(c)]]
+    for line, n in laid:
+        for k in range(max(map(len, line.values()), default=0)):
+            out.append(" | ".join((line[c][k] if c in line and k < len(line[c]) else "").ljust(widths[c]) for c in columns if c < n).rstrip(" "))
+    return out
+
+
+def render(root: Node) -> str:
+    """All visible text below ``root``. Elements and tables nest without limit: inner tables are laid out before outer ones."""
+    tables, work = [], [(root, True)]
+    while work:
+        x, seen = work.pop()
+        seen = shown(x, seen)
+        if x.tag == "table":
+            tables.append((x, seen))
+        work += [(c, seen) for c in x.children if isinstance(c, Node) and not removed(c)]
+    done: dict = {}
+    # a table is met before those inside it
+    for table, seen in reversed(tables):
+        captions, rows = rows_of(table)
+        for part in [*captions, *(c for r in rows for c in r)]:
+            done[id(part)] = flow(part, done, shown(part, seen))
+        done[id(table)] = grid(table, done)
+    return "\n".join(flow(root, done, True))
+
+
+def flow(root: Node, done: dict, visible: bool) -> list[str]:
+    """Lines of the visible text inside one element; tables come from ``done``."""
     page = Page()
-    work: list = [("open", c, False, None) for c in reversed(root.children)]
+    work: list = [("open", c, False, None, visible) for c in reversed(root.children)]
     while work:
-        step, x, pre, saved = work.pop()
+        step, x, pre, saved, seen = work.pop()
         if step == "close":
             if x.tag in LISTS:
                 page.lists -= 1
@@ -243,25 +326,29 @@ def render(root: Node, depth: int = 0) -> str:
                 page.space() if x.tag in SPACED and not (x.tag in LISTS and page.lists) else page.end()
             if saved is not None:
                 page.indent, page.mark = saved, ""
-            elif x.tag in ("td", "th"):
-                page.text(" ", False)
-            elif x.tag == "q":
+            elif x.tag == "q" and seen:
                 page.text('"', True)
             continue
         if isinstance(x, str):
-            page.text(x, pre)
+            if seen:
+                page.text(x, pre)
             continue
-        if hidden(x):
+        if removed(x):
             continue
+        seen = shown(x, seen)
         if x.tag == "br":
             page.end(True)
         elif x.tag == "hr":
             page.space()
         elif x.tag == "img":
-            if x.attributes.get("alt"):
+            if x.attributes.get("alt") and seen:
                 page.text(x.attributes["alt"], False)
-        elif x.tag == "table" and depth < MAX_TABLES:
-            put_table(page, x, depth)
+        elif x.tag == "table":
+            page.space()
+            for line in done[id(x)]:
+                page.line = line
+                page.end(True)
+            page.space()
         else:
             if x.tag in BLOCKS:
                 page.space() if x.tag in SPACED and not (x.tag in LISTS and page.lists) else page.end()
@@ -281,20 +368,21 @@ def render(root: Node, depth: int = 0) -> str:
             if x.tag == "li":
                 saved = page.indent
                 page.mark = x.attributes.get("_n", "- ")
-            if x.tag == "q":
+            if x.tag == "q" and seen:
                 page.text('"', True)
-            work.append(("close", x, pre, saved))
-            now = pre or x.tag in ("pre", "listing", "plaintext")
-            work += [("open", c, now, None) for c in reversed(inner)]
+            work.append(("close", x, pre, saved, seen))
+            now = pre or x.tag in ("pre", "listing", "plaintext", "textarea")
+            work += [("open", c, now, None, seen) for c in reversed(inner)]
     page.end()
-    return "\n".join(page.lines)
+    return page.lines
 
 
 def visible_text(df: DataFrame, html: str = "html", out: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Add ``out``: the visible text of each whole page.
 
     Blocks stand on their own lines, paragraphs, lists and tables between blank lines; list items have marks,
-    table cells are padded to columns. Null and empty pages give an empty text; equal rows equal results; a
+    table cells are padded to columns and keep their lines; pages nest without limit. A tag that the page's end
+    cuts off ends the text. Null and empty pages give an empty text; equal rows equal results; a
     column called ``out`` is replaced, others pass through.
     """
     return map_texts(df, lambda pages: [render(tree(x)) for x in pages], T.StringType(), pa.string(), out, html, keep)

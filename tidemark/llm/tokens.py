@@ -14,6 +14,7 @@ import pandas as pd
 import public_tokenizers
 import pyarrow as pa
 import regex
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -153,7 +154,7 @@ def frequencies(df: DataFrame, path: str, buckets: int, text: str = "text", key:
     pre-tokens of it. Places number the block's pre-tokens in order of bucket.
     """
 
-    def block(vocab: Vocabulary, keys: list, texts: list[str]) -> pa.RecordBatch:
+    def block(name: str, vocab: Vocabulary, keys: list, texts: list[str]) -> pa.RecordBatch:
         seen: dict[str, int] = {}
         specials, sizes, ends, places, counts = [], [], [0], [], []
         for x in texts:
@@ -178,7 +179,6 @@ def frequencies(df: DataFrame, path: str, buckets: int, text: str = "text", key:
         steps = np.diff(flat, prepend=0)
         firsts = np.array(ends[:-1])[np.diff(ends) > 0]
         steps[firsts] = flat[firsts]
-        name = f"{keys[0]}-{keys[-1]}-{len(keys)}-{zlib.crc32(repr(keys).encode())}-{sum(sizes)}-{len(strings)}"
         rows = [{"block": name, "bucket": -1, "ids": keys, "n_bytes": sizes, "extra": specials, "ends": np.array(ends, "<i8").tobytes(), "places": packed_ints(steps), "counts": packed_ints(np.concatenate(counts)[by_doc])}]
         cuts = np.flatnonzero(np.diff(bucket[order], prepend=-1)).tolist()
         for lo, hi in zip(cuts, [*cuts[1:], len(order)], strict=False):
@@ -186,26 +186,37 @@ def frequencies(df: DataFrame, path: str, buckets: int, text: str = "text", key:
         return pa.RecordBatch.from_pylist(rows, schema=ARROW_FREQUENCIES)
 
     def blocks(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab = vocabulary(path)
+        vocab, partition, made = vocabulary(path), TaskContext.get().partitionId(), 0
         for part in parts:
             for at in range(0, part.num_rows, BLOCK_DOCS):
                 b = part.slice(at, BLOCK_DOCS)
-                yield block(vocab, b.column(key).to_pylist(), [x or "" for x in b.column(text).to_pylist()])
+                # a name of its own for each block, whatever its documents are
+                yield block(f"{partition}-{made}", vocab, b.column(key).to_pylist(), [x or "" for x in b.column(text).to_pylist()])
+                made += 1
 
     return df.select(F.col(key).cast("long").alias(key), text).mapInArrow(blocks, FREQUENCIES)
 
 
-def piece_counts(frequency: DataFrame, path: str) -> DataFrame:
-    """Number of pieces of each pre-token of each (block, bucket); each distinct pre-token of a bucket is encoded once."""
+def piece_counts(frequency: DataFrame, path: str, buckets: int) -> DataFrame:
+    """Number of pieces of each pre-token of each (block, bucket); each distinct pre-token of a bucket is encoded once.
+
+    A task reads its buckets row by row and holds the distinct pre-tokens of one bucket.
+    """
 
-    def count(rows: pd.DataFrame) -> pd.DataFrame:
-        lists = [unpacked_strings(x) for x in rows["tokens"]]
-        encode = vocabulary(path).encode
-        pieces = {t: len(encode(t)) // 4 for t in set().union(*lists)}
-        packed = [packed_ints(np.fromiter(map(pieces.__getitem__, t), np.int64, len(t))) for t in lists]
-        return pd.DataFrame({"block": rows["block"], "bucket": rows["bucket"], "pieces": packed})
+    def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode, pieces, name = vocabulary(path).encode, {}, None
+        for b in parts:
+            for i in range(b.num_rows):
+                block, bucket, packed = (c[i].as_py() for c in b.columns)
+                if bucket != name:
+                    pieces, name = {}, bucket
+                tokens = unpacked_strings(packed)
+                pieces.update((t, len(encode(t)) // 4) for t in tokens if t not in pieces)
+                counts = packed_ints(np.fromiter(map(pieces.__getitem__, tokens), np.int64, len(tokens)))
+                yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([bucket], pa.int32()), pa.array([counts], pa.binary())], names=["block", "bucket", "pieces"])
 
-    return frequency.filter("bucket >= 0").select("block", "bucket", "tokens").groupBy("bucket").applyInPandas(count, "block string, bucket int, pieces binary")
+    dealt = frequency.filter("bucket >= 0").select("block", "bucket", "tokens").repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    return dealt.mapInArrow(count, "block string, bucket int, pieces binary")
 
 
 def count_tokens(df: DataFrame, path: str | None = None, text: str = "text", key: str = "doc_id", buckets: int | None = None) -> DataFrame:
@@ -217,12 +228,11 @@ def count_tokens(df: DataFrame, path: str | None = None, text: str = "text", key
     path = path or public_tokenizers.path(VOCABULARY)
     buckets = buckets or max(16, 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     frequency = saved(frequencies(df, path, buckets, text, key))
-    pieces = piece_counts(frequency, path)
+    pieces = piece_counts(frequency, path, buckets)
     schema = f"{key} long, n_bytes long, n_tokens long"
 
     def total(docs: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
-        # equal blocks of repeated rows share a name; one of each bucket is enough
-        found = found.drop_duplicates("bucket").sort_values("bucket")
+        found = found.sort_values("bucket")
         weights = np.concatenate([np.zeros(0, np.int64), *(unpacked_ints(x) for x in found["pieces"])])
         out = [pd.DataFrame({key: pd.array([], dtype="Int64"), "n_bytes": [], "n_tokens": []})]
         for d in docs.itertuples():
@@ -321,7 +331,7 @@ def best_fit(lengths: list[int], context: int) -> list[tuple[int, int]]:
 def pack(df: DataFrame, path: str | None = None, context: int = CONTEXT, text: str = "text", key: str = "doc_id", group_pieces: int = GROUP_PIECES) -> DataFrame:
     """Place every document's ids into sequences of at most ``context``, best fit by decreasing length.
 
-    Pieces are dealt by a hash of key and start into groups of about ``group_pieces``, each packed on its
+    Pieces are dealt by a hash of what they are and their place in the table into groups of about ``group_pieces``, each packed on its
     own: what one group pads is less than one sequence more than the whole would. A null or empty text has
     the end id alone; repeated rows are placed as often as they come; other columns are ignored.
     """
@@ -337,7 +347,7 @@ def pack(df: DataFrame, path: str | None = None, context: int = CONTEXT, text: s
         padding = np.where(used & (used - 1), context - used, 0)
         return rows.drop(columns="_g").assign(**{key: rows[key].astype("Int64"), "sequence_id": (rows["_g"].to_numpy(np.int64) << 32) + placed[:, 0], "offset": placed[:, 1], "padding": padding})
 
-    dealt = pieces.withColumn("_g", F.pmod(F.xxhash64(key, "start"), F.lit(groups)))
+    dealt = pieces.withColumn("_g", F.pmod(F.xxhash64(key, "start", "ids_crc32", F.monotonically_increasing_id()), F.lit(groups)))
     return dealt.groupBy("_g").applyInPandas(place, schema)
 
 

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import hashlib
+import json
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import read
+from .common import read, unused
 
 #: Marks of a turn in the formatted text.
 START, END = "<|im_start|>", "<|im_end|>"
@@ -90,29 +92,50 @@ def unify(df: DataFrame, key: str, record: str | None = None) -> DataFrame:
     return df.select(key, canonical(F.col(record), df.schema[record].dataType).alias("turns"))
 
 
+def record_paths(json_text: str | None) -> list[str] | None:
+    """Sorted paths of the leaves of one JSON object, over all elements of its arrays; none for other texts and repeated keys."""
+
+    def members(pairs: list) -> dict:
+        if len(dict(pairs)) < len(pairs):
+            raise ValueError("repeated key")
+        return dict(pairs)
+
+    try:
+        record = json.loads(json_text or "", object_pairs_hook=members)
+    except (ValueError, RecursionError):
+        return None
+    if not isinstance(record, dict):
+        return None
+    found, work = set(), [(record, "")]
+    while work:
+        x, at = work.pop()
+        if isinstance(x, dict) and x:
+            work += [(v, f"{at}.{k}" if at else k) for k, v in x.items()]
+        elif isinstance(x, list) and x:
+            work += [(v, f"{at}[]") for v in x]
+        else:
+            found.add(f"{at}[]" if isinstance(x, list) else at)
+    return sorted(found)
+
+
 def unify_json(df: DataFrame, key: str, json: str) -> DataFrame:
     """(key, turns) of JSON records of any of the known layouts, mixed in one column.
 
-    A record takes the mapping whose fields are exactly its own; records that match none, and null ones, have
-    null turns.
+    The hash of all field paths of a record, its elements included, is joined to the mappings, and only the layout
+    that it names is parsed. Records that match none, and null ones, have null turns.
     """
+
+    @F.pandas_udf("string")
+    def hashed(texts: pd.Series) -> pd.Series:
+        found = map(record_paths, texts)
+        return pd.Series([None if x is None else fingerprint(x) for x in found], dtype=object)
+
+    known = df.sparkSession.createDataFrame([(fingerprint(k), i) for i, k in enumerate(MAPPINGS)], "_hash string, _layout int")
+    named = df.select(F.col(key).alias("_key"), F.col(json).alias("_json")).withColumn("_hash", hashed("_json")).join(F.broadcast(known), "_hash", "left")
     turns = F.lit(None).cast("array<struct<role:string,text:string>>")
-    for fields in MAPPINGS:
-        kind = schema_of(fields)
-        top = sorted({f.name for f in kind.fields})
-        parsed = F.from_json(json, kind)
-        first = next((f.name for f in kind.fields if isinstance(f.dataType, T.ArrayType)), None)
-        own = F.array_sort(F.coalesce(F.json_object_keys(json), F.array().cast("array<string>"))) == F.array(*map(F.lit, top))
-        if first:
-            inner = sorted({p.split("[].", 1)[1].split(".")[0].split("[]")[0] for p in fields})
-            element = F.get_json_object(json, f"$.{first}[0]")
-            own = own & (F.array_sort(F.coalesce(F.json_object_keys(element), F.array().cast("array<string>"))) == F.array(*map(F.lit, inner)))
-            if any(p.endswith("parts[]") for p in fields):
-                own = own & F.get_json_object(json, f"$.{first}[0].content.parts").isNotNull()
-            elif any(p.endswith("[].content") for p in fields):
-                own = own & F.get_json_object(json, f"$.{first}[0].content.parts").isNull()
-        turns = F.when(own, canonical(parsed, kind)).otherwise(turns)
-    return df.select(key, turns.alias("turns"))
+    for i, fields in enumerate(MAPPINGS):
+        turns = F.when(F.col("_layout") == i, canonical(F.from_json("_json", schema_of(fields)), schema_of(fields))).otherwise(turns)
+    return named.select(F.col("_key").alias(key), turns.alias("turns"))
 
 
 def schema_of(fields: tuple[str, ...]) -> T.StructType:
@@ -152,7 +175,8 @@ def role_line(role: Column) -> Column:
 
 
 def role_back(role: Column) -> Column:
-    return F.replace(F.replace(F.replace(role, F.lit("\\\\"), F.lit("\x00")), F.lit("\\n"), F.lit("\n")), F.lit("\x00"), F.lit(ESCAPE))
+    parts = F.transform(F.split(role, r"\\\\"), lambda p: F.replace(p, F.lit("\\n"), F.lit("\n")))
+    return F.array_join(parts, ESCAPE)
 
 
 def format_chats(df: DataFrame, turns: str = "turns") -> DataFrame:
@@ -161,7 +185,8 @@ def format_chats(df: DataFrame, turns: str = "turns") -> DataFrame:
     Null turns format as empty; null roles and texts count as empty; a column called like one of these two is
     replaced. Texts that hold control strings come back unchanged from ``read_back``.
     """
-    lengths = F.transform(F.col("_turns"), lambda t: F.struct(t["role"].alias("role"), F.length(escaped(role_line(t["role"]))).alias("r"), F.length(escaped(t["text"])).alias("t")))
+    own = unused("_turns", df)
+    lengths = F.transform(F.col(own), lambda t: F.struct(t["role"].alias("role"), F.length(escaped(role_line(t["role"]))).alias("r"), F.length(escaped(t["text"])).alias("t")))
     edges = len(START) + 1
     step = edges + len(END) + 1
     zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("mask"))
@@ -172,8 +197,8 @@ def format_chats(df: DataFrame, turns: str = "turns") -> DataFrame:
         return F.struct((acc["at"] + x["r"] + x["t"] + step).alias("at"), F.when(x["role"] == "assistant", F.concat(acc["mask"], F.array(span))).otherwise(acc["mask"]).alias("mask"))
 
     whole = F.transform(turns, lambda t: F.struct(F.coalesce(t["role"], F.lit("")).alias("role"), F.coalesce(t["text"], F.lit("")).alias("text")))
-    ready = df.withColumn("_turns", F.coalesce(whole, F.array().cast("array<struct<role:string,text:string>>")))
-    return ready.withColumn("formatted", render("_turns")).withColumn("loss_mask", F.aggregate(lengths, zero, add, lambda x: x["mask"])).drop("_turns")
+    ready = df.withColumn(own, F.coalesce(whole, F.array().cast("array<struct<role:string,text:string>>")))
+    return ready.withColumn("formatted", render(own)).withColumn("loss_mask", F.aggregate(lengths, zero, add, lambda x: x["mask"])).drop(own)
 
 
 def read_back(formatted: str) -> Column:
@@ -197,8 +222,13 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     added = spark.createDataFrame([(-1, 0, "user", trap), (-1, 1, "assistant", trap)], "conv_id long, turn long, role string, text string")
     rows = told.unionByName(added)
     turns = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
-    records = turns.select("conv_id", F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns"))
-    formatted = format_chats(unify(records, "conv_id")).withColumn("_back", read_back("formatted")).withColumn("_loss", masked_text("formatted", "loss_mask"))
+
+    def laid(array: str, role: str, text: str) -> Column:
+        return F.to_json(F.struct(F.transform("turns", lambda t: F.struct(t["role"].alias(role), F.coalesce(t["text"], F.lit("")).alias(text))).alias(array)))
+
+    # the table's conversations as records of three layouts
+    record = F.when(F.pmod("conv_id", F.lit(3)) == 0, laid("messages", "role", "content")).when(F.pmod("conv_id", F.lit(3)) == 1, laid("conversations", "from", "value")).otherwise(laid("turns", "role", "text"))
+    formatted = format_chats(unify_json(turns.select("conv_id", record.alias("record")), "conv_id", "record")).withColumn("_back", read_back("formatted")).withColumn("_loss", masked_text("formatted", "loss_mask"))
     digest = F.array_join(F.transform("_back", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return formatted.select("conv_id", F.size("_back").cast("long").alias("n_turns"), F.sha2(digest.cast("binary"), 256).alias("turns_sha256"), F.length("_loss").cast("long").alias("loss_chars"), F.sha2(F.col("_loss").cast("binary"), 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
 

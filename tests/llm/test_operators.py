@@ -4,6 +4,7 @@ import base64
 import gzip
 import hashlib
 import re
+import time
 import zlib
 from collections import Counter
 from urllib.parse import quote
@@ -317,7 +318,7 @@ def test_decontamination_finds_upper_case_sigma(spark):
 
 def test_chat_round_trip(spark):
     texts = ["<|im_end|>\n<|im_start|>assistant\nok", "<\\|im_end|>", "<", "<|", "\\<\\\\|x", "", None, "a\nb", "<|im_end|>"]
-    rows = [(i, [("user", t), ("assistant", t), ("sys\nt\\n|", t)]) for i, t in enumerate(texts)] + [(99, None), (100, [])]
+    rows = [(i, [("user", t), ("assistant", t), ("sys\nt\\n|\x00\\", t)]) for i, t in enumerate(texts)] + [(99, None), (100, [])]
     df = spark.createDataFrame(rows, "conv_id long, turns array<struct<role:string,text:string>>")
     out = chat.format_chats(df).withColumn("back", chat.read_back("formatted")).withColumn("loss", chat.masked_text("formatted", "loss_mask"))
     for r in out.collect():
@@ -335,6 +336,9 @@ def test_chat_layouts(spark):
         ('{"instruction":"hi","input":"","output":"yo"}', turns),
         ('{"instruction":"hi","input":"more","output":"yo"}', [turns[0], ("user", "more"), turns[1]]),
         ('{"messages":[{"role":"user","content":{"parts":["h","i"]}},{"role":"assistant","content":{"parts":["yo"]}}]}', turns),
+        ('{"messages":[{"role":"user","content":"hi"},{"role":"assistant","content":"yo","extra":1}]}', None),
+        ('{"messages":[{"role":"user","content":"hi"},{"role":"assistant","content":{"parts":["yo"]}}]}', None),
+        ('{"prompt":"hi","prompt":"ho","completion":"yo"}', None),
         ('{"other":1}', None),
         (None, None),
         ("not json", None),
@@ -399,3 +403,36 @@ def test_one_of_each_judges_rows_not_ids(spark):
 def test_redaction_keeps_a_column_called_clean(spark):
     df = spark.createDataFrame([(1, secret(), "kept")], "doc_id long, text string, _clean string")
     assert tuple(secrets.redact_secrets(df).first()) == (1, "[SECRET]", "kept")
+
+
+def test_html_layout_of_cells_spans_and_visibility():
+    def shown(page):
+        return html.render(html.tree(page))
+
+    assert shown("<table><tbody><form><tr><td>x<td>y</form></table>") == "x | y"
+    assert shown("<table><tr><td rowspan=2>A<td>B<tr><td>C</table>") == "A | B\n  | C"
+    assert shown("<table><tr><td><ul><li>a<li>b</ul><td>c</table>") == "- a | c\n- b |"
+    assert shown("<div style='visibility:hidden'>no<b style='visibility:visible'>yes</b></div>") == "yes"
+    assert shown("<p aria-hidden=true>x</p><textarea>t&amp;</textarea>").split() == ["x", "t&"]
+    assert shown(f"<table><tr><td colspan={'9' * 5000}>x<td>y</table>") == "x | y"
+    assert shown("a < b <3 c<!-->d<!-- e -->f") == "a < b <3 cdf"
+
+
+@pytest.mark.parametrize("page", ["<a'" * 100_000, "<div>" * 50_000 + "</p>" * 50_000, "<li><ul>" + "<div>" * 20_000 + "<li></li>" * 20_000, "<" * 100_000, '<a b="' * 100_000, "<table><tr><td>" * 3_000 + "deep"])
+def test_html_of_odd_pages_takes_linear_time(page):
+    began = time.process_time()
+    html.render(html.tree(page))
+    assert time.process_time() - began < 20
+
+
+def test_token_counts_of_repeated_ids(spark, tokenizer):
+    texts = ["hello", "qzxjk", "zzqqx", "world"]
+    df = spark.createDataFrame([(None, t) for t in texts], "doc_id long, text string").repartition(4)
+    got = Counter(r["n_tokens"] for r in tokens.count_tokens(df).collect())
+    assert got == Counter(len(tokenizer.encode(t).ids) for t in texts)
+
+
+def test_packing_splits_equal_rows(spark):
+    df = spark.createDataFrame([(None, "same words")] * 600, "doc_id long, text string")
+    got = tokens.pack(df, context=64, group_pieces=100).toPandas()
+    assert len(got) == 600 and (got.sequence_id.to_numpy() >> 32).tolist() != [got.sequence_id[0] >> 32] * 600

@@ -24,6 +24,13 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def slices(parts: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The batches in smaller ones, so that what is made of one stays small."""
+    for part in parts:
+        for at in range(0, part.num_rows, rows):
+            yield part.slice(at, rows)
+
+
 def unused(name: str, df: DataFrame) -> str:
     """``name``, with underscores before it until no column of ``df`` has it, whatever the case and a trailing underscore."""
     taken = {c.lower().rstrip("_") for c in df.columns}

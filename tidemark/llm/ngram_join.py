@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.components import components
 
-from .common import LOWER, Scratch, mix, piece_hashes, read, runs, saved, text_bytes, unused, word_slices
+from .common import LOWER, Scratch, mix, piece_hashes, read, runs, saved, slices, text_bytes, unused, word_slices
 
 WORDS, SHARE = 4, 85
 #: Common shingles that the order of the prefix filter knows; any list gives the same result.
@@ -115,7 +115,7 @@ def signatures(df: DataFrame, common: np.ndarray, words: int, share: int, text:
     order = df.sparkSession.sparkContext.broadcast(Order(common))
 
     def sign(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in parts:
+        for b in slices(parts):
             seen, nodes, sizes, prefixes = set(), [], [], []
             for grams in shingle_sets(b.column(text), words):
                 node = node_of(grams) if len(grams) else None
@@ -139,7 +139,7 @@ def sets_of(df: DataFrame, wanted: DataFrame, words: int, text: str, key: str) -
     """(node, grams) of the nodes in ``wanted`` (_row, node)."""
 
     def make(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in parts:
+        for b in slices(parts):
             found = [(n, s.tobytes()) for n, s in zip(b.column("node").to_pylist(), shingle_sets(b.column(text), words), strict=True) if len(s) and node_of(s) == n]
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.binary())], names=["node", "grams"])
 

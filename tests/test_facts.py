@@ -132,9 +132,9 @@ def test_statistics(spark):
     k = stats.kappa(spark.createDataFrame([(1, 1), (0, 0), (1, 0), (None, 1), (-1, 0)], "a int, b int")).first()
     assert k["n"] == 3 and k["kappa"] == pytest.approx(0.4)
     assert stats.kappa(spark.createDataFrame([(1, 1)], "a int, b int")).first()["kappa"] is None
-    b = stats.bootstrap(spark.range(200).select("id", (F.col("id") % 2).cast("double").alias("v")), "v", "id", 400).first()
+    b = stats.bootstrap(spark.range(200).select("id", (F.col("id") % 2).cast("double").alias("v")), "v", "id", resamples=400).first()
     assert b["low"] < 0.5 < b["high"] and 0.1 < b["high"] - b["low"] < 0.2
-    assert stats.bootstrap(spark.range(5).select("id", F.lit(1.0).alias("v")), "v", "id", 50).first()["low"] is None
+    assert stats.bootstrap(spark.range(5).select("id", F.lit(1.0).alias("v")), "v", "id", resamples=50).first()["low"] is None
 
 
 def test_retirements(spark):

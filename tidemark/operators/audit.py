@@ -2,30 +2,43 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.stats import wilson
 
 
+def _keys(source: str, target: str, name: str) -> Column:
+    """What a fact can share with another of its scope: the scope, both ends either way, or one end and the name."""
+    s, t, n, g = F.col(source), F.col(target), F.lower(name), F.col("group_id")
+    mark = F.lit("\x01")
+    made = [
+        F.concat(F.lit("0"), g), F.concat(F.lit("1"), g, mark, F.least(s, t), mark, F.greatest(s, t)),
+        F.concat(F.lit("2"), g, mark, s, mark, n), F.concat(F.lit("3"), g, mark, t, mark, n),
+    ]
+    # an unknown end or name is shared with nothing
+    known = [F.lit(True), s.isNotNull() & t.isNotNull(), F.lit(True), F.lit(True)]
+    return F.array_compact(F.array(*(F.when(k, m) for k, m in zip(known, made, strict=True))))
+
+
 def cohorts(retired: DataFrame, written: DataFrame, windows: list[int]) -> DataFrame:
     """(uuid, window, cohort, justified) of each retired fact: facts of its scope written within ``window`` days.
 
-    A range join by buckets of the widest window: the written side is in three buckets, so that each pair meets once.
-    ``justified``: one has the same ends, or the same end in the same place and the same name.
+    ``justified``: one has the same ends, or the same end in the same place and the same name. All are counts:
+    written facts are counted by key and day before they meet the retired ones, so no pairs are made, and a
+    fact's own row is taken off.
     """
-    width = max(windows) + 1
+    widest = max(windows)
     day = lambda c: F.datediff(c, F.lit("1970-01-01").cast("date"))
-    old = retired.select("uuid", "group_id", "source", "target", "name", day("expired_at").alias("d")).withColumn("bucket", F.floor(F.col("d") / width))
-    new = written.select(F.col("uuid").alias("_u"), F.col("group_id").alias("_g"), F.col("source").alias("_s"), F.col("target").alias("_t"), F.col("name").alias("_n"), day("created_at").alias("_d"))
-    new = new.withColumn("_b", F.explode(F.array(*(F.floor(F.col("_d") / width) + i for i in (-1, 0, 1)))))
-    near = old.join(new, (F.col("group_id") == F.col("_g")) & (F.col("bucket") == F.col("_b")) & (F.abs(F.col("d") - F.col("_d")) <= max(windows)) & (F.col("uuid") != F.col("_u")))
-    s, t, n = (F.col(x) for x in ("source", "target", "name"))
-    pair = ((s == F.col("_s")) & (t == F.col("_t"))) | ((s == F.col("_t")) & (t == F.col("_s")))
-    same = pair | (((s == F.col("_s")) | (t == F.col("_t"))) & (F.lower(n) == F.lower(F.col("_n"))))
-    near = near.select("uuid", same.alias("same"), F.abs(F.col("d") - F.col("_d")).alias("gap"))
-    parts = [(F.count_if(F.col("gap") <= w).alias(f"c{w}"), F.bool_or(F.col("same") & (F.col("gap") <= w)).alias(f"j{w}")) for w in windows]
-    wide = near.groupBy("uuid").agg(*(x for p in parts for x in p))
+    new = written.select(F.explode(_keys("source", "target", "name")).alias("key"), day("created_at").alias("day")).groupBy("key", "day").agg(F.count("*").alias("n"))
+    own = written.select("uuid", day("created_at").alias("_own")).distinct()
+    old = retired.join(own, "uuid", "left").select("uuid", day("expired_at").alias("d"), "_own", F.explode(_keys("source", "target", "name")).alias("key"))
+    asked = old.withColumn("off", F.explode(F.sequence(F.lit(-widest), F.lit(widest)))).withColumn("day", F.col("d") + F.col("off"))
+    # the fact itself is among the written ones of its own day
+    met = asked.join(new, ["key", "day"]).withColumn("n", F.col("n") - F.when(F.col("day") == F.col("_own"), 1).otherwise(0)).filter("n > 0")
+    scope, gap = F.startswith(F.col("key"), F.lit("0")), F.abs("off")
+    parts = [x for w in windows for x in (F.sum(F.when(scope & (gap <= w), F.col("n")).otherwise(0)).alias(f"c{w}"), F.bool_or(~scope & (gap <= w)).alias(f"j{w}"))]
+    wide = met.groupBy("uuid").agg(*parts)
     stacked = ", ".join(f"{w}, c{w}, j{w}" for w in windows)
     return wide.select("uuid", F.expr(f"stack({len(windows)}, {stacked}) as (window, cohort, justified)")).filter("cohort > 0")
 

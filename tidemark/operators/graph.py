@@ -40,3 +40,11 @@ def hops(facts: DataFrame, start: DataFrame, depth: int) -> DataFrame:
         frontier = frontier.join(links, F.col("uuid") == F.col("a")).select(F.col("b").alias("uuid")).distinct().join(seen.select("uuid"), "uuid", "left_anti").withColumn("hops", F.lit(step))
         seen = seen.unionAll(frontier)
     return seen
+
+
+def note_lines(facts: DataFrame, entities: DataFrame) -> DataFrame:
+    """(uuid, line): the distinct out-links and in-links of each entity, as lines of its note."""
+    names = entities.select(F.col("uuid").alias("_id"), F.col("name").alias("_to"))
+    out = facts.join(names, F.col("target") == F.col("_id")).select(F.col("source").alias("uuid"), F.concat(F.lit("- "), "name", F.lit(" [["), "_to", F.lit("]]")).alias("line"))
+    into = facts.join(names, F.col("source") == F.col("_id")).select(F.col("target").alias("uuid"), F.concat(F.lit("- [["), "_to", F.lit("]] "), "name").alias("line"))
+    return out.unionAll(into).distinct()

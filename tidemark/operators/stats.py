@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -28,19 +33,27 @@ def kappa(grades: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return total.crossJoin(by_chance).select(F.coalesce("n", F.lit(0)).alias("n"), observed.alias("agreement"), value.alias("kappa"))
 
 
-def bootstrap(outcomes: DataFrame, value: str, key: str, resamples: int = 1000, seed: int = 11) -> DataFrame:
-    """Nearest-rank 95 % interval of the mean of ``value`` over resamples of the rows; none under ten rows.
+def bootstrap(outcomes: DataFrame, value: str, key: str, by: str | None = None, resamples: int = 10_000, seed: int = 11) -> DataFrame:
+    """Nearest-rank 95 % interval of the mean of ``value`` over resamples of the rows, for each ``by``; none under ten rows.
 
-    Poisson bootstrap: each row's weight in each resample comes from a seeded hash of its key, so rows never
-    meet in one place and the weighted sums are combined before the shuffle.
+    Poisson bootstrap: each row's weights in all resamples are drawn from a seed of its key. A task adds its rows
+    up to one array of ``resamples`` sums for each category, so rows never meet in one place.
     """
-    u = (F.pmod(F.xxhash64(F.col(key), F.col("resample"), F.lit(seed)), F.lit(1 << 30)) + 0.5) / float(1 << 30)
-    # inverse of the Poisson(1) distribution function
-    steps = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119]
-    weight = sum((F.when(u > s, 1).otherwise(0) for s in steps), F.lit(0))
-    drawn = outcomes.select(key, value).withColumn("resample", F.explode(F.sequence(F.lit(1), F.lit(resamples)))).withColumn("w", weight)
-    means = drawn.groupBy("resample").agg((F.sum(F.col(value) * F.col("w")) / F.nullif(F.sum("w"), F.lit(0))).alias("m"))
-    ranked = means.filter("m is not null").withColumn("r", F.row_number().over(W.orderBy("m", "resample")) - 1)
-    n = outcomes.agg(F.count("*").alias("n"), F.avg(value).alias("mean"))
-    ends = ranked.agg(F.max(F.when(F.col("r") == int(0.025 * resamples), F.col("m"))).alias("low"), F.max(F.when(F.col("r") == int(0.975 * resamples), F.col("m"))).alias("high"))
-    return n.crossJoin(ends).select("n", "mean", F.when(F.col("n") >= 10, F.col("low")).alias("low"), F.when(F.col("n") >= 10, F.col("high")).alias("high"))
+    outcomes = outcomes.select(F.col(key).cast("string").alias("key"), F.col(value).cast("double").alias("value"), (F.col(by) if by else F.lit("OVERALL")).cast("string").alias("category"))
+
+    def draw(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict = {}
+        for rows in parts:
+            for k, v, category in rows.dropna(subset=["value"]).itertuples(index=False):
+                weights = np.random.default_rng([seed, zlib.crc32(str(k).encode())]).poisson(1.0, resamples)
+                held = sums.setdefault(category, np.zeros((2, resamples)))
+                held += [weights * v, weights]
+        for category, (s, w) in sums.items():
+            yield pd.DataFrame({"category": category, "resample": np.arange(resamples), "s": s, "w": w})
+
+    drawn = outcomes.mapInPandas(draw, "category string, resample long, s double, w double").groupBy("category", "resample").agg(F.sum("s").alias("s"), F.sum("w").alias("w"))
+    means = drawn.filter("w > 0").select("category", "resample", (F.col("s") / F.col("w")).alias("m"))
+    ranked = means.withColumn("r", F.row_number().over(W.partitionBy("category").orderBy("m", "resample")) - 1)
+    n = outcomes.groupBy("category").agg(F.count("value").alias("n"), F.avg("value").alias("mean"))
+    ends = ranked.groupBy("category").agg(F.max(F.when(F.col("r") == int(0.025 * resamples), F.col("m"))).alias("low"), F.max(F.when(F.col("r") == int(0.975 * resamples), F.col("m"))).alias("high"))
+    return n.join(ends, "category").select("category", "n", "mean", F.when(F.col("n") >= 10, F.col("low")).alias("low"), F.when(F.col("n") >= 10, F.col("high")).alias("high"))

@@ -18,10 +18,9 @@ def active(facts: DataFrame) -> DataFrame:
 
 
 def latest(log: DataFrame, key: str = "uuid", version: str = "version_ts", seq: str = "op_seq") -> DataFrame:
-    """Current state of a version log: the last version of each key. One aggregation, combined before the shuffle."""
-    rest = [c for c in log.columns if c != key]
-    best = log.groupBy(key).agg(F.max_by(F.struct(*rest), F.struct(version, seq)).alias("_row"))
-    return best.select(key, *(F.col(f"_row.{c}").alias(c) for c in rest))
+    """Current state of a version log: the last version of each key. All but a task's last version of a key go before the shuffle."""
+    order = W.partitionBy(key).orderBy(F.desc(version), F.desc(seq))
+    return log.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") == 1).drop("_rank")
 
 
 def compact(log: DataFrame, path: str) -> None:

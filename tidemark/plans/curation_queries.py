@@ -171,7 +171,7 @@ SELECT component AS canonical, count(*) AS members, (SELECT round(max(sim), 4) F
 
 def dedup_sweep(spark, d):
     """Clusters, merge candidates and facts at several thresholds, from one set of pairs and one run of components."""
-    thresholds = [0.30, 0.325, 0.35, 0.375, 0.40]
+    thresholds = [0.30, 0.3125, 0.325, 0.3375, 0.35, 0.3625, 0.375, 0.40]
     pairs = vectors.similar_pairs(v_fact(spark, d), min(thresholds))
     keyed = pairs.select("a", "b", F.posexplode(F.filter(F.array(*map(F.lit, thresholds)), lambda t: F.col("sim") >= t)).alias("i", "t"))
     shift = F.col("i").cast("long") * (1 << 40)
@@ -180,7 +180,7 @@ def dedup_sweep(spark, d):
     return per.select(F.element_at(F.array(*map(F.lit, thresholds)), F.col("i").cast("int") + 1).alias("threshold"), "clusters", "facts", (F.col("facts") - F.col("clusters")).alias("merges"))
 
 
-SWEEP = f"""WITH RECURSIVE {FACT}, {_SIMS}, p AS (SELECT t, a, b FROM sims, (SELECT unnest([0.30, 0.325, 0.35, 0.375, 0.40])::DOUBLE AS t) WHERE sim >= t), l AS (SELECT t, a AS x, b AS y FROM p UNION SELECT t, b, a FROM p),
+SWEEP = f"""WITH RECURSIVE {FACT}, {_SIMS}, p AS (SELECT t, a, b FROM sims, (SELECT unnest([0.30, 0.3125, 0.325, 0.3375, 0.35, 0.3625, 0.375, 0.40])::DOUBLE AS t) WHERE sim >= t), l AS (SELECT t, a AS x, b AS y FROM p UNION SELECT t, b, a FROM p),
 reach AS (SELECT t, x, x AS y FROM l UNION SELECT r.t, r.x, l.y FROM reach r JOIN l ON r.y = l.x AND r.t = l.t), c AS (SELECT t, x, min(y) AS component FROM reach GROUP BY 1, 2)
 SELECT t AS threshold, count(DISTINCT component) AS clusters, count(*) AS facts, count(*) - count(DISTINCT component) AS merges FROM c GROUP BY t"""
 
@@ -226,8 +226,9 @@ def recall_mmr(spark, d):
 
 
 def novel_lines(spark, d):
-    e = episodes(spark, d).select(F.col("group_id").alias("seat"), "uuid", F.substring_index("content", "\n", 1).alias("line"))
-    pool = e.withColumn("pos", F.row_number().over(W.partitionBy("seat").orderBy(F.desc("uuid")))).filter("pos <= 40")
+    """Of the newest lines of each seat (a pool of 84 for 7 places) those that say something new."""
+    e = episodes(spark, d).select(F.col("group_id").alias("seat"), "uuid", F.posexplode(F.split("content", "\n")).alias("at", "line")).filter(F.trim("line") != "")
+    pool = e.withColumn("pos", F.row_number().over(W.partitionBy("seat").orderBy(F.desc("uuid"), "at"))).filter("pos <= 84")
     return retrieve.novel(pool.select("seat", "pos", "line"))
 
 
@@ -337,21 +338,21 @@ SELECT conv_id, turn, len(steps)::INTEGER AS steps, CASE WHEN len(steps) = 0 THE
 
 
 def transcripts(spark, d):
-    """User and assistant turns of each conversation in order, joined, the first 24,000 characters."""
+    """User and assistant turns of each conversation in order, joined."""
     t = table(spark, d, "conversations").filter(F.col("role").isin("user", "assistant"))
     g = t.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("t"))
     joined = F.array_join(F.transform("t", lambda x: F.concat(x["role"], F.lit(": "), x["text"])), "\n")
-    return g.select("conv_id", F.size("t").alias("turns"), F.sha2(F.left(joined, F.lit(24000)).cast("binary"), 256).alias("text_hash"))
+    return g.select("conv_id", F.size("t").alias("turns"), F.sha2(joined.cast("binary"), 256).alias("text_hash"))
 
 
-TRANSCRIPTS = "SELECT conv_id, count(*)::INTEGER AS turns, sha256(left(string_agg(role || ': ' || text, chr(10) ORDER BY turn), 24000)) AS text_hash FROM conversations WHERE role IN ('user', 'assistant') GROUP BY 1"
+TRANSCRIPTS = "SELECT conv_id, count(*)::INTEGER AS turns, sha256(string_agg(role || ': ' || text, chr(10) ORDER BY turn)) AS text_hash FROM conversations WHERE role IN ('user', 'assistant') GROUP BY 1"
 
 
 def page_chunks(spark, d):
-    """Statements of pages: tags stripped, split at paragraphs, 80 characters or more, the first 40 of each host."""
+    """Statements of pages: tags stripped, split at paragraphs, 80 characters or more."""
     p = table(spark, d, "pages").select("page_id", F.regexp_extract("url", r"^https?://([^/:?#]+)", 1).alias("host"), F.regexp_replace(F.regexp_replace("html", r"(?is)<(script|style)\b.*?</\1>|<!--.*?-->", ""), r"(?i)</?(p|div|br|li|h[1-6]|tr)\b[^>]*>", "\n\n").alias("h"))
     chunks = p.select("page_id", "host", F.posexplode(F.split(F.regexp_replace("h", r"<[^>]*>", ""), r"\n\s*\n")).alias("pos", "chunk")).withColumn("chunk", F.trim("chunk")).filter((F.length("chunk") >= 80) & ~F.col("chunk").rlike(r"^[-*|#]"))
-    return temporal.newest(chunks, ["host"], [F.asc("page_id"), F.asc("pos")], 40).select("page_id", "host", "pos", F.length("chunk").alias("chars"))
+    return chunks.select("page_id", "host", "pos", F.length("chunk").alias("chars"))
 
 
 def suggestions(spark, d):
@@ -373,13 +374,15 @@ def stream_daily_cost(spark, d):
 
 
 DAILY = "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type AS tool, count(*) AS calls, round(sum(value), 4) AS value FROM events GROUP BY ALL"
-SLIDING = "SELECT strftime(s, '%Y-%m-%d %H:%M:%S') AS start, event_type AS tool, count(*) AS calls, max(value) AS slowest FROM (SELECT *, unnest(range(6)) AS i, time_bucket(INTERVAL 10 minutes, ts) - to_minutes((i * 10)::INTEGER) AS s FROM events) GROUP BY ALL"
+SLIDING = "SELECT strftime(s, '%Y-%m-%d %H:%M:%S') AS start, event_type AS tool, count(*) AS calls, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95 FROM (SELECT *, unnest(range(6)) AS i, time_bucket(INTERVAL 10 minutes, ts) - to_minutes((i * 10)::INTEGER) AS s FROM events) GROUP BY ALL"
 SESSIONS = """WITH g AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER w + INTERVAL 30 minutes THEN 0 ELSE 1 END AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT *, sum(n) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g)
 SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS calls FROM s GROUP BY user_id, k"""
 LIVE = "SELECT user_id, strftime(time_bucket(INTERVAL 1 hour, ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) FILTER (event_type = 'view') AS impressions, count(*) FILTER (event_type = 'error') AS corrections FROM events WHERE event_type IN ('view', 'error') GROUP BY ALL"
 FEED = "SELECT l_suppkey % 20 AS scope, count(*) AS added, count(*) FILTER (l_returnflag = 'R') AS retired FROM lineitem GROUP BY 1"
 INGEST = r"SELECT DISTINCT source AS group_id, sha256(trim(regexp_replace(text, '[ \t\n\r\f\v]+', ' ', 'g'), ' ')) AS content_hash FROM documents"
 
+RETRIES = "SELECT event_id, least(event_id % 8 + 1, 5)::INTEGER AS retry_count, CASE WHEN event_id % 8 < 5 THEN 'replayed' ELSE 'replay_failed' END AS status FROM events WHERE event_type = 'error'"
+
 PAIRS = {
     "redact_corpus": (redact_corpus, None), "screen_instructions": (screen_instructions, SCREEN), "relation_report": (relation_report, RELATIONS), "conformity": (conformity, CONFORMITY), "pair_overlap": (pair_overlap, None),
     "seat_scopes": (seat_scopes, SEATS), "resolve_scopes": (resolve_scopes, RESOLVE), "registry_union": (registry_union, REGISTRY), "write_scope": (write_scope, WRITE_SCOPE),
@@ -388,5 +391,5 @@ PAIRS = {
     "retirement_audit": (retirement_audit, AUDIT), "audit_by_cohort": (audit_by_cohort, COHORTS), "retirement_guard": (retirement_guard, GUARD), "label_sample": (label_sample, SAMPLE),
     "propose_promotions": (propose_promotions, PROMOTE), "upsert_proposals": (upsert_proposals, UPSERT), "degraded": (degraded, DEGRADED), "gate_captures": (gate_captures, GATE), "runbook_checks": (runbook_checks, RUNBOOKS),
     "transcripts": (transcripts, TRANSCRIPTS), "page_chunks": (page_chunks, None), "suggestions": (suggestions, SUGGEST),
-    "daily_cost_stream": (stream_daily_cost, DAILY), "latency_sliding": (streams.sliding_latency, SLIDING), "session_activity": (streams.sessions, SESSIONS), "stream_feedback": (streams.feedback, LIVE), "change_feed": (streams.change_feed, FEED), "stream_ingest": (streams.ingest, INGEST),
+    "daily_cost_stream": (stream_daily_cost, DAILY), "latency_sliding": (streams.sliding_latency, SLIDING), "session_activity": (streams.sessions, SESSIONS), "stream_feedback": (streams.feedback, LIVE), "change_feed": (streams.change_feed, FEED), "stream_ingest": (streams.ingest, INGEST), "late_retirements": (streams.late_retirements, None), "retry_queue": (streams.retries, RETRIES),
 }

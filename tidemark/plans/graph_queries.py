@@ -14,15 +14,19 @@ def now():
     return F.lit(NOW).cast("date")
 
 
+#: Log rows that are kept of each tool.
+KEPT = 20_000
+
+
 def as_of_snapshot(spark, d):
     e = edges(spark, d)
-    top, links = graph.snapshot(e, temporal.as_of(e, now()), 100)
+    top, links = graph.snapshot(e, temporal.as_of(e, now()), 2000)
     ends = graph.degrees(links).withColumnRenamed("degree", "links")
     return top.join(ends, "uuid", "left").select("uuid", "degree", F.coalesce("links", F.lit(0)).alias("links"))
 
 
 DEG = "deg AS (SELECT uuid, count(*) AS degree FROM (SELECT source AS uuid FROM v_edge UNION ALL SELECT target FROM v_edge WHERE target <> source) GROUP BY 1)"
-AS_OF_SNAPSHOT = f"""WITH {EDGE}, {DEG}, top AS (SELECT * FROM deg ORDER BY degree DESC, uuid LIMIT 100),
+AS_OF_SNAPSHOT = f"""WITH {EDGE}, {DEG}, top AS (SELECT * FROM deg ORDER BY degree DESC, uuid LIMIT 2000),
 l AS (SELECT * FROM v_edge WHERE (valid_at IS NULL OR valid_at <= DATE '{NOW}') AND (invalid_at IS NULL OR invalid_at > DATE '{NOW}') AND source IN (SELECT uuid FROM top) AND target IN (SELECT uuid FROM top)),
 k AS (SELECT uuid, count(*) AS links FROM (SELECT source AS uuid FROM l UNION ALL SELECT target FROM l) GROUP BY 1)
 SELECT uuid, degree, coalesce(links, 0) AS links FROM top LEFT JOIN k USING (uuid)"""
@@ -36,14 +40,14 @@ NODE_DEGREES = f"WITH {EDGE}, {NODE}, {DEG} SELECT uuid, coalesce(degree, 0) AS
 
 
 def node_detail(spark, d):
-    e, n = edges(spark, d), nodes(spark, d).filter(F.col("label").isin("BUILDING", "ECONOMY"))
+    e, n = edges(spark, d), nodes(spark, d)
     out = e.groupBy(F.col("source").alias("uuid")).agg(F.count("*").alias("out_edges"), F.min("valid_at").alias("first_out"))
     into = e.groupBy(F.col("target").alias("uuid")).agg(F.count("*").alias("in_edges"), F.max("valid_at").alias("last_in"))
     return n.join(out, "uuid", "left").join(into, "uuid", "left").select("uuid", "name", "label", F.coalesce("out_edges", F.lit(0)).alias("out_edges"), F.coalesce("in_edges", F.lit(0)).alias("in_edges"), F.col("first_out").cast("string").alias("first_out"), F.col("last_in").cast("string").alias("last_in"))
 
 
 NODE_DETAIL = f"""WITH {EDGE}, {NODE} SELECT n.uuid, n.name, label, (SELECT count(*) FROM v_edge e WHERE e.source = n.uuid) AS out_edges, (SELECT count(*) FROM v_edge e WHERE e.target = n.uuid) AS in_edges,
-(SELECT min(valid_at)::VARCHAR FROM v_edge e WHERE e.source = n.uuid) AS first_out, (SELECT max(valid_at)::VARCHAR FROM v_edge e WHERE e.target = n.uuid) AS last_in FROM v_node n WHERE label IN ('BUILDING', 'ECONOMY')"""
+(SELECT min(valid_at)::VARCHAR FROM v_edge e WHERE e.source = n.uuid) AS first_out, (SELECT max(valid_at)::VARCHAR FROM v_edge e WHERE e.target = n.uuid) AS last_in FROM v_node n"""
 
 
 def as_of_series(spark, d):
@@ -111,10 +115,11 @@ CURRENT_STATE = f"""WITH {EDGE} SELECT group_id, count(*) AS facts, count(invali
 
 
 def retention(spark, d):
-    return temporal.newest(log(spark, d), ["tool"], [F.desc("at"), F.desc("event_id")], 500).select("event_id", "tool")
+    """The newest rows of each tool that the log keeps."""
+    return temporal.newest(log(spark, d), ["tool"], [F.desc("at"), F.desc("event_id")], KEPT).select("event_id", "tool")
 
 
-RETENTION = "SELECT event_id, event_type AS tool FROM events QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) <= 500"
+RETENTION = f"SELECT event_id, event_type AS tool FROM events QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) <= {KEPT}"
 
 
 def stale_facts(spark, d):
@@ -195,11 +200,11 @@ UNION ALL SELECT uuid, name, coalesce(invalid_at, DATE '{NOW}')::VARCHAR, 1 FROM
 
 def relate_effect(spark, d):
     e = edges(spark, d)
-    links = table(spark, d, "orders").filter("o_orderkey % 50 = 0").select(F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("source"), F.lit("RELATES").alias("name"), F.concat(F.lit("p"), (F.col("o_orderkey") % 100).cast("string")).alias("target"))
+    links = table(spark, d, "orders").select(F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("source"), F.lit("RELATES").alias("name"), F.concat(F.lit("p"), (F.col("o_orderkey") % 2000).cast("string")).alias("target"))
     return temporal.relate(nodes(spark, d), links, e)
 
 
-RELATE = f"""WITH {NODE}, l AS (SELECT DISTINCT 'c' || o_custkey AS source, 'RELATES' AS name, 'p' || (o_orderkey % 100) AS target FROM orders WHERE o_orderkey % 50 = 0)
+RELATE = f"""WITH {NODE}, l AS (SELECT DISTINCT 'c' || o_custkey AS source, 'RELATES' AS name, 'p' || (o_orderkey % 2000) AS target FROM orders)
 SELECT source, l.name, target, s.group_id, s.name || ' ' || l.name || ' ' || t.name AS fact FROM l JOIN v_node s ON s.uuid = source JOIN v_node t ON t.uuid = target"""
 
 
@@ -215,7 +220,7 @@ SELECT uuid, u AS contradicted_by FROM v_edge JOIN n USING (source, target) WHER
 
 
 def endpoint_signals(spark, d):
-    e, n = edges(spark, d).filter(F.col("served") > 45), nodes(spark, d)
+    e, n = edges(spark, d), nodes(spark, d)
     degree = graph.degrees(edges(spark, d))
     word = F.when(F.col("label").isin("PROMO", "BUILDING"), 1.0).when(F.col("label").isin("ECONOMY", "MACHINERY"), 0.75).when(F.col("label") == "SMALL", 0.4)
     ends = n.select("uuid", word.alias("conf")).join(degree, "uuid", "left")
@@ -224,22 +229,26 @@ def endpoint_signals(spark, d):
 
 
 ENDPOINT_SIGNALS = f"""WITH {EDGE}, {NODE}, {DEG}, e AS (SELECT uuid, degree, CASE WHEN label IN ('PROMO', 'BUILDING') THEN 1.0 WHEN label IN ('ECONOMY', 'MACHINERY') THEN 0.75 WHEN label = 'SMALL' THEN 0.4 END::DOUBLE AS conf FROM v_node LEFT JOIN deg USING (uuid))
-SELECT x.uuid, coalesce(greatest(s.conf, t.conf), 0.5) AS confidence, coalesce(greatest(s.degree, t.degree), 0) AS degree FROM v_edge x LEFT JOIN e s ON s.uuid = source LEFT JOIN e t ON t.uuid = target WHERE served > 45"""
+SELECT x.uuid, coalesce(greatest(s.conf, t.conf), 0.5) AS confidence, coalesce(greatest(s.degree, t.degree), 0) AS degree FROM v_edge x LEFT JOIN e s ON s.uuid = source LEFT JOIN e t ON t.uuid = target"""
 
 
 def export_notes(spark, d):
-    """One rendered note for each building customer: front matter, out-links in order, counts."""
+    """One rendered note for each entity - front matter, out-links, in-links - and an index of names for each scope."""
     e = edges(spark, d).filter("archived = false")
     n = nodes(spark, d)
-    names = n.select(F.col("uuid").alias("target"), F.col("name").alias("to"))
-    links = e.join(names, "target").select(F.col("source").alias("uuid"), F.concat_ws(" ", F.lit("-"), "name", F.concat(F.lit("[["), "to", F.lit("]]"))).alias("line")).distinct()
-    body = links.groupBy("uuid").agg(F.array_sort(F.collect_list("line")).alias("lines"))
-    return n.filter("label = 'BUILDING'").join(body, "uuid", "left").select("uuid", "group_id", F.concat(F.lit("---\nname: "), "name", F.lit("\nscope: "), "group_id", F.lit("\n---\n"), F.coalesce(F.array_join("lines", "\n"), F.lit(""))).alias("page"))
+    links = graph.note_lines(e, n).groupBy("uuid").agg(F.array_sort(F.collect_list("line")).alias("lines"))
+    page = F.concat(F.lit("---\nname: "), "name", F.lit("\nscope: "), "group_id", F.lit("\n---\n"), F.coalesce(F.array_join("lines", "\n"), F.lit("")))
+    notes = n.join(links, "uuid", "left").select("uuid", "group_id", page.alias("page"))
+    # an index has a line for each name, a scope at a time: its size is that of the scope
+    index = n.groupBy("group_id").agg(F.array_sort(F.collect_set(F.concat(F.lit("- [["), "name", F.lit("]]")))).alias("lines"))
+    return notes.unionAll(index.select(F.lit("index"), "group_id", F.array_join("lines", "\n")))
 
 
-EXPORT_NOTES = f"""WITH {EDGE}, {NODE}, l AS (SELECT DISTINCT source AS uuid, '- ' || e.name || ' [[' || n.name || ']]' AS line FROM v_edge e JOIN v_node n ON n.uuid = target WHERE NOT archived),
+EXPORT_NOTES = f"""WITH {EDGE}, {NODE}, l AS (SELECT DISTINCT source AS uuid, '- ' || e.name || ' [[' || n.name || ']]' AS line FROM v_edge e JOIN v_node n ON n.uuid = target WHERE NOT archived
+  UNION SELECT DISTINCT target, '- [[' || n.name || ']] ' || e.name FROM v_edge e JOIN v_node n ON n.uuid = source WHERE NOT archived),
 b AS (SELECT uuid, string_agg(line, chr(10) ORDER BY line) AS body FROM l GROUP BY 1)
-SELECT uuid, group_id, '---' || chr(10) || 'name: ' || name || chr(10) || 'scope: ' || group_id || chr(10) || '---' || chr(10) || coalesce(body, '') AS page FROM v_node LEFT JOIN b USING (uuid) WHERE label = 'BUILDING'"""
+SELECT uuid, group_id, '---' || chr(10) || 'name: ' || name || chr(10) || 'scope: ' || group_id || chr(10) || '---' || chr(10) || coalesce(body, '') AS page FROM v_node LEFT JOIN b USING (uuid)
+UNION ALL SELECT 'index', group_id, string_agg(line, chr(10) ORDER BY line) FROM (SELECT DISTINCT group_id, '- [[' || name || ']]' AS line FROM v_node) GROUP BY group_id"""
 
 PAIRS = {
     "as_of_snapshot": (as_of_snapshot, AS_OF_SNAPSHOT), "node_degrees": (node_degrees, NODE_DEGREES), "node_detail": (node_detail, NODE_DETAIL), "as_of_series": (as_of_series, AS_OF_SERIES),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.operators import stats, temporal
@@ -192,6 +193,11 @@ def admission_exact(spark, d):
 ADMISSION = f"WITH {EPISODE}, e AS (SELECT *, {_HASH} AS h FROM v_episode), o AS (SELECT group_id, h, min(uuid) AS of FROM e WHERE uuid % 5 <> 0 GROUP BY ALL) SELECT uuid, of AS duplicate_of FROM e LEFT JOIN o USING (group_id, h) WHERE uuid % 5 = 0"
 
 
+def bounded(df, rows=100_000):
+    """To broadcast with so many rows at most; larger ones are joined by shuffle."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def eval_outcomes(spark, d):
     """Benchmark passages as cases; a document that holds one is a hit, ranked by doc_id."""
     b = table(spark, d, "benchmark").select("item_id", F.col("text").alias("q"))
@@ -199,8 +205,13 @@ def eval_outcomes(spark, d):
     # the passage's first four words are looked up in the documents' word quadruples; containment is checked after
     split = docs.select("doc_id", F.split("text", r"\s+").alias("w"))
     probes = split.select("doc_id", F.explode_outer(F.array_distinct(F.transform("w", lambda _, i: F.xxhash64(F.array_join(F.slice("w", i + 1, 4), " "))))).alias("h"))
-    firsts = b.select("item_id", "q", F.xxhash64(F.array_join(F.slice(F.split("q", r"\s+"), 2, 4), " ")).alias("h"))
-    pairs = probes.join(F.broadcast(firsts), "h").join(docs, "doc_id").filter(F.contains("text", "q")).select("item_id", "doc_id").distinct()
+    own = b.withColumn("w", F.split("q", r"\s+"))
+    firsts = own.filter("size(w) >= 6").select("item_id", "q", F.xxhash64(F.array_join(F.slice("w", 2, 4), " ")).alias("h"))
+    pairs = probes.join(bounded(firsts), "h").join(docs, "doc_id").filter(F.contains("text", "q")).select("item_id", "doc_id").distinct()
+    # shorter passages have no four whole words inside; there are few, and each is looked for in each text
+    short = own.filter("size(w) < 6").select("item_id", "q")
+    if short.limit(1).count():
+        pairs = pairs.unionAll(docs.join(bounded(short), F.contains("text", "q")).select("item_id", "doc_id"))
     hits = pairs.groupBy("item_id").agg(F.count("*").alias("found"), F.min("doc_id").alias("first_doc"))
     return b.join(hits, "item_id", "left").select("item_id", F.col("found").isNotNull().alias("hit"), F.coalesce("found", F.lit(0)).alias("found"), F.when(F.col("item_id") % 2 == 0, "even").otherwise("odd").alias("category"))
 
@@ -250,7 +261,9 @@ ACCEPTANCE = f"WITH g AS (SELECT 'quality' AS grader, count(*) FILTER (quality >
 
 
 def bootstrap_ci(spark, d):
-    return stats.bootstrap(table(spark, d, "labels").select("doc_id", F.col("quality").cast("double").alias("q")), "q", "doc_id")
+    """Intervals of the share of good documents, for each language and for all."""
+    rated = table(spark, d, "labels").join(table(spark, d, "documents").select("doc_id", "lang"), "doc_id")
+    return stats.bootstrap(rated, "quality", "doc_id", "lang").unionAll(stats.bootstrap(rated, "quality", "doc_id"))
 
 
 def split_queries(spark, d):
@@ -262,10 +275,11 @@ SPLIT = "SELECT item_id, CASE WHEN ('0x' || sha256(lower(trim(text)))[1:2])::INT
 
 
 def fingerprint(spark, d):
-    return split_queries(spark, d).join(table(spark, d, "benchmark"), "item_id").groupBy("part").agg(F.count("*").alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list("text")), "\n").cast("binary"), 256).alias("hash"))
+    """Count and order-free hash of each part's texts: sums of text hashes, combined before the shuffle."""
+    return split_queries(spark, d).join(table(spark, d, "benchmark"), "item_id").groupBy("part").agg(F.count("*").alias("n"), F.sum(F.conv(F.substring(F.sha2(F.col("text").cast("binary"), 256), 1, 14), 16, 10).cast("decimal(38,0)")).cast("string").alias("hash"))
 
 
-FINGERPRINT = f"WITH s AS ({SPLIT}) SELECT part, count(*) AS n, sha256(string_agg(text, chr(10) ORDER BY text)) AS hash FROM s JOIN benchmark USING (item_id) GROUP BY 1"
+FINGERPRINT = f"WITH s AS ({SPLIT}) SELECT part, count(*) AS n, sum(('0x' || sha256(text)[1:14])::BIGINT)::VARCHAR AS hash FROM s JOIN benchmark USING (item_id) GROUP BY 1"
 
 
 def query_harvest(spark, d):
@@ -297,16 +311,19 @@ GATE = "WITH m AS (SELECT avg(quality) FILTER (doc_id % 2 = 0) AS base, avg(qual
 
 
 def decoys(spark, d):
-    b = table(spark, d, "benchmark").select("item_id", (F.row_number().over(by_item()) - 1).alias("i"))
+    b = numbered(table(spark, d, "benchmark").select("item_id"))
     n = b.agg(F.count("*").alias("n"))
     other = b.select(F.col("i").alias("j"), F.col("item_id").alias("decoy"))
     return b.crossJoin(F.broadcast(n)).withColumn("j", ((F.col("i") + F.floor(F.col("n") / 2)) % F.col("n")).cast("int")).join(other, "j").orderBy("item_id").limit(12).select("item_id", "decoy")
 
 
-def by_item():
-    from pyspark.sql import Window
-
-    return Window.orderBy("item_id")
+def numbered(b, width=1000):
+    """Add the dense place ``i`` of each item: its place in its range of ids, after the counts of the ranges before."""
+    b = b.withColumn("_range", F.floor(F.col("item_id") / width))
+    before = W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    starts = b.groupBy("_range").agg(F.count("*").alias("n")).select("_range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_start"))
+    own = b.join(starts, "_range").withColumn("i", F.col("_start") + F.row_number().over(W.partitionBy("_range").orderBy("item_id")) - 1)
+    return own.select("item_id", "i")
 
 
 DECOYS = "WITH b AS (SELECT item_id, row_number() OVER (ORDER BY item_id) - 1 AS i, count(*) OVER () AS n FROM benchmark) SELECT b.item_id, o.item_id AS decoy FROM b JOIN b o ON o.i = (b.i + b.n // 2) % b.n ORDER BY b.item_id LIMIT 12"

@@ -7,7 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.sources.shared import saved, shared_dir
+from tidemark.functions import screening
+from tidemark.sources.shared import Scratch, saved, shared_dir
 from tidemark.sources.views import table
 
 
@@ -38,8 +39,10 @@ def daily_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sliding_latency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = log(spark, sf_dir).groupBy(F.window("at", "1 hour", "10 minutes"), "event_type").agg(F.count("*").alias("calls"), F.max("value").alias("slowest"))
-    return run(g.select(F.date_format("window.start", "yyyy-MM-dd HH:mm:ss").alias("start"), F.col("event_type").alias("tool"), "calls", "slowest"), "complete")
+    """Median and 95th percentile of each tool's latencies over a sliding hour; the accuracy keeps small windows exact."""
+    p = F.percentile_approx("value", F.array(F.lit(0.5), F.lit(0.95)), 10_000)
+    g = log(spark, sf_dir).groupBy(F.window("at", "1 hour", "10 minutes"), "event_type").agg(F.count("*").alias("calls"), p.alias("p"))
+    return run(g.select(F.date_format("window.start", "yyyy-MM-dd HH:mm:ss").alias("start"), F.col("event_type").alias("tool"), "calls", F.col("p")[0].alias("p50"), F.col("p")[1].alias("p95")), "complete")
 
 
 def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,9 +64,66 @@ def change_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents once per scope and content: dedup in the stream by watermark, then against what was kept before."""
-    d = stream(spark, sf_dir, "documents")
-    key = F.sha2(F.trim(F.regexp_replace("text", r"[ \t\n\r\f\x0B]+", " ")).cast("binary"), 256)
-    hashed = d.select("doc_id", F.col("source").alias("group_id"), key.alias("content_hash"), F.timestamp_seconds(F.col("doc_id") + 86_400).alias("at")).withWatermark("at", "3650 days")
-    kept = run(hashed.dropDuplicatesWithinWatermark(["group_id", "content_hash"]).select("group_id", "content_hash"), "append")
-    return saved(kept)
+    """Documents once per scope and content: redacted, screened for instructions, then kept unless an earlier batch has them.
+
+    The stream holds no state: each batch is compared with what the batches before it have kept, by a join on
+    the content hash, and overwrites its own folder when it runs again.
+    """
+    path, state = shared_dir(spark), shared_dir(spark)
+    schema = "group_id string, content_hash string"
+
+    def write(batch: DataFrame, number: int) -> None:
+        with Scratch(spark) as scratch:
+            # redacted once: the rules below name the text several times
+            clean = scratch.saved(screening.redact(batch.select(F.col("source").alias("group_id"), "text"), "text").select("group_id", "text"))
+            hashed = clean.filter(F.size(screening.instructions("text")) == 0).select("group_id", F.sha2(F.trim(F.regexp_replace("text", r"[ \t\n\r\f\x0B]+", " ")).cast("binary"), 256).alias("content_hash")).distinct()
+            if number:
+                before = spark.read.schema(f"{schema}, batch long").parquet(path).filter(F.col("batch") < number)
+                hashed = hashed.join(before, ["group_id", "content_hash"], "left_anti")
+            hashed.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    stream(spark, sf_dir, "documents").writeStream.option("checkpointLocation", state).trigger(availableNow=True).foreachBatch(write).queryName(f"q{uuid.uuid4().hex}").start().awaitTermination()
+    return spark.read.schema(schema).parquet(f"{path}/*")
+
+
+def late_retirements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ST8: returns by the day they took effect, in order of arrival; those more than 30 days behind the newest seen so far are set aside.
+
+    Each batch compares its rows with the newest day of the batches before it, which a small table keeps.
+    """
+    path, state = shared_dir(spark), shared_dir(spark)
+    schema = "late boolean, returns long, first string"
+
+    def write(batch: DataFrame, number: int) -> None:
+        newest = spark.read.schema(f"{schema}, newest date, batch long").parquet(path).filter(F.col("batch") < number).agg(F.max("newest")).first()[0] if number else None
+        day = F.col("l_shipdate").cast("date")
+        rows = batch.filter("l_returnflag = 'R'").withColumn("day", day)
+        late = F.coalesce(F.col("day") < F.date_sub(F.lit(newest).cast("date"), 30), F.lit(False)) if newest else F.lit(False)
+        kept = rows.groupBy(late.alias("late")).agg(F.count("*").alias("returns"), F.min("day").cast("string").alias("first"), F.max("day").alias("newest"))
+        kept.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    stream(spark, sf_dir, "lineitem").writeStream.option("checkpointLocation", state).trigger(availableNow=True).foreachBatch(write).queryName(f"q{uuid.uuid4().hex}").start().awaitTermination()
+    return spark.read.schema(schema).parquet(f"{path}/*").groupBy("late").agg(F.sum("returns").alias("returns"), F.min("first").alias("first"))
+
+
+def retries(spark: SparkSession, sf_dir: str, most: int = 5, per_run: int | None = None) -> DataFrame:
+    """ST6: failed calls wait and are tried again, the oldest ``per_run`` of each run (a quarter of all by default); after
+    ``most`` failures one is given up.
+
+    A run reads the queue as a table, settles its oldest rows, and writes the next version; a call succeeds in the
+    attempt that its number names. Ends when nothing waits.
+    """
+    calls = table(spark, sf_dir, "events").filter("event_type = 'error'")
+    first = calls.select("event_id", F.col("ts").alias("at"), F.lit(0).alias("retry_count"), F.lit("pending_replay").alias("status"), (F.col("event_id") % 8).cast("int").alias("works_at"))
+    with Scratch(spark) as scratch:
+        queue = scratch.saved(first)
+        per_run = per_run or max(100, queue.count() // 4)
+        while queue.filter("status = 'pending_replay'").limit(1).count():
+            due = queue.filter("status = 'pending_replay'").orderBy("at", "event_id").limit(per_run).select("event_id", F.lit(True).alias("due"))
+            tried = F.coalesce("due", F.lit(False))
+            count = F.col("retry_count") + F.when(tried, 1).otherwise(0)
+            status = F.when(~tried, F.col("status")).when(count > F.col("works_at"), "replayed").when(count >= most, "replay_failed").otherwise("pending_replay")
+            after = scratch.saved(queue.join(due, "event_id", "left").select("event_id", "at", count.alias("retry_count"), status.alias("status"), "works_at"))
+            scratch.drop(queue)
+            queue = after
+        return saved(queue.select("event_id", "retry_count", "status"))

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import compare, relations, screening
-from tidemark.operators import audit, components, evaluate, graph, retrieve, stats, temporal, vectors
+from tidemark.operators import admission, audit, components, evaluate, graph, retrieve, stats, temporal, vectors
 from tidemark.plans import registry
 from tidemark.sources.shared import saved
 
@@ -191,3 +191,14 @@ def test_cases_are_scored_as_a_whole(spark):
     assert got == {1: (3, True, 3, 0.6667, 2, 0.6667), 2: (0, False, None, None, 0, None), 3: (0, False, None, None, 0, None)}
     overall = {r["category"]: r["mrr"] for r in evaluate.metrics(evaluate.score_cases(results, cases)).collect()}
     assert overall == {"c": 0.166667, "n": 0.0, "OVERALL": 0.111111}
+
+
+def test_guard_needs_both_halves(spark):
+    cols = "uuid string, w int, source string, target string, name string, fact string"
+    retired = spark.createDataFrame([("a", 1, "x", "y", "Costs", "The red ring costs 10 USD"), ("b", 1, "u", "v", "Costs", "The red ring costs 10 USD"), ("c", 1, "x", "y", "Costs", "Owls sleep by day"), ("d", 1, None, "y", "Costs", "The red ring costs 10 USD"), ("e", 2, "x", "y", "Costs", "alone")], cols)
+    written = spark.createDataFrame([("n", 1, "y", "x", "Is", "The red ring costs 12 USD"), ("m", 1, "x", "q", "COSTS", "A blue hat")], cols)
+    got = {r["uuid"]: (r["structural"], r["lexical"]) for r in admission.guard(retired, written, "w").collect()}
+    assert got == {"a": (True, True), "b": (False, True), "c": (True, False), "d": (True, True)}
+    labels = spark.createDataFrame([("a", True), ("b", False), ("c", False), ("d", True)], "uuid string, right boolean")
+    counts = {r["rule"]: (r["lost"], r["stale"]) for r in admission.variants(admission.guard(retired, written, "w"), labels).collect()}
+    assert counts == {"unguarded": (2, 0), "structural": (1, 0), "lexical": (1, 0), "either": (2, 0), "shipped": (0, 0), "disabled": (0, 2)}

@@ -133,9 +133,10 @@ def brute_components(rows, words, share):
             return [(rows[i][0], len(sets[i]), rows[least[i]][0]) for i in range(len(rows))]
 
 
-@pytest.mark.parametrize("block", [256, 3])
-def test_ngram_join(spark, block, monkeypatch):
+@pytest.mark.parametrize(("block", "paired"), [(256, 16), (3, 16), (3, 1)])
+def test_ngram_join(spark, block, paired, monkeypatch):
     monkeypatch.setattr(ngram_join, "BLOCK", block)
+    monkeypatch.setattr(ngram_join, "PAIRED", paired)
     random = np.random.default_rng(3)
     base = [f"w{i}" for i in range(60)]
     texts = ["A b C", "a B c", "one"]

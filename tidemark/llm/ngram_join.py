@@ -3,9 +3,9 @@
 1. Each distinct set of shingles is a class; its 64-bit hash is its node.
 2. Prefix filter: in one order of all shingles (common ones last), linked sets share at least k of their first
    ``n - ceil(share * n) + k`` shingles. Classes that share one after ``keys`` are in one candidate component.
-3. Candidate components of up to BLOCK classes are searched whole, over inverted lists of what sets differ in.
-   Larger ones are searched in blocks, each with the same few pilots, which joins almost all near copies of a
-   large group without pairing them.
+3. Candidate components of up to BLOCK classes are searched whole, over inverted lists of what sets differ in;
+   those of up to PAIRED blocks by pairs of blocks. Larger ones are searched in blocks, each with the same few
+   pilots, which joins almost all near copies of a large group without pairing them.
 4. What that leaves open - classes of a large component with enough prefix shingles in common with other joined
    parts - is searched shingle by shingle, in blocks: every class outside the shingle's largest part against all.
 """
@@ -36,9 +36,11 @@ BATCH_COUNT = 4
 SLACK = 20
 #: Classes searched together, their shingles (8 bytes each), and the classes of a large component that each of its blocks gets.
 BLOCK, BLOCK_GRAMS, PILOTS = 4096, 2_000_000, 8
+#: A component of up to so many blocks is searched by pairs of blocks: each set goes to one task for each other block.
+PAIRED = 16
 #: Entries that are merged by a heap; more are merged as sorted runs.
 HEAP = 256
-#: Up to so many wanted documents (16 bytes each) are broadcast to the texts; more are joined by shuffle.
+#: Up to so many rows of ids (32 bytes each) are broadcast to texts and sets; more are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
 #: Cost of a step of the merge against a probe, from the DivideSkip paper; sets the number of long lists.
 MU = 0.0085
@@ -346,15 +348,28 @@ def keys(rows: DataFrame) -> DataFrame:
     return ranked.select("node", F.explode(F.slice("grams", 1, F.size("grams") - F.col("least") + 1)).alias("g")).select("node", "g.gram")
 
 
-def across(rows: DataFrame, parts: DataFrame) -> DataFrame:
+def across(scratch: Scratch, rows: DataFrame, parts: DataFrame) -> DataFrame:
     """Those of ``rows`` whose shingle occurs in several parts, and whose class has ``least`` such shingles."""
-    placed = rows.join(parts, "node")
+    placed = scratch.saved(rows.join(parts.select("node", "part"), "node"))
     mixed = placed.groupBy("gram").agg(F.min("part").alias("_a"), F.max("part").alias("_z")).filter("_a < _z").select("gram")
-    left = placed.join(mixed, "gram", "left_semi")
+    left = scratch.saved(placed.join(mixed, "gram", "left_semi"))
+    scratch.drop(placed)
     alive = left.groupBy("node", "least").agg(F.count("*").alias("n")).filter("n >= least").select("node")
     return left.join(alive, "node", "left_semi").select("gram", "node", "least")
 
 
+def paired(rows: DataFrame) -> DataFrame:
+    """(node, block, part) of ``rows`` (node, component, blocks, part): one block, or one for each pair of the component's blocks."""
+    own = rows.withColumn("i", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    other = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: (j != F.col("i")) | (F.col("blocks") == 1))
+    return own.withColumn("j", F.explode(other)).select("node", F.xxhash64("component", F.least("i", "j"), F.greatest("i", "j")).alias("block"), "part")
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """``df`` (a few numbers in each row) to broadcast if it has BROADCAST_ROWS at most."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
 def blocks_of() -> Column:
     """Blocks that a group's classes need."""
     return F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("grams") / BLOCK_GRAMS))
@@ -363,41 +378,43 @@ def blocks_of() -> Column:
 def links(scratch: Scratch, df: DataFrame, signed: DataFrame, words: int, share: int, text: str, key: str) -> DataFrame:
     """(a, b): links between nodes; their components are those of all links."""
     rows = scratch.saved(shared_grams(signed, share))
-    kept = keys(rows)
+    kept = scratch.saved(keys(rows))
     pairs = kept.groupBy("gram").agg(F.min("node").alias("first"), F.max("node").alias("_z")).filter("first < _z").drop("_z")
     held = scratch.saved(kept.join(pairs, "gram"))
+    scratch.drop(kept)
     candidate = components(held.select(F.col("node").alias("a"), F.col("first").alias("b")), scratch)
     chosen = signed.select("node", "_row", "n_shingles").join(candidate, "node").groupBy("node", "component").agg(F.min("_row").alias("_row"), F.first("n_shingles").alias("grams"))
     chosen = scratch.saved(chosen)
-    sizes = chosen.groupBy("component").agg((blocks_of() > 1).alias("large"))
-    # within a large component, classes with the same least key are likely near copies
-    alike = held.groupBy("node").agg(F.min("gram").alias("_m"))
-    placed = chosen.join(sizes, "component").join(alike, "node").withColumn("m", F.when(F.col("large"), F.col("_m")).otherwise(F.lit(0))).drop("_m", "_row")
-    groups = placed.groupBy("component", "m").agg(F.count("*").alias("n"), blocks_of().alias("blocks"))
-    placed = scratch.saved(placed.drop("grams").join(groups, ["component", "m"]))
-    scratch.drop(held)
-    wanted = chosen.select("_row", "node")
-    if wanted.count() <= BROADCAST_ROWS:
-        wanted = F.broadcast(wanted)
+    wanted = bounded(chosen.select("_row", "node"))
     sets = scratch.saved(sets_of(df, wanted, words, text, key))
+    placed = scratch.saved(chosen.join(chosen.groupBy("component").agg(blocks_of().alias("blocks")), "component").drop("_row"))
+
+    first = paired(placed.filter(F.col("blocks") <= PAIRED).withColumn("part", F.col("node"))).withColumn("least", F.lit(0))
+    found = scratch.saved(search(sets.join(bounded(first), "node"), share))
+    large = placed.filter(F.col("blocks") > PAIRED).drop("blocks")
+    if not large.limit(1).count():
+        return found
+    return found.unionAll(links_of_large(scratch, rows, held, large, sets, share))
+
 
+def links_of_large(scratch: Scratch, rows: DataFrame, held: DataFrame, large: DataFrame, sets: DataFrame, share: int) -> DataFrame:
+    """(a, b): links within the components ``large`` (node, component, grams), which have more than PAIRED blocks."""
+    # classes with the same least key are likely near copies
+    alike = held.join(large.select("node"), "node", "left_semi").groupBy("node").agg(F.min("gram").alias("m"))
+    keyed = scratch.saved(large.join(alike, "node"))
+    placed = scratch.saved(keyed.join(keyed.groupBy("component", "m").agg(F.count("*").alias("n"), blocks_of().alias("blocks")), ["component", "m"]))
     own = placed.select("node", "component", "m", F.pmod(F.xxhash64("node"), F.col("blocks")).alias("part_of"))
     # a class of each of a component's largest groups goes into all its blocks of some size
-    groups = placed.filter("large").groupBy("component", "m", "n", "blocks").agg(F.min("node").alias("pilot"))
+    groups = placed.groupBy("component", "m", "n", "blocks").agg(F.min("node").alias("pilot"))
     ranked = groups.withColumn("_r", F.row_number().over(W.partitionBy("component").orderBy(F.desc("n"), "m"))).filter(F.col("_r") <= PILOTS)
     into = groups.filter(F.col("n") >= PILOTS).drop("pilot").join(ranked.select("component", "pilot"), "component")
     pilots = into.select(F.col("pilot").alias("node"), "component", "m", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("part_of"))
     first = own.unionAll(pilots).select("node", F.xxhash64("component", "m", "part_of").alias("block"), F.col("node").alias("part"), F.lit(0).alias("least"))
-    found = scratch.saved(search(first.join(sets, "node"), share))
+    found = scratch.saved(search(sets.join(bounded(first), "node"), share))
 
-    large = placed.filter("large").select("node")
-    if not large.limit(1).count():
-        return found
-    parts = large.join(components(found, scratch), "node", "left").select("node", F.coalesce("component", "node").alias("part"))
-    parts = scratch.saved(parts.join(chosen.select("node", "grams"), "node"))
-    once = scratch.saved(across(rows, parts))
-    scratch.drop(rows)
-    left = scratch.saved(across(once, parts))
+    parts = scratch.saved(large.join(components(found, scratch).withColumnRenamed("component", "part"), "node", "left").select("node", F.coalesce("part", "node").alias("part"), "grams"))
+    once = scratch.saved(across(scratch, rows, parts))
+    left = scratch.saved(across(scratch, once, parts))
     scratch.drop(once)
     open_rows = scratch.saved(keys(left).join(parts, "node"))
     by_part = open_rows.groupBy("gram", "part").agg(F.count("*").alias("n"), F.sum("grams").alias("grams"), F.bit_xor("node").alias("x"), F.bit_xor(F.xxhash64("node")).alias("y"))
@@ -410,18 +427,17 @@ def links(scratch: Scratch, df: DataFrame, signed: DataFrame, words: int, share:
     own = rest.select("node", "part", "gram", F.pmod(F.xxhash64("node"), F.col("blocks")).alias("part_of"))
     asked = rest.filter("part <> largest and blocks > 1").select("node", "part", "gram", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("part_of"))
     second = own.unionAll(asked).select("node", F.xxhash64("gram", "part_of").alias("block"), "part")
-    # what the few shingles alone leave possible falls into components again; small ones are searched whole
+    # what the few shingles alone leave possible falls into components again; only the largest are searched by shingle
     few = left.groupBy("node", "least").agg(F.array_sort(F.collect_list("gram")).alias("grams"))
     maybe = scratch.saved(possible(second.join(few, "node")))
     asked = few.select("node").join(parts, "node")
     strong = components(maybe.unionAll(asked.select(F.col("node").alias("a"), F.col("part").alias("b"))), scratch)
     whole = scratch.saved(asked.join(strong, "node"))
-    sizes = whole.groupBy("component").agg((blocks_of() > 1).alias("large"), F.min("part").alias("_a"), F.max("part").alias("_z")).filter("_a < _z")
-    whole = scratch.saved(whole.join(sizes.select("component", "large"), "component"))
-    small = whole.filter("not large").select("node", F.col("component").alias("block"), "part")
-    rest = second.join(whole.filter("large").select("node"), "node", "left_semi").select("node", "block", "part")
-    third = small.unionAll(rest).withColumn("least", F.lit(0))
-    return found.unionAll(scratch.saved(search(third.join(sets, "node"), share)))
+    sizes = whole.groupBy("component").agg(blocks_of().alias("blocks"), F.min("part").alias("_a"), F.max("part").alias("_z")).filter("_a < _z")
+    whole = scratch.saved(whole.join(sizes.select("component", "blocks"), "component"))
+    rest = second.join(whole.filter(F.col("blocks") > PAIRED).select("node"), "node", "left_semi").select("node", "block", "part")
+    third = paired(whole.filter(F.col("blocks") <= PAIRED)).unionAll(rest).withColumn("least", F.lit(0))
+    return found.unionAll(scratch.saved(search(sets.join(bounded(third), "node"), share)))
 
 
 def classes_of(scratch: Scratch, df: DataFrame, words: int, share: int, text: str, key: str) -> tuple[DataFrame, DataFrame]:
@@ -461,8 +477,7 @@ def one_of_each(df: DataFrame, words: int = WORDS, share: int = SHARE, text: str
         told = told.groupBy(key, "_row").agg(F.max("_stays").alias("_stays"), F.count("*").alias("_n")).filter("not _stays or _n > 1")
         k, row, stays = (unused(c, df) for c in ("_key", "_row", "_stays"))
         told = saved(told.select(F.col(key).alias(f"{k}_"), F.col("_row").alias(f"{row}_"), F.col("_stays").alias(stays)))
-    if told.count() <= BROADCAST_ROWS:
-        told = F.broadcast(told)
+    told = bounded(told)
     rows = df.withColumns({k: F.col(key).cast("long"), row: F.xxhash64(F.col(key).cast("long"), text)})
     same = F.col(f"{k}_").eqNullSafe(F.col(k)) & (F.col(f"{row}_") == F.col(row))
     kept = rows.join(told.filter(f"not {stays}"), same, "left_anti")

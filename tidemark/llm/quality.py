@@ -21,35 +21,39 @@ EPOCHS, RATE, SEED = 6, 0.5, 7
 STEP = 0.2
 #: Folds of crc32(doc_id as text); the held-out one is never learned from.
 FOLDS, HELD_OUT = 3, 1
-#: Bytes of one text that are turned into features at a time.
+#: Bytes of one text, about, that are turned into features at a time.
 PART = 1 << 20
 
 
-def features(text: np.ndarray) -> np.ndarray:
-    """Table rows of one text's bytes: words, word pairs (a word twice counts as one special pair), byte 3- and 4-grams."""
-    if not len(text):
-        return np.empty(0, np.int64)
+def features(text: np.ndarray) -> Iterator[np.ndarray]:
+    """Table rows of one text's bytes, in parts that end at white space: words, word pairs, byte 3- and 4-grams.
+
+    What crosses the end of a part - a pair, a gram - is carried over, so the parts make no difference.
+    """
     space = (text == 32) | ((text >= 9) & (text <= 13))
-    starts, ends = word_slices(~space, np.zeros(1, np.int64))
-    words = piece_hashes(text, starts, ends)
-    pairs = mix(words[:-1] * np.uint64(3) + words[1:] * np.uint64(5))
-    pairs[words[:-1] == words[1:]] = 1
-    b = text.astype(np.uint32)
-    b[space] = 32
-    three = (b[:-2] | b[1:-1] << np.uint32(8) | b[2:] << np.uint32(16)) if len(b) > 2 else b[:0]
-    four = (three[:-1] | b[3:] << np.uint32(24)) if len(b) > 3 else b[:0]
+    last, tail, at = np.empty(0, np.uint64), np.empty(0, np.uint32), 0
     top = np.uint32(32 - 18)
-    return np.concatenate([words >> np.uint64(46), pairs >> np.uint64(46), (three * np.uint32(0x9E3779B1)) >> top, (four * np.uint32(0x85EBCA77) ^ (four >> np.uint32(15))) * np.uint32(0xC2B2AE3D) >> top]).astype(np.int64)
-
-
-def split(text: np.ndarray) -> Iterator[np.ndarray]:
-    for at in range(0, max(1, len(text)), PART):
-        yield text[at : at + PART]
+    while at < len(text):
+        end = at + PART
+        while end < len(text) and not (found := np.flatnonzero(space[end : end + PART])).size:
+            end += PART
+        end = end + int(found[0]) if end < len(text) else len(text)
+        part, gap = text[at:end], space[at:end]
+        words = piece_hashes(part, *word_slices(~gap, np.zeros(1, np.int64)))
+        row = np.concatenate([last, words])
+        pairs = mix(row[:-1] * np.uint64(3) + row[1:] * np.uint64(5))
+        own = part.astype(np.uint32)
+        own[gap] = 32
+        three, four = np.concatenate([tail[-2:], own]), np.concatenate([tail, own])
+        three = (three[:-2] | three[1:-1] << np.uint32(8) | three[2:] << np.uint32(16)) if len(three) > 2 else three[:0]
+        four = (four[:-3] | four[1:-2] << np.uint32(8) | four[2:-1] << np.uint32(16) | four[3:] << np.uint32(24)) if len(four) > 3 else four[:0]
+        yield np.concatenate([words >> np.uint64(46), pairs >> np.uint64(46), (three * np.uint32(0x9E3779B1)) >> top, (four * np.uint32(0x85EBCA77) ^ (four >> np.uint32(15))) * np.uint32(0xC2B2AE3D) >> top]).astype(np.int64)
+        last, tail, at = row[-1:], np.concatenate([tail, own])[-3:], end
 
 
 def bag(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Distinct rows of a text and their shares."""
-    rows = np.concatenate([features(p) for p in split(np.frombuffer(text, np.uint8))])
+    rows = np.concatenate([np.empty(0, np.int64), *features(np.frombuffer(text, np.uint8))])
     distinct, counts = np.unique(rows, return_counts=True)
     return distinct.astype(np.int32), (counts / max(1, len(rows))).astype(np.float32)
 
@@ -95,12 +99,13 @@ def train(texts: list[bytes], labels: list[int], epochs: int = EPOCHS, rate: flo
 
 
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_ROWS, text: str = "text", key: str = "doc_id", label: str = "quality") -> Model:
-    """Train on at most ``sample`` labelled documents outside the held-out fold. Repeated labels of a key: the largest."""
+    """Train on at most ``sample`` labelled documents outside the held-out fold. Repeated labels of a key: the largest; repeated texts: the least."""
     fold = F.crc32(F.col(key).cast("string").cast("binary")) % FOLDS
     known = labels.filter(F.col(label).isin(0, 1) & F.col(key).isNotNull()).filter(fold != HELD_OUT).groupBy(key).agg(F.max(label).cast("int").alias("_label"))
     chosen = known.orderBy(F.xxhash64(F.col(key).cast("string")), key).limit(sample)
-    rows = docs.select(key, text).join(F.broadcast(chosen), key).select(key, F.coalesce(F.col(text), F.lit("")).cast("binary").alias("t"), "_label").collect()
-    rows = sorted((int(r[key]), bytes(r["t"]), int(r["_label"])) for r in rows)[: 2 * sample]
+    # one text of each key, so that a key of many rows does not fill the driver
+    rows = docs.select(key, text).join(F.broadcast(chosen), key).groupBy(key).agg(F.min(F.coalesce(F.col(text), F.lit(""))).cast("binary").alias("t"), F.first("_label").alias("_label")).collect()
+    rows = sorted((int(r[key]), bytes(r["t"]), int(r["_label"])) for r in rows)
     return train([r[1] for r in rows], [r[2] for r in rows])
 
 
@@ -122,8 +127,7 @@ def score(df: DataFrame, model: Model, text: str = "text", out: str = "score", k
             logits = np.full(b.num_rows, bias)
             for i in range(b.num_rows):
                 total, n = 0.0, 0
-                for part in split(data[offsets[i] : offsets[i + 1]]):
-                    rows = features(part)
+                for rows in features(data[offsets[i] : offsets[i + 1]]):
                     total += float(weights[rows].sum(dtype=np.float64))
                     n += len(rows)
                 logits[i] += total / max(1, n)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import zlib
 from bisect import bisect
 from itertools import pairwise
 
@@ -18,6 +19,8 @@ KINDS = ("email", "ip", "card", "phone")
 LABELS = ("none", *KINDS)
 #: Documents (the smallest hashes of their ids) from which the field's weights are learned.
 SAMPLE_DOCS = 4000
+#: Mentions that it takes from one of them at most.
+SAMPLE_MENTIONS = 200
 #: Prior mean and deviation of the skip weight (log odds that equal mentions share a label).
 SKIP_PRIOR, SKIP_SD = 4.5, 1.0
 #: Share of the weak labels that is spread over all labels, so that no unary potential is decisive alone.
@@ -245,14 +248,17 @@ def fit(df: DataFrame, text: str = "text", key: str = "doc_id", sample: int = SA
     ids = df.select(key, F.xxhash64(F.col(key).cast("string")).alias("_h")).orderBy("_h", key).limit(sample).select(key)
     texts = df.join(F.broadcast(ids), key, "left_semi").filter(F.col(text).rlike("[@0-9]"))
     found = map_texts(texts, lambda xs: [base_mentions(x) for x in xs], MENTIONS, ARROW_MENTIONS, "_m", text, [])
-    rows = found.filter(F.size("_m") > 0).collect()
-    return learn([[Mention(m["start"], m["end"], m["key"], m["label"], list(m["shape"])) for m in r["_m"]] for r in sorted(rows, key=str)[:sample]])
+    # an id may have many rows
+    rows = found.filter(F.size("_m") > 0).limit(sample).collect()
+    return learn([[Mention(m["start"], m["end"], m["key"], m["label"], list(m["shape"])) for m in r["_m"]] for r in sorted(rows, key=str)])
 
 
 def base_mentions(text: str) -> list[dict]:
-    """Mentions of one sampled document, the first 200 at most, for learning only."""
+    """Mentions of one sampled document, for learning only: SAMPLE_MENTIONS at most, those of the lowest hashes, in order."""
     base = base_spans(text)
-    return [{s: getattr(m, s) for s in Mention.__slots__} for m in mentions(text, base)[:200]] if base else []
+    found = mentions(text, base) if base else []
+    lowest = set(sorted(range(len(found)), key=lambda i: zlib.crc32(f"{found[i].start} {found[i].key}".encode()))[:SAMPLE_MENTIONS])
+    return [{s: getattr(m, s) for s in Mention.__slots__} for i, m in enumerate(found) if i in lowest]
 
 
 def spans(text: str, field: Field) -> list[dict]:

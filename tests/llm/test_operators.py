@@ -437,3 +437,47 @@ def test_packing_splits_equal_rows(spark):
     df = spark.createDataFrame([(None, "same words")] * 600, "doc_id long, text string")
     got = tokens.pack(df, context=64, group_pieces=100).toPandas()
     assert len(got) == 600 and (got.sequence_id.to_numpy() >> 32).tolist() != [got.sequence_id[0] >> 32] * 600
+
+
+def test_secret_layers_in_any_carrier_and_place():
+    inner, b64 = secret(), lambda raw: base64.b64encode(raw).decode()
+    found = lambda text: {(s["kind"], text[s["start"] : s["end"]]) for s in secrets.scan(text) if not s["base"]}
+    packed = gzip.compress(inner.encode())
+    assert "assign" in {k for k, _ in found("".join(f"%{b:02x}" for b in packed))}
+    assert "assign" in {k for k, _ in found("".join(f"\\x{b:02x}" for b in packed))}
+    for prefix in ("", "p/", "pa/", "pat/", "path/"):
+        assert "assign" in {k for k, _ in found(f"see {prefix}{b64(packed)} end")}, prefix
+        assert "assign" in {k for k, _ in found(f"see {prefix}{b64(b'the ' + inner.encode() + b' is')} end")}, prefix
+    assert "assign" in {k for k, _ in found(b64(b"\x00\x01" + inner.encode() + b"\x02"))}
+    # characters of base64 map to the span alone
+    raw = b"abc def " * 6 + inner.encode() + b" xyz" * 6
+    (kind, span), *more = found(b64(raw))
+    assert not more and kind == "assign" and len(span) < 40 and inner.encode()[1:-1] in base64.b64decode(span[-(len(span) // 4 * 4) :] + "==") + base64.b64decode(span[: len(span) // 4 * 4])
+    nested = b64(quote(b64(quote(inner, safe="").encode()), safe="").encode())
+    assert {k for k, _ in found(nested)} == {"assign"}
+
+
+def test_base_spans_are_the_plain_patterns(documents):
+    rules = {"assign": re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), "access": re.compile(r"AKIA[A-Z0-9]+"), "hex": re.compile(r"[0-9a-f]+")}
+    least = {"assign": lambda m: len(m[2]) >= 6, "access": lambda m: len(m[0]) >= 20, "hex": lambda m: len(m[0]) >= 24}
+    for text in [*documents.text.fillna(""), secret(), "AKIA" + "A" * 16, "x" * 5 + "f" * 24, "Password: abc token=abcdefg"]:
+        expected = sorted((m.start(), m.end(), k) for k, p in rules.items() for m in p.finditer(text) if least[k](m))
+        assert sorted((s["start"], s["end"], s["kind"]) for s in secrets.scan(text) if s["base"]) == expected
+
+
+def test_features_do_not_depend_on_parts(monkeypatch):
+    text = np.frombuffer(("one two  two three " * 400 + "x" * 300 + " end").encode(), np.uint8)
+    whole = np.sort(np.concatenate(list(quality.features(text))))
+    monkeypatch.setattr(quality, "PART", 64)
+    parts = list(quality.features(text))
+    assert len(parts) > 50 and (np.sort(np.concatenate(parts)) == whole).all()
+
+
+def test_scores_are_those_of_the_model(spark):
+    texts = ["good words here", "BAD $$$ %%%", "", "mixed words $$$"]
+    model = quality.train([x.encode() for x in texts], [1, 0, 0, 1], epochs=5)
+    got = {r["doc_id"]: r["score"] for r in quality.score(frame(spark, texts), model).collect()}
+    for i, x in enumerate(texts):
+        rows, shares = quality.bag(x.encode())
+        z = shares @ model.table[rows] @ model.out + model.bias
+        assert got[i] == pytest.approx(1 / (1 + np.exp(z[0] - z[1])), abs=1e-5)

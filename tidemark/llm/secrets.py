@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import base64
-import binascii
 import codecs
 import re
 import zlib
 from collections.abc import Callable, Iterable, Iterator
 from hashlib import sha256
+from urllib.parse import unquote_to_bytes
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -35,7 +35,8 @@ BREAK = r"[ \t]*+(?:\r\n?|\n)[ \t]*+"
 BASE64_LINES = re.compile(rf"(?<![A-Za-z0-9+/_-]){LINE}(?:{BREAK}{LINE})++={{0,2}}")
 #: White space that no rule and no encoded run reaches across.
 SAFE = re.compile(r"(?<=[^\s:=\"'dtnyDTNY])\x20(?=[^\s:=])|(?<=[^\sA-Za-z0-9+/_-])[\r\n](?=\S)|[\r\n](?=[^\sA-Za-z0-9+/_-])|\n(?=\n)")
-ODD = re.compile(r"[^\t\n\r\x20-\x7e\u00a0-\ud7ff\ue000-\U0010ffff]")
+PRINTABLE = re.compile(r"[\t\n\r\x20-\x7e\u00a0-\ud7ff\ue000-\ufffc\U00010000-\U0010ffff]{6,}")
+GZIP = b"\x1f\x8b\x08"
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -49,12 +50,18 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return found + [("hex", *m.span()) for m in HEX.finditer(text)]
 
 
-def readable(raw: bytes) -> str | None:
-    try:
-        text = raw.decode()
-    except UnicodeDecodeError:
-        return None
-    return None if len(text) < 6 or ODD.search(text) else text
+def readable(raw: bytes) -> Iterator[tuple[str, list[int], list[int]]]:
+    """The stretches of printable text in decoded bytes, with the byte range behind each character."""
+    if len(raw) < 6:
+        return
+    text = raw.decode("utf-8", "surrogateescape")
+    ends = None
+    for m in PRINTABLE.finditer(text):
+        if ends is None:
+            ends = [0]
+            for ch in text:
+                ends.append(ends[-1] + (1 if "\udc80" <= ch <= "\udcff" else len(ch.encode())))
+        yield m[0], ends[m.start() : m.end()], ends[m.start() + 1 : m.end() + 1]
 
 
 def packed(raw: bytes) -> bool:
@@ -182,24 +189,35 @@ def layers_of(text: str) -> list[tuple[int, int, str | bytes, list[int] | None,
     """The encoded runs of ``text``: start, end, decoded text (or compressed bytes), positions behind its characters (None: the whole run), name."""
     out = []
     if "%" in text:
-        out += [(m.start(), m.end(), *decoded_pieces(m[0], m.start(), URL_ESCAPES, url_chars), "url") for m in URL_RUN.finditer(text)]
+        for m in URL_RUN.finditer(text):
+            out.append((m.start(), m.end(), *decoded_pieces(m[0], m.start(), URL_ESCAPES, url_chars), "url"))
+            if packed(raw := unquote_to_bytes(m[0])):
+                out.append((m.start(), m.end(), raw, None, None, "url"))
     if "\\" in text:
-        out += [(m.start(), m.end(), *decoded_pieces(m[0], m.start(), UNICODE_ESCAPES, unicode_chars), "unicode") for m in UNICODE_RUN.finditer(text)]
-    runs = [(m.start(), m.end(), m[0]) for m in BASE64_RUN.finditer(text)]
+        for m in UNICODE_RUN.finditer(text):
+            plain, starts, ends = decoded_pieces(m[0], m.start(), UNICODE_ESCAPES, unicode_chars)
+            out.append((m.start(), m.end(), plain, starts, ends, "unicode"))
+            if plain[:1] in ("\x1f", "x") and (raw := plain.encode("latin-1", "ignore")) and len(raw) == len(plain) and packed(raw):
+                out.append((m.start(), m.end(), raw, None, None, "unicode"))
+    runs = [(m.start(), m.end(), range(m.start(), m.end())) for m in BASE64_RUN.finditer(text)]
     if "\n" in text or "\r" in text:
-        runs += [(s, e, "".join(text[s:e].split())) for m in BASE64_LINES.finditer(text) for s, e in wrapped(text, m.start(), m.end())]
-    for start, end, run in runs:
-        body = run.rstrip("=").replace("-", "+").replace("_", "/")
-        if len(body) < 16 or len(body) % 4 == 1 or body.isalpha() and (body.islower() or body[1:].islower()):
+        runs += [(s, e, [i for i in range(s, e) if not text[i].isspace()]) for m in BASE64_LINES.finditer(text) for s, e in wrapped(text, m.start(), m.end())]
+    for start, end, places in runs:
+        body = (text[start:end] if isinstance(places, range) else "".join(text[i] for i in places)).rstrip("=").replace("-", "+").replace("_", "/")
+        if body.isalpha() and (body.islower() or body[1:].islower()):
             continue
-        try:
-            raw = base64.b64decode(body + "=" * (-len(body) % 4))
-        except binascii.Error:
-            continue
-        if packed(raw):
-            out.append((start, end, raw, None, None, "base64"))
-        if (plain := readable(raw)) is not None:
-            out.append((start, end, plain, None, None, "base64"))
+        # what stands before the code, such as a path, may shift it
+        for shift in range(4):
+            code = body[shift:]
+            code = code[: len(code) - (len(code) % 4 == 1)]
+            if len(code) < 12:
+                continue
+            raw = base64.b64decode(code + "=" * (-len(code) % 4))
+            at = 0 if packed(raw) and not shift else raw.find(GZIP)
+            if at >= 0:
+                out.append((start, end, raw[at:], None, None, "base64"))
+            for plain, firsts, lasts in readable(raw):
+                out.append((start, end, plain, [places[shift + 4 * i // 3] for i in firsts], [places[shift + (4 * i - 1) // 3] + 1 for i in lasts], "base64"))
     return out
 
 
@@ -223,6 +241,8 @@ def scan(text: str) -> list[dict]:
     spans = {k: (True, "") for k in base_spans(text)}
     # layers to look into, and unread rests of compressed ones; all but these are shorter than their parent, so only they can be in a cycle
     work: list = [Layer(text, 0, 0, ("", 0), frozenset())]
+    # a layer that two routes reach at one place is looked into once
+    seen: set = set()
     while work:
         layer = work.pop()
         if not isinstance(layer, Layer):
@@ -251,6 +271,10 @@ def scan(text: str) -> list[dict]:
                 work.append((unpack(inner), starts, ends, names, layer.above))
                 continue
             below = Layer(inner, starts, ends, names, layer.above)
+            whole = (sha256(inner.encode("utf-8", "surrogatepass")).digest(), below.original(0, 1)[0], below.original(len(inner) - 1, len(inner))[1])
+            if whole in seen:
+                continue
+            seen.add(whole)
             for kind, s, e in base_spans(inner):
                 spans.setdefault((kind, *below.original(s, e)), (False, below.via))
             work.append(below)
@@ -261,9 +285,10 @@ def scan(text: str) -> list[dict]:
 def scan_secrets(df: DataFrame, text: str = "text", out: str = "spans", keep: list[str] | None = None) -> DataFrame:
     """Add the array ``out`` of secrets found in the whole text and in its decoded layers.
 
-    URL escapes, Unicode escapes, base64 (also over several lines) and zlib or gzip inside base64 are unwrapped
-    until nothing new appears, whatever their depth and length; a layer equal to one above it ends its branch. Spans are code points of the original text, end
-    exclusive; a layer that has no character map (base64) maps to the whole encoded run. Null and empty
+    URL escapes, Unicode escapes, base64 (also over several lines, and behind other characters) and zlib or gzip inside
+    any of them are unwrapped until nothing new appears, whatever their depth and length; a layer that was seen at
+    its place ends its branch. Spans are code points of the original text, end exclusive; what compressed bytes
+    hold maps to the whole encoded run. Null and empty
     texts have no spans; equal rows give equal results; other columns pass through.
     """
     return map_texts(df, lambda texts: [scan(x) for x in texts], SPANS, ARROW_SPANS, out, text, keep)

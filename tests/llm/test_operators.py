@@ -481,3 +481,41 @@ def test_scores_are_those_of_the_model(spark):
         rows, shares = quality.bag(x.encode())
         z = shares @ model.table[rows] @ model.out + model.bias
         assert got[i] == pytest.approx(1 / (1 + np.exp(z[0] - z[1])), abs=1e-5)
+
+
+def test_pipeline_run_against_brute_force(spark, tmp_path):
+    """All stages on a small table with planted copies, a passage, a secret and repeated ids."""
+    docs = pd.read_parquet(f"{SF}/documents.parquet").head(120)
+    bench = pd.read_parquet(f"{SF}/benchmark.parquet")
+    good = max(docs.text, key=len)[:3000]
+    planted = [(120, f"{good} {bench.text[0]}"), (121, f"{good} one more word here"), (121, f"{good} and {secret()} so"), (122, good), (122, good), (123, None), (None, f"{good} two")]
+    extra = pd.DataFrame([(k, t, "en", "s", 0) for k, t in planted], columns=docs.columns)
+    table = pd.concat([docs, extra]).astype({"doc_id": "Int64"})
+    for name, frame_ in (("documents", table), ("benchmark", bench), ("labels", pd.read_parquet(f"{SF}/labels.parquet"))):
+        frame_.to_parquet(tmp_path / f"{name}.parquet")
+    source = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    kept = [(r["doc_id"], r["text"]) for r in pipeline.keep_quality(spark, source, str(tmp_path)).collect()]
+    # of equal rows and of each group one stays: the least key, then the least hash, nulls last
+    parts = {}
+    for i, (_, _, part) in enumerate(brute_components([(i, t) for i, (_, t) in enumerate(kept)], 5, 80)):
+        parts.setdefault(part, []).append(i)
+    hashes = [r[0] for r in spark.createDataFrame([(i, k, t) for i, (k, t) in enumerate(kept)], "i int, k long, t string").orderBy("i").select(F.xxhash64("k", "t")).collect()]
+    left = [kept[min(own, key=lambda i: (kept[i][0] is None, kept[i][0] or 0, hashes[i]))] for own in parts.values()]
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    windows = {tuple(w[i : i + min(10, len(w))]) for w in map(words, bench.text) for i in range(max(1, len(w) - 9)) if w}
+    sizes = {len(w) for w in windows}
+    clean = [(k, t) for k, t in left if not any(tuple(w[i : i + n]) in windows for w in [words(t)] for n in sizes for i in range(len(w) - n + 1))]
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+
+    def hidden(t):
+        out, at = "", 0
+        for s in secrets.scan(t):
+            if s["start"] >= at:
+                out += t[at : s["start"]] + "[SECRET]"
+            at = max(at, s["end"])
+        return out + t[at:]
+
+    expected = Counter((k, len(tokenizer.encode(hidden(t or ""), add_special_tokens=False).ids) + 1) for k, t in clean)
+    got = pipeline.run(spark, str(tmp_path)).toPandas()
+    assert Counter((None if pd.isna(k) else int(k), int(n)) for k, n, s in zip(got.doc_id, got.doc_tokens, got.start, strict=True) if s == 0) == expected
+    assert 120 not in {k for k, _ in expected} and len(left) < len(kept)

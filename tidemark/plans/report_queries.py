@@ -70,6 +70,14 @@ def top_served(spark, d):
 TOP_SERVED = f"WITH {EDGE} SELECT uuid, served, corrected FROM v_edge WHERE invalid_at IS NULL AND NOT archived ORDER BY served DESC, uuid LIMIT 15"
 
 
+def top_corrected(spark, d):
+    """The facts with most corrections, ended ones as well."""
+    return edges(spark, d).filter("corrected > 0").orderBy(F.desc("corrected"), F.desc("served"), "uuid").limit(15).select("uuid", "corrected", "served")
+
+
+TOP_CORRECTED = f"WITH {EDGE} SELECT uuid, corrected, served FROM v_edge WHERE corrected > 0 ORDER BY corrected DESC, served DESC, uuid LIMIT 15"
+
+
 def usage_flags(spark, d):
     return edges(spark, d).groupBy("group_id").agg(F.count_if(F.col("corrected") > 0).alias("suspect"), F.count_if(F.col("served") <= 5).alias("dead_weight"), F.count("*").alias("facts"))
 
@@ -122,6 +130,19 @@ def cost_summary(spark, d):
 COST = f"WITH {_PRICED} SELECT strftime(seen, '%Y-%m-%d') AS day, tool, count(*) AS calls, count(price) AS priced, count(*) - count(price) AS unpriced, sum(tokens)::BIGINT AS tokens, round(sum(cost)::DOUBLE, 6) AS cost FROM c GROUP BY ALL"
 
 
+def cost_groups(spark, d):
+    """Calls and cost in all, by operation, by provider and by day, from one pass; unpriced calls stay apart, also in days that have no others."""
+    provider = F.when(F.col("tool").isin("view", "click"), "cloud").otherwise("local")
+    sets = {"total": F.lit("all"), "operation": F.col("tool"), "provider": provider, "day": F.date_format("at", "yyyy-MM-dd")}
+    each = F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), v.alias("name")) for k, v in sets.items())))
+    g = priced(spark, d).withColumn("g", each).groupBy("g.kind", "g.name").agg(F.count_if("priced").alias("priced"), F.count_if(~F.col("priced")).alias("unpriced"), F.sum("tokens").alias("tokens"), F.sum("cost").cast("double").alias("cost"))
+    return g.select("kind", "name", "priced", "unpriced", "tokens", F.round("cost", 6).alias("cost"))
+
+
+_SET = "SELECT '{0}' AS kind, {1} AS name, count(price) AS priced, count(*) - count(price) AS unpriced, sum(tokens)::BIGINT AS tokens, round(sum(cost)::DOUBLE, 6) AS cost FROM c GROUP BY 2"
+COST_GROUPS = f"WITH {_PRICED} " + " UNION ALL ".join(_SET.format(*x) for x in [("total", "'all'"), ("operation", "tool"), ("provider", "CASE WHEN tool IN ('view', 'click') THEN 'cloud' ELSE 'local' END"), ("day", "strftime(seen, '%Y-%m-%d')")])
+
+
 def cloud_share(spark, d):
     return log(spark, d).groupBy("agent").agg(F.round(F.try_divide(F.count_if(F.col("tool").isin("view", "click")), F.count("*")), 6).alias("share"), F.count("*").alias("calls"))
 
@@ -329,6 +350,7 @@ def numbered(b, width=1000):
 DECOYS = "WITH b AS (SELECT item_id, row_number() OVER (ORDER BY item_id) - 1 AS i, count(*) OVER () AS n FROM benchmark) SELECT b.item_id, o.item_id AS decoy FROM b JOIN b o ON o.i = (b.i + b.n // 2) % b.n ORDER BY b.item_id LIMIT 12"
 
 PAIRS = {
+    "top_corrected": (top_corrected, TOP_CORRECTED), "cost_groups": (cost_groups, COST_GROUPS),
     "health": (health, HEALTH), "latest_retired": (latest_retired, RETIRED), "project_rollup": (project_rollup, ROLLUP), "promotion_candidates": (promotion_candidates, PROMOTION), "facets": (facets, FACETS),
     "feedback_summary": (feedback_summary, FEEDBACK), "top_served": (top_served, TOP_SERVED), "usage_flags": (usage_flags, USAGE), "feedback_counters": (feedback_counters, COUNTERS), "provenance": (provenance, PROVENANCE),
     "cost_summary": (cost_summary, COST), "cloud_share": (cloud_share, CLOUD), "extraction_ab": (extraction_ab, EXTRACTION), "embedding_gaps": (embedding_gaps, GAPS), "provenance_fill": (provenance_fill, FILL),

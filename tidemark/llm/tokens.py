@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import read, saved
+from .common import Scratch, read, saved
 
 VOCABULARY = "byte_bpe_50k.json"
 #: The string that the vocabulary treats as one special token inside texts, and its id.
@@ -223,12 +223,10 @@ def count_tokens(df: DataFrame, path: str | None = None, text: str = "text", key
     """(key, n_bytes, n_tokens) of every row; no ids are made for documents.
 
     A null or empty text has 0 bytes and 0 tokens; repeated rows give repeated results; a null key stays
-    null; other columns are ignored.
+    null; other columns are ignored. The result is a table in the shared folder.
     """
     path = path or public_tokenizers.path(VOCABULARY)
     buckets = buckets or max(16, 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    frequency = saved(frequencies(df, path, buckets, text, key))
-    pieces = piece_counts(frequency, path, buckets)
     schema = f"{key} long, n_bytes long, n_tokens long"
 
     def total(docs: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
@@ -247,8 +245,11 @@ def count_tokens(df: DataFrame, path: str | None = None, text: str = "text", key
             out.append(pd.DataFrame({key: pd.array(list(d.ids), dtype="Int64"), "n_bytes": d.n_bytes, "n_tokens": np.diff(sums[ends]) + np.asarray(d.extra)}))
         return pd.concat(out[1:] or out)
 
-    docs = frequency.filter("bucket < 0").select("block", "ids", "n_bytes", "extra", "ends", "places", "counts")
-    return docs.groupBy("block").cogroup(pieces.groupBy("block")).applyInPandas(total, schema)
+    with Scratch(df.sparkSession) as scratch:
+        frequency = scratch.saved(frequencies(df, path, buckets, text, key))
+        pieces = piece_counts(frequency, path, buckets)
+        docs = frequency.filter("bucket < 0").select("block", "ids", "n_bytes", "extra", "ends", "places", "counts")
+        return saved(docs.groupBy("block").cogroup(pieces.groupBy("block")).applyInPandas(total, schema))
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bm25, bpe, chat, decontaminate, html, ngram_join, pii, pipeline, quality, secrets, tokens
+from . import bm25, bpe, chat, decontaminate, html, ngram_join, pii, pipeline, quality, secrets, tokens, whitening
 
 QUERIES: dict = {
     "op1_pii": pii.op1_pii,
@@ -15,6 +15,7 @@ QUERIES: dict = {
     "op9_chat_format": chat.op9_chat_format,
     "op7_token_counts": tokens.op7_token_counts,
     "op10_packing": tokens.op10_packing,
+    "op12_whitening": whitening.op12_whitening,
     "op13_byte_bpe": bpe.op13_byte_bpe,
     "pipeline": pipeline.run,
 }

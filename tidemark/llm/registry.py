@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bm25, bpe, chat, decontaminate, html, ngram_join, pii, pipeline, quality, secrets, tokens, whitening
+from . import bm25, bpe, chat, decontaminate, html, ngram_join, pii, pipeline, quality, secrets, tokens, trie, whitening
 
 QUERIES: dict = {
     "op1_pii": pii.op1_pii,
@@ -15,6 +15,7 @@ QUERIES: dict = {
     "op9_chat_format": chat.op9_chat_format,
     "op7_token_counts": tokens.op7_token_counts,
     "op10_packing": tokens.op10_packing,
+    "op11_prefix_trie": trie.op11_prefix_trie,
     "op12_whitening": whitening.op12_whitening,
     "op13_byte_bpe": bpe.op13_byte_bpe,
     "pipeline": pipeline.run,
@@ -23,4 +24,5 @@ ORACLES: dict = {
     "op3_bm25": bm25.OP3_SQL,
     "op8_decontamination": decontaminate.OP8_SQL,
     "op9_chat_format": chat.OP9_SQL,
+    "op11_prefix_trie": trie.OP11_SQL,
 }

@@ -80,6 +80,10 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return found
 
 
+#: A run of the characters of local parts; one may end in it before a dot.
+LOCAL_RUN, DOT = re.compile(r"[\w.@%+-]+"), re.compile(r"\.")
+
+
 class Mention:
     """A node of the field. key: equal for mentions of the same thing; label: None, or the base rule's."""
 
@@ -124,10 +128,19 @@ def mentions(text: str, base: list[tuple[str, int, int]]) -> list[Mention]:
             domain = re.sub(r"\s?[\[({<]?\s?(?:dot|DOT)\s?[\])}>]?\s", ".", m[2])
             if (key := f"{m[1]}@{domain}".lower()) in known and free(*m.span()):
                 out.append(Mention(*m.span(), key, None, shape_of("x")))
-        for name in {k.partition("@")[0] for k in known if len(k.partition("@")[0]) >= 6}:
-            for m in re.finditer(rf"(?<![\w.@%+-]){re.escape(name)}(?![\w@%+-])", text, re.I):
-                if free(*m.span()):
-                    out.append(Mention(*m.span(), next(k for k in known if k.startswith(f"{name}@")), None, shape_of("x")))
+        # local parts of the addresses where they stand alone: one pass over the runs of their characters
+        places: dict[str, list[tuple[int, str]]] = {}
+        for k, s, e in sorted(base, key=lambda x: x[1]):
+            if k == "email" and len(name := (key := text[s:e].lower()).partition("@")[0]) >= 6:
+                places.setdefault(name, []).append((s, key))
+        sizes = {*map(len, places)}
+        for m in LOCAL_RUN.finditer(text) if places else ():
+            s, e = m.span()
+            ends = [x for x in (*(d.start() for d in DOT.finditer(text, s, e)), e) if x - s in sizes]
+            for end in ends:
+                if (near := places.get(text[s:end].lower())) and free(s, end):
+                    at = bisect(near, (s, ""))
+                    out.append(Mention(s, end, min(near[max(at - 1, 0) : at + 1], key=lambda x: abs(x[0] - s))[1], None, shape_of("x")))
     return sorted(out, key=lambda x: (x.start, x.end))
 
 

@@ -25,10 +25,11 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
-URL_RUN = re.compile(r"[^\s%\"'<>]*(?:%[0-9A-Fa-f]{2}[^\s%\"'<>]*)+")
+URL_TOKEN = re.compile(r"[^\s\"'<>]++")
+URL_STRAY = re.compile(r"%(?![0-9A-Fa-f]{2})")
 URL_ESCAPES = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
-UNICODE_ESCAPES = re.compile(r"\\u\{?([0-9A-Fa-f]{4,6})\}?|\\x([0-9A-Fa-f]{2})")
-UNICODE_RUN = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\u\{[0-9A-Fa-f]{4,6}\}|\\x[0-9A-Fa-f]{2})(?:[^\s\\]|\\u[0-9A-Fa-f]{4}|\\u\{[0-9A-Fa-f]{4,6}\}|\\x[0-9A-Fa-f]{2})*")
+UNICODE_ESCAPES = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|(?:\\|%)u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})|\\U([0-9A-Fa-f]{8})")
+UNICODE_RUN = re.compile(rf"(?:{UNICODE_ESCAPES.pattern})(?:[^\s\\]|{UNICODE_ESCAPES.pattern})*+".replace("([", "(?:["))
 BASE64_RUN = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 LINE = r"[A-Za-z0-9+/_-]++"
 BREAK = r"[ \t]*+(?:\r\n?|\n)[ \t]*+"
@@ -36,7 +37,9 @@ BASE64_LINES = re.compile(rf"(?<![A-Za-z0-9+/_-]){LINE}(?:{BREAK}{LINE})++={{0,2
 #: White space that no rule and no encoded run reaches across.
 SAFE = re.compile(r"(?<=[^\s:=\"'dtnyDTNY])\x20(?=[^\s:=])|(?<=[^\sA-Za-z0-9+/_-])[\r\n](?=\S)|[\r\n](?=[^\sA-Za-z0-9+/_-])|\n(?=\n)")
 PRINTABLE = re.compile(r"[\t\n\r\x20-\x7e\u00a0-\ud7ff\ue000-\ufffc\U00010000-\U0010ffff]{6,}")
-GZIP = b"\x1f\x8b\x08"
+#: Where compressed bytes may begin, and ASCII text in UTF-16 of both byte orders.
+ZIPPED = re.compile(rb"(?=\x1f\x8b\x08|[\x08\x18\x28\x38\x48\x58\x68\x78][\x01-\xde])", re.S)
+WIDE = (re.compile(rb"(?:[\t\n\r\x20-\x7e]\x00){6,}"), re.compile(rb"(?:\x00[\t\n\r\x20-\x7e]){6,}"))
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -62,14 +65,37 @@ def readable(raw: bytes) -> Iterator[tuple[str, list[int], list[int]]]:
             for ch in text:
                 ends.append(ends[-1] + (1 if "\udc80" <= ch <= "\udcff" else len(ch.encode())))
         yield m[0], ends[m.start() : m.end()], ends[m.start() + 1 : m.end() + 1]
-
-
-def packed(raw: bytes) -> bool:
-    return raw[:2] == b"\x1f\x8b" or len(raw) > 6 and raw[0] == 0x78 and (raw[0] << 8 | raw[1]) % 31 == 0
-
-
-def inflated(chunks: Iterable[bytes]) -> Iterator[bytes]:
-    """The content of all zlib or gzip members in a row, and the bytes behind them; ends at the first damage."""
+    if raw.count(0) > 4:
+        for wide in WIDE:
+            for m in wide.finditer(raw):
+                yield m[0].replace(b"\0", b"").decode("ascii"), [*range(m.start(), m.end(), 2)], [*range(m.start() + 2, m.end() + 2, 2)]
+
+
+def packed(raw: bytes, at: int = 0) -> bool:
+    """Whether bytes from ``at`` on begin like zlib or gzip and can be inflated a little."""
+    if raw[at : at + 2] != b"\x1f\x8b" and (len(raw) < at + 7 or raw[at] & 0x8F != 8 or (raw[at] << 8 | raw[at + 1]) % 31 or raw[at + 1] & 0x20):
+        return False
+    try:
+        return bool(zlib.decompressobj(47).decompress(raw[at : at + 4096], 64)) or len(raw) - at < 64
+    except zlib.error:
+        return False
+
+
+def deflated(raw: bytes) -> bool:
+    """Whether these bytes are one whole stream of deflate without a header."""
+    stream, size = zlib.decompressobj(-15), 0
+    try:
+        out = stream.decompress(raw, CHUNK)
+        while out:
+            size += len(out)
+            out = b"" if stream.eof else stream.decompress(stream.unconsumed_tail, CHUNK)
+    except zlib.error:
+        return False
+    return stream.eof and not stream.unused_data and size >= 6
+
+
+def inflated(chunks: Iterable[bytes], bare: bool = False) -> Iterator[bytes]:
+    """The content of all zlib or gzip members in a row (``bare``: of one without a header), and the bytes behind them; ends at the first damage."""
     stream, rest, plain, first = None, b"", False, True
     chunks = iter(chunks)
     while True:
@@ -83,12 +109,12 @@ def inflated(chunks: Iterable[bytes]) -> Iterator[bytes]:
             if stream is None:
                 if len(rest) < 7 and more is not None:
                     break
-                if not packed(rest):
+                if not (bare and first) and not packed(rest):
                     if first:
                         return
                     plain = True
                     continue
-                stream, first = zlib.decompressobj(47), False
+                stream, first = zlib.decompressobj(-15 if bare and first else 47), False
             try:
                 out = stream.decompress(rest, CHUNK)
                 while out:
@@ -101,7 +127,7 @@ def inflated(chunks: Iterable[bytes]) -> Iterator[bytes]:
             return
 
 
-def unpack(raw: bytes) -> Iterator[tuple[str, str]]:
+def unpack(raw: bytes, bare: bool = False) -> Iterator[tuple[str, str]]:
     """(text, name): what compressed bytes hold, also compressed bytes directly inside, in pieces of bounded size.
 
     Each layer is read once for its digest, so one that is equal to a layer above it ends the loop.
@@ -110,14 +136,15 @@ def unpack(raw: bytes) -> Iterator[tuple[str, str]]:
     seen, name = {sha256(raw).digest()}, "zip"
     while True:
         digest, size, held = sha256(), 0, []
-        for c in inflated(source()):
+        for c in inflated(source(), bare):
             digest.update(c)
             size += len(c)
             held = [*held, c] if size <= PIECE else []
         if not size or digest.digest() in seen:
             return
         seen.add(digest.digest())
-        source = (lambda d: lambda: [d])(b"".join(held)) if size <= PIECE else (lambda s: lambda: inflated(s()))(source)
+        source = (lambda d: lambda: [d])(b"".join(held)) if size <= PIECE else (lambda s, b: lambda: inflated(s(), b))(source, bare)
+        bare = False
         for piece in pieces(source()):
             yield piece, name
         name += ">zip"
@@ -181,19 +208,36 @@ def url_chars(m: re.Match):
 
 
 def unicode_chars(m: re.Match):
-    n = int(m[1] or m[2], 16)
+    n = int(m[1] or m[2] or m[3] or m[4], 16)
     yield (chr(n) if n < 0x110000 and not 0xD800 <= n < 0xE000 else "\ufffd"), m.start(), m.end()
 
 
+class Bare(bytes):
+    """A stream of deflate without a header."""
+
+
+def url_runs(text: str) -> Iterator[tuple[int, int]]:
+    """Ranges with escapes, up to white space, quotes and signs that are no escapes; each character is looked at once."""
+    for m in URL_TOKEN.finditer(text):
+        if "%" in m[0]:
+            at = m.start()
+            for stray in (*URL_STRAY.finditer(m[0]), None):
+                end = m.end() if stray is None else m.start() + stray.start()
+                if text.find("%", at, end) >= 0:
+                    yield at, end
+                at = end + 1
+
+
 def layers_of(text: str) -> list[tuple[int, int, str | bytes, list[int] | None, list[int] | None, str]]:
     """The encoded runs of ``text``: start, end, decoded text (or compressed bytes), positions behind its characters (None: the whole run), name."""
     out = []
     if "%" in text:
-        for m in URL_RUN.finditer(text):
-            out.append((m.start(), m.end(), *decoded_pieces(m[0], m.start(), URL_ESCAPES, url_chars), "url"))
-            if packed(raw := unquote_to_bytes(m[0])):
-                out.append((m.start(), m.end(), raw, None, None, "url"))
-    if "\\" in text:
+        for start, end in url_runs(text):
+            run = text[start:end]
+            out.append((start, end, *decoded_pieces(run, start, URL_ESCAPES, url_chars), "url"))
+            if packed(raw := unquote_to_bytes(run)):
+                out.append((start, end, raw, None, None, "url"))
+    if "\\" in text or "%u" in text:
         for m in UNICODE_RUN.finditer(text):
             plain, starts, ends = decoded_pieces(m[0], m.start(), UNICODE_ESCAPES, unicode_chars)
             out.append((m.start(), m.end(), plain, starts, ends, "unicode"))
@@ -204,8 +248,6 @@ def layers_of(text: str) -> list[tuple[int, int, str | bytes, list[int] | None,
         runs += [(s, e, [i for i in range(s, e) if not text[i].isspace()]) for m in BASE64_LINES.finditer(text) for s, e in wrapped(text, m.start(), m.end())]
     for start, end, places in runs:
         body = (text[start:end] if isinstance(places, range) else "".join(text[i] for i in places)).rstrip("=").replace("-", "+").replace("_", "/")
-        if body.isalpha() and (body.islower() or body[1:].islower()):
-            continue
         # what stands before the code, such as a path, may shift it
         for shift in range(4):
             code = body[shift:]
@@ -213,9 +255,9 @@ def layers_of(text: str) -> list[tuple[int, int, str | bytes, list[int] | None,
             if len(code) < 12:
                 continue
             raw = base64.b64decode(code + "=" * (-len(code) % 4))
-            at = 0 if packed(raw) and not shift else raw.find(GZIP)
-            if at >= 0:
-                out.append((start, end, raw[at:], None, None, "base64"))
+            out += [(start, end, raw[m.start() :], None, None, "base64") for m in ZIPPED.finditer(raw) if packed(raw, m.start())]
+            if deflated(raw):
+                out.append((start, end, Bare(raw), None, None, "base64"))
             for plain, firsts, lasts in readable(raw):
                 out.append((start, end, plain, [places[shift + 4 * i // 3] for i in firsts], [places[shift + (4 * i - 1) // 3] + 1 for i in lasts], "base64"))
     return out
@@ -239,6 +281,14 @@ def wrapped(text: str, start: int, end: int) -> Iterator[tuple[int, int]]:
 def scan(text: str) -> list[dict]:
     """All spans of one text: the base ones, and those of its decoded layers, in code points of ``text``."""
     spans = {k: (True, "") for k in base_spans(text)}
+    places: dict[tuple[str, str], set[tuple[int, int]]] = {}
+
+    def found_in(layer: Layer) -> None:
+        for kind, s, e in base_spans(layer.text):
+            place = layer.original(s, e)
+            places.setdefault((kind, layer.text[s:e]), set()).add(place)
+            spans.setdefault((kind, *place), (False, layer.via))
+
     # layers to look into, and unread rests of compressed ones; all but these are shorter than their parent, so only they can be in a cycle
     work: list = [Layer(text, 0, 0, ("", 0), frozenset())]
     # a layer that two routes reach at one place is looked into once
@@ -251,12 +301,11 @@ def scan(text: str) -> list[dict]:
                 continue
             work.append(layer)
             inner, name = found
-            if not inner or hash(inner) in above:
+            if not inner or (digest := sha256(inner.encode("utf-8", "surrogatepass")).digest()) in above:
                 continue
             n = name.count(">") + 1
-            layer = Layer(inner, start, end, (f"{via}>{name}" if depth + n <= NAMED else via, depth + n), above | {hash(inner)})
-            for kind, s, e in base_spans(inner):
-                spans.setdefault((kind, *layer.original(s, e)), (False, layer.via))
+            layer = Layer(inner, start, end, (f"{via}>{name}" if depth + n <= NAMED else via, depth + n), above | {digest})
+            found_in(layer)
         top = not layer.names[1]
         for start, end, inner, starts, ends, name in layers_of(layer.text):
             if not inner:
@@ -268,16 +317,24 @@ def scan(text: str) -> list[dict]:
             elif not top:
                 starts, ends = [layer.starts[x] for x in starts], [layer.ends[x - 1] for x in ends]
             if isinstance(inner, bytes):
-                work.append((unpack(inner), starts, ends, names, layer.above))
+                work.append((unpack(inner, isinstance(inner, Bare)), starts, ends, names, layer.above))
                 continue
             below = Layer(inner, starts, ends, names, layer.above)
             whole = (sha256(inner.encode("utf-8", "surrogatepass")).digest(), below.original(0, 1)[0], below.original(len(inner) - 1, len(inner))[1])
             if whole in seen:
                 continue
             seen.add(whole)
-            for kind, s, e in base_spans(inner):
-                spans.setdefault((kind, *below.original(s, e)), (False, below.via))
+            found_in(below)
             work.append(below)
+    # one secret that several ways reach, such as runs with and without the line before, has the smallest of their ranges
+    for (kind, _), ranges in places.items():
+        least = None
+        for s, e in sorted(ranges, key=lambda r: (-r[0], r[1])):
+            if least is not None and e >= least:
+                if not spans.get((kind, s, e), (True, ""))[0]:
+                    del spans[kind, s, e]
+            else:
+                least = e
     order = sorted(spans, key=lambda k: (k[1], KINDS.index(k[0]), k[2]))
     return [{"kind": k, "start": s, "end": e, "base": spans[k, s, e][0], "via": spans[k, s, e][1]} for k, s, e in order]
 
@@ -285,8 +342,8 @@ def scan(text: str) -> list[dict]:
 def scan_secrets(df: DataFrame, text: str = "text", out: str = "spans", keep: list[str] | None = None) -> DataFrame:
     """Add the array ``out`` of secrets found in the whole text and in its decoded layers.
 
-    URL escapes, Unicode escapes, base64 (also over several lines, and behind other characters) and zlib or gzip inside
-    any of them are unwrapped until nothing new appears, whatever their depth and length; a layer that was seen at
+    URL escapes, Unicode escapes, base64 (also over several lines, behind other characters, and of UTF-16), zlib, gzip and (as a whole
+    base64 run) bare deflate inside any of them are unwrapped until nothing new appears, whatever their depth and length; a layer that was seen at
     its place ends its branch. Spans are code points of the original text, end exclusive; what compressed bytes
     hold maps to the whole encoded run. Null and empty
     texts have no spans; equal rows give equal results; other columns pass through.

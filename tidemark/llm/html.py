@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from bisect import bisect
+from bisect import bisect, bisect_left
 from html import unescape
 
 import pyarrow as pa
@@ -16,8 +16,8 @@ from .common import map_texts, read
 # Fixed values of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-HIDDEN = frozenset("head script style template noscript title meta link base iframe object embed audio video canvas svg math map area datalist select option optgroup noembed noframes input param source track rp".split())
-BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li listing main menu nav ol p plaintext pre search section summary table ul xmp caption tr thead tbody tfoot".split())
+HIDDEN = frozenset("head script style template noscript title meta link base iframe embed audio video canvas map area datalist noembed noframes param source track rp annotation annotation-xml desc defs metadata symbol clippath mask pattern".split())
+BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li listing main menu nav ol p plaintext pre search section summary table ul xmp option optgroup caption tr thead tbody tfoot".split())
 SPACED = frozenset("p blockquote dl figure h1 h2 h3 h4 h5 h6 hr menu ol pre table ul form fieldset".split())
 ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr listing main menu nav ol p plaintext pre search section summary table ul xmp".split())
 #: An opening tag closes these open elements, up to the nearest of the second set.
@@ -44,6 +44,14 @@ CELLS = frozenset("td th caption".split())
 TABLE, P, CELL_OR_TABLE, ROW_ENDS = frozenset(["table"]), frozenset(["p"]), frozenset("td th table".split()), frozenset("table tr tbody thead tfoot".split())
 SCOPES = frozenset("html table td th caption button object".split())
 
+#: Inputs that show neither a value nor a placeholder, and elements whose first line break is not shown.
+NO_VALUE = frozenset("hidden password checkbox radio file range color".split())
+FIRST_BREAK = frozenset("pre listing textarea".split())
+#: Values of ``display`` that set an element apart like a block.
+BLOCK_DISPLAY = frozenset("block flow-root flex grid list-item table".split())
+#: The padding of a page's tables is at most so many characters for each of its own, and so many beside; a table beyond what is left is not padded.
+PADDING, PADDING_FREE = 20, 10_000
+
 LISTS = frozenset(["ul", "ol", "menu", "dir"])
 #: Elements in whose content ``/>`` closes an element.
 FOREIGN = frozenset(["svg", "math"])
@@ -266,53 +274,103 @@ def rows_of(table: Node) -> tuple[list[Node], list[list[Node]]]:
     return captions, rows
 
 
-def grid(table: Node, done: dict) -> list[str]:
-    """Lines of a table: cells padded to columns, as many lines as the longest cell of a row; spans leave places empty."""
+class Held:
+    """Columns that cells of earlier rows reach down into: ranges by column, with the first row that is free again."""
+
+    def __init__(self):
+        self.ranges: list[tuple[int, int, int]] = []
+        self.next: int | None = None
+
+    def free(self, row: int) -> None:
+        """Drop the ranges that end before ``row``; most rows end none."""
+        if self.next is not None and row >= self.next:
+            self.ranges = [r for r in self.ranges if r[2] > row]
+            self.next = min((r[2] for r in self.ranges), default=None)
+
+    def add(self, new: list[tuple[int, int, int]]) -> None:
+        merged: list[tuple[int, int, int]] = []
+        for a, b, until in sorted(self.ranges + new):
+            if merged and merged[-1][1] >= a and merged[-1][2] == until:
+                merged[-1] = (merged[-1][0], max(b, merged[-1][1]), until)
+            else:
+                merged.append((a, b, until))
+        self.ranges, self.next = merged, min(r[2] for r in merged)
+
+
+def grid(table: Node, done: dict, room: list[int]) -> list[str]:
+    """Lines of a table: cells padded to columns, as many lines as the longest cell of a row; spans leave places empty.
+
+    ``room`` has the padding that is left for the page. A table that needs more has its cells side by side without padding.
+    """
     captions, rows = rows_of(table)
-    laid, held = [], {}
-    for row in rows:
-        line, column = {}, 0
+    laid, held = [], Held()
+    for at, row in enumerate(rows):
+        held.free(at)
+        line, column, i, new = {}, 0, 0, []
         for cell in row:
-            while held.get(column, 0):
-                column += 1
+            while i < len(held.ranges) and held.ranges[i][0] <= column:
+                column = max(column, held.ranges[i][1])
+                i += 1
             line[column] = done[id(cell)]
             wide, high = span(cell, "colspan", MOST_COLUMNS), span(cell, "rowspan", MOST_ROWS)
-            held.update({column + i: high for i in range(wide)} if high > 1 else {})
+            if high > 1:
+                new.append((column, column + wide, at + high))
             column += wide
-        laid.append((line, max([column, *(c + 1 for c, h in held.items() if h)], default=0)))
-        held = {c: h - 1 for c, h in held.items() if h > 1}
+        laid.append(line)
+        if new:
+            held.add(new)
     # columns in which no cell begins have nothing to show
     widths: dict[int, int] = {}
-    for line, _ in laid:
+    for line in laid:
         for c, lines in line.items():
             widths[c] = max([widths.get(c, 0), *map(len, lines)])
     columns = sorted(widths)
+    upto = [0]
+    for c in columns:
+        upto.append(upto[-1] + widths[c] + 3)
     out = [x for c in captions for x in done[id(c)]]
-    for line, n in laid:
-        for k in range(max(map(len, line.values()), default=0)):
-            out.append(" | ".join((line[c][k] if c in line and k < len(line[c]) else "").ljust(widths[c]) for c in columns if c < n).rstrip(" "))
+    shape = [(line, max(map(len, line.values()), default=0), bisect_left(columns, max(line, default=-1) + 1)) for line in laid]
+    padding = sum(high * upto[n] for _, high, n in shape) - sum(len(x) for line in laid for lines in line.values() for x in lines)
+    padded = padding <= room[0]
+    room[0] -= max(padding, 0) if padded else 0
+    for line, high, n in shape:
+        for k in range(high):
+            if padded:
+                out.append(" | ".join((line[c][k] if c in line and k < len(line[c]) else "").ljust(widths[c]) for c in columns[:n]).rstrip(" "))
+            else:
+                out.append(" | ".join(lines[k] for lines in line.values() if k < len(lines)))
     return out
 
 
 def render(root: Node) -> str:
     """All visible text below ``root``. Elements and tables nest without limit: inner tables are laid out before outer ones."""
-    tables, work = [], [(root, True)]
+    tables, work, size = [], [(root, True)], 0
     while work:
         x, seen = work.pop()
         seen = shown(x, seen)
+        size += sum(len(c) for c in x.children if isinstance(c, str))
         if x.tag == "table":
             tables.append((x, seen))
         work += [(c, seen) for c in x.children if isinstance(c, Node) and not removed(c)]
     done: dict = {}
+    room = [PADDING * size + PADDING_FREE]
     # a table is met before those inside it
     for table, seen in reversed(tables):
         captions, rows = rows_of(table)
         for part in [*captions, *(c for r in rows for c in r)]:
             done[id(part)] = flow(part, done, shown(part, seen))
-        done[id(table)] = grid(table, done)
+        done[id(table)] = grid(table, done, room)
     return "\n".join(flow(root, done, True))
 
 
+def block(node: Node) -> bool:
+    return node.tag in BLOCKS or "style" in node.attributes and declared(node.attributes["style"], "display") in BLOCK_DISPLAY
+
+
+def number(value: str | None, other: int) -> int:
+    return int(value) if value and re.fullmatch(r"\s*-?[0-9]{1,9}\s*", value) else other
+
+
 def flow(root: Node, done: dict, visible: bool) -> list[str]:
     """Lines of the visible text inside one element; tables come from ``done``."""
     page = Page()
@@ -322,7 +380,7 @@ def flow(root: Node, done: dict, visible: bool) -> list[str]:
         if step == "close":
             if x.tag in LISTS:
                 page.lists -= 1
-            if x.tag in BLOCKS:
+            if block(x):
                 page.space() if x.tag in SPACED and not (x.tag in LISTS and page.lists) else page.end()
             if saved is not None:
                 page.indent, page.mark = saved, ""
@@ -343,6 +401,11 @@ def flow(root: Node, done: dict, visible: bool) -> list[str]:
         elif x.tag == "img":
             if x.attributes.get("alt") and seen:
                 page.text(x.attributes["alt"], False)
+        elif x.tag == "input":
+            kind = x.attributes.get("type", "text").strip().lower()
+            value = x.attributes.get("alt" if kind == "image" else "value") or x.attributes.get("placeholder")
+            if seen and value and kind not in NO_VALUE:
+                page.text(value, False)
         elif x.tag == "table":
             page.space()
             for line in done[id(x)]:
@@ -350,7 +413,7 @@ def flow(root: Node, done: dict, visible: bool) -> list[str]:
                 page.end(True)
             page.space()
         else:
-            if x.tag in BLOCKS:
+            if block(x):
                 page.space() if x.tag in SPACED and not (x.tag in LISTS and page.lists) else page.end()
             saved = None
             page.lists += x.tag in LISTS
@@ -359,18 +422,24 @@ def flow(root: Node, done: dict, visible: bool) -> list[str]:
                 page.indent += "  "
             inner = x.children
             if x.tag == "ol":
-                start = x.attributes.get("start", "1")
-                i = int(start) if re.fullmatch(r"-?[0-9]{1,9}", start) else 1
-                for c in inner:
-                    if isinstance(c, Node) and c.tag == "li":
-                        c.attributes.setdefault("_n", f"{i}. ")
-                        i += 1
+                items = [c for c in inner if isinstance(c, Node) and c.tag == "li" and not removed(c)]
+                back = "reversed" in x.attributes
+                i = number(x.attributes.get("start"), len(items) if back else 1)
+                for c in items:
+                    i = number(c.attributes.get("value"), i)
+                    c.attributes.setdefault("_n", f"{i}. ")
+                    i += -1 if back else 1
+            if x.tag == "optgroup" and seen and x.attributes.get("label"):
+                page.text(x.attributes["label"], False)
+                page.end()
             if x.tag == "li":
                 saved = page.indent
                 page.mark = x.attributes.get("_n", "- ")
             if x.tag == "q" and seen:
                 page.text('"', True)
             work.append(("close", x, pre, saved, seen))
+            if x.tag in FIRST_BREAK and inner and isinstance(inner[0], str):
+                inner = [re.sub(r"\A\r?\n", "", inner[0]), *inner[1:]]
             now = pre or x.tag in ("pre", "listing", "plaintext", "textarea")
             work += [("open", c, now, None, seen) for c in reversed(inner)]
     page.end()
@@ -381,7 +450,8 @@ def visible_text(df: DataFrame, html: str = "html", out: str = "text", keep: lis
     """Add ``out``: the visible text of each whole page.
 
     Blocks stand on their own lines, paragraphs, lists and tables between blank lines; list items have marks,
-    table cells are padded to columns and keep their lines; pages nest without limit. A tag that the page's end
+    table cells are padded to columns and keep their lines (side by side without padding, once a page's tables would have more than PADDING
+    characters of it for each character of text); options, values of inputs and text in drawings and formulas are shown; pages nest without limit. A tag that the page's end
     cuts off ends the text. Null and empty pages give an empty text; equal rows equal results; a
     column called ``out`` is replaced, others pass through.
     """

@@ -19,12 +19,12 @@ ESCAPE = "\\"
 ROLES = {"human": "user", "prompter": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
 
 #: Layouts by their field paths (``[]``: of each element). A turn list names an array and the fields of its
-#: elements; else each entry is a role and the field that holds its text, in order; empty texts of fields
+#: elements (``roles``: names of its own for them, other layouts' roles are kept as they are); else each entry is a role and the field that holds its text, in order; empty texts of fields
 #: after a ``?`` make no turn.
 MAPPINGS = {
     ("turns[].role", "turns[].text"): {"list": "turns", "role": "role", "text": "text"},
     ("messages[].content", "messages[].role"): {"list": "messages", "role": "role", "text": "content"},
-    ("conversations[].from", "conversations[].value"): {"list": "conversations", "role": "from", "text": "value"},
+    ("conversations[].from", "conversations[].value"): {"list": "conversations", "role": "from", "text": "value", "roles": ROLES},
     ("completion", "prompt"): {"fields": [("user", "prompt"), ("assistant", "completion")]},
     ("prompt", "response"): {"fields": [("user", "prompt"), ("assistant", "response")]},
     ("answer", "question"): {"fields": [("user", "question"), ("assistant", "answer")]},
@@ -51,9 +51,10 @@ def fingerprint(fields: list[str] | tuple[str, ...]) -> str:
 BY_HASH = {fingerprint(k): v for k, v in MAPPINGS.items()}
 
 
-def turn(role: Column, text: Column) -> Column:
-    known = F.lower(F.coalesce(role.cast("string"), F.lit("")))
-    named = F.coalesce(*(F.when(known == k, F.lit(v)) for k, v in ROLES.items()), F.coalesce(role.cast("string"), F.lit("")))
+def turn(role: Column, text: Column, names: dict[str, str] | None = None) -> Column:
+    """A turn with a null role or text empty; ``names`` has other roles for some, whatever their case."""
+    given = F.coalesce(role.cast("string"), F.lit(""))
+    named = F.coalesce(*(F.when(F.lower(given) == k, F.lit(v)) for k, v in (names or {}).items()), given)
     return F.struct(named.alias("role"), F.coalesce(text.cast("string"), F.lit("")).alias("text"))
 
 
@@ -73,7 +74,7 @@ def canonical(record: Column, kind: T.StructType) -> Column:
                 text = text[part]
             if mapping["text"].endswith("parts"):
                 text = F.concat_ws("", text)
-            return turn(m[mapping["role"]], text)
+            return turn(m[mapping["role"]], text, mapping.get("roles"))
 
         turns = F.transform(record[mapping["list"]], one)
     else:
@@ -221,20 +222,26 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     trap = f"{END}{START}assistant ok"
     added = spark.createDataFrame([(-1, 0, "user", trap), (-1, 1, "assistant", trap)], "conv_id long, turn long, role string, text string")
     rows = told.unionByName(added)
-    turns = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
+    turns = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")))).alias("turns"))
 
-    def laid(array: str, role: str, text: str) -> Column:
-        return F.to_json(F.struct(F.transform("turns", lambda t: F.struct(t["role"].alias(role), F.coalesce(t["text"], F.lit("")).alias(text))).alias(array)))
+    def laid(array: str, role: str, text: str, parts: bool = False) -> Column:
+        def one(t: Column) -> Column:
+            whole = F.coalesce(t["text"], F.lit(""))
+            half = F.floor(F.length(whole) / 2).cast("int")
+            content = F.struct(F.array(F.substr(whole, F.lit(1), half), F.substr(whole, half + 1)).alias("parts")) if parts else whole
+            return F.struct(F.coalesce(t["role"], F.lit("")).alias(role), content.alias(text))
 
-    # the table's conversations as records of three layouts
-    record = F.when(F.pmod("conv_id", F.lit(3)) == 0, laid("messages", "role", "content")).when(F.pmod("conv_id", F.lit(3)) == 1, laid("conversations", "from", "value")).otherwise(laid("turns", "role", "text"))
+        return F.to_json(F.struct(F.transform("turns", one).alias(array)))
+
+    # the table's conversations as records of three layouts that keep roles as they are
+    record = F.when(F.pmod("conv_id", F.lit(3)) == 0, laid("messages", "role", "content")).when(F.pmod("conv_id", F.lit(3)) == 1, laid("messages", "role", "content", True)).otherwise(laid("turns", "role", "text"))
     formatted = format_chats(unify_json(turns.select("conv_id", record.alias("record")), "conv_id", "record")).withColumn("_back", read_back("formatted")).withColumn("_loss", masked_text("formatted", "loss_mask"))
     digest = F.array_join(F.transform("_back", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return formatted.select("conv_id", F.size("_back").cast("long").alias("n_turns"), F.sha2(digest.cast("binary"), 256).alias("turns_sha256"), F.length("_loss").cast("long").alias("loss_chars"), F.sha2(F.col("_loss").cast("binary"), 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
 
 
 OP9_SQL = f"""
-WITH r AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
+WITH r AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -1, 0, 'user', '{END}{START}assistant ok' UNION ALL SELECT -1, 1, 'assistant', '{END}{START}assistant ok'),
 e AS (SELECT *, length(regexp_replace(text, '<(\\\\*)\\|', '<\\1\\\\|', 'g')) AS n FROM r)
 SELECT conv_id, count(*)::BIGINT AS n_turns,

@@ -18,7 +18,7 @@ from .common import Scratch, read, saved
 #: Turns at most that a conversation takes over from the first one of its block, and conversations of a block.
 HEAD, BLOCK = 4, 20
 #: A subtree of so many turn rows, or of a SHARE-th of all if that is more, is one shard at most; nodes over it are left to the last pass.
-SHARD_ROWS, SHARE = 10_000, 1000
+SHARD_ROWS, SHARE = 1000, 1000
 #: Rows of a broadcast table at most (about 24 bytes each); larger ones are joined by shuffling.
 BROADCAST_ROWS = 500_000
 #: Messages that a queue holds in memory; more go to sorted runs on disk.

@@ -26,7 +26,7 @@ ROW_BYTES = 1024
 #: Cells of one matrix at most.
 CELLS = 1 << 20
 #: Texts are encoded in runs of about so many bytes.
-RUN_BYTES = 2 << 20
+RUN_BYTES = 1 << 20
 
 PRETOKEN = regex.compile(public_tokenizers.PATTERN)
 #: Characters outside these ranges may be of another class in the library's Unicode tables.
@@ -90,7 +90,7 @@ class Pairs:
 class Codec:
     """Encoder and decoder of one file of ranks; remembers up to twice ``keep`` pre-tokens and as many stretches between spaces."""
 
-    def __init__(self, path: str, keep: int = 250_000):
+    def __init__(self, path: str, keep: int = 120_000):
         with open(path, "rb") as lines:
             self.rank = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
         self.size = max(self.rank.values(), default=-1) + 1

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,9 +20,19 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/tidemark-{uuid.uuid4().hex}"
 
 
+#: Owners of the tables that ``saved`` writes, the innermost last; without one they stay.
+_OWNERS: list[Scratch] = []
+
+
 def saved(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it again: cuts lineage, survives lost executors."""
-    return _written(df)[0]
+    return _OWNERS[-1].saved(df) if _OWNERS else _written(df)[0]
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared folder."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def _written(df: DataFrame) -> tuple[DataFrame, str]:
@@ -51,6 +62,22 @@ class Scratch:
         """Delete these tables; those of others stay."""
         for table in tables:
             for entry in [x for x in self.held if x[0] is table]:
-                path = self.spark._jvm.org.apache.hadoop.fs.Path(entry[1])
-                path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+                remove(self.spark, entry[1])
                 self.held.remove(entry)
+
+    def released(self, table: DataFrame) -> DataFrame:
+        """Give up this table: it stays, or goes with an outer owner."""
+        for entry in [x for x in self.held if x[0] is table]:
+            self.held.remove(entry)
+            if _OWNERS and _OWNERS[-1] is not self:
+                _OWNERS[-1].held.append(entry)
+        return table
+
+    @contextmanager
+    def owning(self):
+        """Tables that ``saved`` writes meanwhile belong to this scratch and go with it."""
+        _OWNERS.append(self)
+        try:
+            yield self
+        finally:
+            _OWNERS.pop()

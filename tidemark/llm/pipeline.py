@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate, ngram_join, quality, secrets, tokens
-from .common import read, saved, unused
+from .common import Scratch, read, unused
 
 #: Near duplicates have this share of their word n-grams in common.
 WORDS, SHARE = 5, 80
@@ -57,8 +57,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; the result of each but the last is a table in the shared folder."""
+    """All stages over ``documents``; the result of each is a table in the shared folder, and goes once the next one is written. The last one stays."""
     docs = read(spark, sf_dir, "documents")
-    for _, stage in STAGES[:-1]:
-        docs = saved(stage(spark, docs, sf_dir))
-    return STAGES[-1][1](spark, docs, sf_dir)
+    with Scratch(spark) as kept:
+        for _, stage in STAGES:
+            # what a stage leaves behind goes once its rows are written
+            with Scratch(spark) as own, own.owning():
+                made = kept.saved(stage(spark, docs, sf_dir))
+            kept.drop(docs)
+            docs = made
+        return kept.released(docs)

@@ -376,12 +376,16 @@ def stream_daily_cost(spark, d):
 DAILY = "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type AS tool, count(*) AS calls, round(sum(value), 4) AS value FROM events GROUP BY ALL"
 SLIDING = "SELECT strftime(s, '%Y-%m-%d %H:%M:%S') AS start, event_type AS tool, count(*) AS calls, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95 FROM (SELECT *, unnest(range(6)) AS i, time_bucket(INTERVAL 10 minutes, ts) - to_minutes((i * 10)::INTEGER) AS s FROM events) GROUP BY ALL"
 SESSIONS = """WITH g AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER w + INTERVAL 30 minutes THEN 0 ELSE 1 END AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT *, sum(n) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g)
-SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS calls FROM s GROUP BY user_id, k"""
+SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS calls FROM s GROUP BY user_id, k HAVING max(ts) + INTERVAL 30 minutes <= (SELECT max(ts) - INTERVAL 1 day FROM events)"""
 LIVE = "SELECT user_id, strftime(time_bucket(INTERVAL 1 hour, ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) FILTER (event_type = 'view') AS impressions, count(*) FILTER (event_type = 'error') AS corrections FROM events WHERE event_type IN ('view', 'error') GROUP BY ALL"
-FEED = "SELECT l_suppkey % 20 AS scope, count(*) AS added, count(*) FILTER (l_returnflag = 'R') AS retired FROM lineitem GROUP BY 1"
+FEED = """WITH f AS (SELECT l_suppkey % 20 AS scope, l_shipdate::DATE AS day, concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice::DECIMAL(12,2)) AS uuid, l_returnflag AS flag FROM lineitem),
+c AS (SELECT scope, day, 'added' AS op, uuid FROM f UNION ALL SELECT scope, day, 'retired', uuid FROM f WHERE flag = 'R')
+SELECT scope, day::VARCHAR AS day, op, uuid, count(*) FILTER (op = 'added') OVER w AS additions, count(*) FILTER (op = 'retired') OVER w AS retirements FROM c WINDOW w AS (PARTITION BY scope ORDER BY day, op, uuid)"""
 INGEST = r"SELECT DISTINCT source AS group_id, sha256(trim(regexp_replace(text, '[ \t\n\r\f\v]+', ' ', 'g'), ' ')) AS content_hash FROM documents"
 
-RETRIES = "SELECT event_id, least(event_id % 8 + 1, 5)::INTEGER AS retry_count, CASE WHEN event_id % 8 < 5 THEN 'replayed' ELSE 'replay_failed' END AS status FROM events WHERE event_type = 'error'"
+RETRIES = """WITH r AS (SELECT event_id, coalesce((props->>'$.k')::INTEGER, 0) AS k, time_bucket(INTERVAL 10 minutes, ts) + INTERVAL 10 minutes AS first FROM events WHERE event_type = 'error'),
+s AS (SELECT event_id, least(k + 1, 5)::INTEGER AS retry_count, CASE WHEN k < 5 THEN 'replayed' ELSE 'replay_failed' END AS status, first + to_minutes((10 * least(k, 4))::INTEGER) AS settled FROM r)
+SELECT event_id, retry_count, status, strftime(settled, '%Y-%m-%d %H:%M:%S') AS settled FROM s WHERE settled <= (SELECT max(ts) - INTERVAL 1 hour FROM events WHERE event_type = 'error')"""
 
 PAIRS = {
     "redact_corpus": (redact_corpus, None), "screen_instructions": (screen_instructions, SCREEN), "relation_report": (relation_report, RELATIONS), "conformity": (conformity, CONFORMITY), "pair_overlap": (pair_overlap, None),

@@ -186,3 +186,27 @@ def test_change_feed_goes_on_from_earlier_batches(spark, tmp_path):
     for scope in (0, 1):
         mine = [r for r in got if r.scope == scope]
         assert [(r.additions, r.retirements) for r in mine] == [(sum(x.op == "added" for x in mine[: i + 1]), sum(x.op == "retired" for x in mine[: i + 1])) for i in range(len(mine))]
+
+
+def test_hops_of_many_queries_have_their_own_visited_nodes(spark):
+    from tidemark.operators import graph
+
+    rng = random.Random(3)
+    links = [(f"n{rng.randrange(30)}", f"n{rng.randrange(30)}") for _ in range(40)] + [(None, "n1"), ("n2", "n2")]
+    centres = [(1, "n0"), (2, "n5"), (2, "n6"), (3, "nowhere"), (4, None)]
+    near = {}
+    for a, b in links:
+        if a and b:
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
+    expected = set()
+    for query in (1, 2, 3):
+        seen = {n: 0 for q, n in centres if q == query}
+        for step in range(1, 4):
+            for n in [n for n, h in seen.items() if h == step - 1]:
+                for other in near.get(n, ()):
+                    seen.setdefault(other, step)
+        expected |= {(query, n, h) for n, h in seen.items()}
+    facts = spark.createDataFrame(links, "source string, target string")
+    got = graph.hops_from(facts, spark.createDataFrame(centres, "query long, uuid string"), 3).collect()
+    assert {tuple(r) for r in got} == expected and len(got) == len(expected)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.sources.shared import Scratch, saved
+
 
 def degrees(facts: DataFrame, entities: DataFrame | None = None) -> DataFrame:
     """(uuid, degree) over all facts, undirected; a self-loop counts once; isolated entities have 0."""
@@ -42,6 +44,23 @@ def hops(facts: DataFrame, start: DataFrame, depth: int) -> DataFrame:
     return seen
 
 
+def hops_from(facts: DataFrame, centres: DataFrame, depth: int, scratch: Scratch | None = None) -> DataFrame:
+    """(query, uuid, hops) of what each query's centres (query, uuid) reach over undirected facts in up to ``depth`` steps.
+
+    Many searches run as one: each has its own frontier and its own visited nodes, as rows keyed by query. Every step is written, so a step
+    neither repeats the ones before nor hangs on a lost executor's blocks. Null ends of facts and null centres lead nowhere.
+    """
+    with Scratch(facts.sparkSession) as own:
+        links = own.saved(facts.select(F.col("source").alias("a"), F.col("target").alias("b")).unionAll(facts.select("target", "source")).filter("a is not null and b is not null and a <> b").distinct())
+        frontier = own.saved(centres.filter("query is not null and uuid is not null").select("query", "uuid").distinct().withColumn("hops", F.lit(0)))
+        seen = frontier
+        for step in range(1, depth + 1):
+            near = frontier.select("query", F.col("uuid").alias("a")).join(links, "a").select("query", F.col("b").alias("uuid")).distinct()
+            frontier = own.saved(near.join(seen.select("query", "uuid"), ["query", "uuid"], "left_anti").withColumn("hops", F.lit(step)))
+            seen = seen.unionAll(frontier)
+        return scratch.saved(seen) if scratch else saved(seen)
+
+
 def note_lines(facts: DataFrame, entities: DataFrame) -> DataFrame:
     """(uuid, line): the distinct out-links and in-links of each entity, as lines of its note."""
     names = entities.select(F.col("uuid").alias("_id"), F.col("name").alias("_to"))

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 from contextlib import contextmanager
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -81,3 +83,14 @@ class Scratch:
             yield self
         finally:
             _OWNERS.pop()
+
+
+def alone(query: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """A query whose result is a table, and whose other saved tables go once that is written."""
+
+    @wraps(query)
+    def run(spark: SparkSession, *args) -> DataFrame:
+        with Scratch(spark) as own, own.owning():
+            return own.released(own.saved(query(spark, *args)))
+
+    return run

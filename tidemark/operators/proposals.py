@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.temporal import active, merge
+
 #: A statement that names so many of a promotion's scopes is about them, and not fit for the wider scope.
 MOST_NAMED = 3
 
@@ -34,3 +36,40 @@ def settle(proposals: DataFrame, decisions: DataFrame, known: DataFrame) -> Data
     )
     status = F.when(F.col("action") == "dismiss", "DISMISSED").when(reason.isNull(), "APPLIED").otherwise("OPEN")
     return own.select("proposal_key", status.alias("status"), reason.alias("reason"))
+
+
+def apply(proposals: DataFrame, decisions: DataFrame, known: DataFrame, facts: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
+    """(statuses, versions): what ``settle`` decides, carried out on ``facts`` as appended versions; a proposal takes effect as a whole or not at all.
+
+    ``proposals`` also has ``canonical`` and ``duplicate`` (merges) and ``statement`` comes with the decision (promotions). A merge needs both of its
+    facts, which must be active and not the same one; else it stays open ("fact missing"). Of several merges of one duplicate the one with
+    the least key counts, the others stay open ("merged already"). A promotion is a new fact of the target scope, whose id follows from the
+    proposal's key, so that carrying it out again gives the same fact.
+    """
+    told = settle(proposals, decisions, known)
+    live = active(facts)
+    merges = told.filter("status = 'APPLIED'").join(proposals.filter("kind = 'merge'").select("proposal_key", "canonical", "duplicate"), "proposal_key")
+    there = live.select("uuid").distinct()
+    both = merges.filter("canonical <> duplicate").join(there.withColumnRenamed("uuid", "canonical"), "canonical", "left_semi").join(there.withColumnRenamed("uuid", "duplicate"), "duplicate", "left_semi")
+    first = both.groupBy("duplicate").agg(F.min_by(F.struct("proposal_key", "canonical"), "proposal_key").alias("_m")).select("duplicate", "_m.proposal_key", "_m.canonical")
+    failed = merges.select("proposal_key").join(first.select("proposal_key"), "proposal_key", "left_anti").join(both.select("proposal_key", F.lit("merged already").alias("_why")), "proposal_key", "left")
+    failed = failed.select("proposal_key", F.coalesce("_why", F.lit("fact missing")).alias("_why"))
+    statuses = told.join(failed, "proposal_key", "left").select("proposal_key", F.when(F.col("_why").isNull(), F.col("status")).otherwise("OPEN").alias("status"), F.coalesce("_why", "reason").alias("reason"))
+    merged = merge(live, first.select(F.col("duplicate").alias("uuid"), "canonical"), now)
+    stated = decisions.filter("action = 'apply'").groupBy("proposal_key").agg(F.max("statement").alias("_said"))
+    raised = told.filter("status = 'APPLIED'").join(proposals.filter("kind = 'promote'").select("proposal_key", "target"), "proposal_key").join(stated, "proposal_key")
+    text = "fact" if "fact" in facts.columns else "name"
+    new = raised.select(F.sha2(F.col("proposal_key").cast("binary"), 256).alias("uuid"), F.col("target").alias("group_id"), F.trim("_said").alias(text), now.alias("created_at"), now.alias("valid_at"), F.lit(False).alias("archived"))
+    return statuses, merged.unionByName(new, allowMissingColumns=True)
+
+
+def moved(proposals: DataFrame, statuses: DataFrame) -> DataFrame:
+    """The proposals with their new statuses; others keep theirs."""
+    new = statuses.select("proposal_key", F.col("status").alias("_status"))
+    return proposals.join(new, "proposal_key", "left").withColumn("status", F.coalesce("_status", "status")).drop("_status")
+
+
+def carried_out(facts: DataFrame, versions: DataFrame) -> DataFrame:
+    """The facts after the versions: new ones are added, changed ones replaced."""
+    kept = facts.join(versions.select("uuid"), "uuid", "left_anti")
+    return kept.unionByName(versions, allowMissingColumns=True)

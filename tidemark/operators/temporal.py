@@ -45,7 +45,7 @@ def forget(facts: DataFrame, targets: DataFrame, now: Column) -> DataFrame:
 
 def merge(facts: DataFrame, pairs: DataFrame, now: Column) -> DataFrame:
     """Versions that retire duplicates (uuid, canonical): an earlier end is kept, the transaction ends now."""
-    return facts.join(pairs.select("uuid", F.col("canonical").alias("merged_into")), "uuid").withColumns({"invalid_at": F.least("invalid_at", now), "expired_at": now, "archived": F.lit(True)})
+    return facts.drop("merged_into").join(pairs.select("uuid", F.col("canonical").alias("merged_into")), "uuid").withColumns({"invalid_at": F.least("invalid_at", now), "expired_at": now, "archived": F.lit(True)})
 
 
 def archive(facts: DataFrame, ids: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import compare, relations, screening
 from tidemark.operators import audit, components, retrieve, temporal, vectors
 
+from tidemark.plans.report_queries import SPACES
 from tidemark.sources.views import EDGE, FACT, NODE, edges, episodes, nodes, table
 from tidemark.sources.views import vectors as v_fact
 from tidemark.streaming import streams
@@ -226,10 +227,12 @@ def recall_mmr(spark, d):
 
 
 def novel_lines(spark, d):
-    """Of the newest lines of each seat (a pool of 84 for 7 places) those that say something new."""
+    """Of the newest lines of each seat (a pool of 84 for 7 places) those that say something which its newest document does not."""
     e = episodes(spark, d).select(F.col("group_id").alias("seat"), "uuid", F.posexplode(F.split("content", "\n")).alias("at", "line")).filter(F.trim("line") != "")
-    pool = e.withColumn("pos", F.row_number().over(W.partitionBy("seat").orderBy(F.desc("uuid"), "at"))).filter("pos <= 84")
-    return retrieve.novel(pool.select("seat", "pos", "line"))
+    newest = e.groupBy("seat").agg(F.max("uuid").alias("newest"))
+    e = e.join(newest, "seat")
+    pool = e.filter("uuid < newest").withColumn("pos", F.row_number().over(W.partitionBy("seat").orderBy(F.desc("uuid"), "at"))).filter("pos <= 84")
+    return retrieve.novel(pool.select("seat", "pos", "line"), e.filter("uuid = newest").select("seat", "line")).select("seat", "pos")
 
 
 def anchor_terms(spark, d):
@@ -381,7 +384,7 @@ LIVE = "SELECT user_id, strftime(time_bucket(INTERVAL 1 hour, ts), '%Y-%m-%d %H:
 FEED = """WITH f AS (SELECT l_suppkey % 20 AS scope, l_shipdate::DATE AS day, concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice::DECIMAL(12,2)) AS uuid, l_returnflag AS flag FROM lineitem),
 c AS (SELECT scope, day, 'added' AS op, uuid FROM f UNION ALL SELECT scope, day, 'retired', uuid FROM f WHERE flag = 'R')
 SELECT scope, day::VARCHAR AS day, op, uuid, count(*) FILTER (op = 'added') OVER w AS additions, count(*) FILTER (op = 'retired') OVER w AS retirements FROM c WINDOW w AS (PARTITION BY scope ORDER BY day, op, uuid)"""
-INGEST = r"SELECT DISTINCT source AS group_id, sha256(trim(regexp_replace(text, '[ \t\n\r\f\v]+', ' ', 'g'), ' ')) AS content_hash FROM documents"
+INGEST = rf"SELECT DISTINCT source AS group_id, sha256(trim(regexp_replace(text, '{SPACES}', ' ', 'g'), ' ')) AS content_hash FROM documents"
 
 RETRIES = """WITH r AS (SELECT event_id, coalesce((props->>'$.k')::INTEGER, 0) AS k, time_bucket(INTERVAL 10 minutes, ts) + INTERVAL 10 minutes AS first FROM events WHERE event_type = 'error'),
 s AS (SELECT event_id, least(k + 1, 5)::INTEGER AS retry_count, CASE WHEN k < 5 THEN 'replayed' ELSE 'replay_failed' END AS status, first + to_minutes((10 * least(k, 4))::INTEGER) AS settled FROM r)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemark.functions import screening
 from tidemark.operators import stats, temporal
 from tidemark.sources.views import EDGE, EPISODE, LOG, NODE, edges, episodes, log, nodes, table
 
@@ -188,10 +189,12 @@ def hash_coverage(spark, d):
 
 def content_hash(column):
     """Canonical content key: white space collapsed, case kept."""
-    return F.sha2(F.trim(F.regexp_replace(column, r"[ \t\n\r\f\x0B]+", " ")).cast("binary"), 256)
+    return F.sha2(screening.spaced(column).cast("binary"), 256)
 
 
-_HASH = r"sha256(trim(regexp_replace(content, '[ \t\n\r\f\v]+', ' ', 'g'), ' '))"
+#: White space as Unicode has it, for DuckDB.
+SPACES = r"[\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+_HASH = rf"sha256(trim(regexp_replace(content, '{SPACES}', ' ', 'g'), ' '))"
 COVERAGE = f"""WITH {EPISODE}, e AS (SELECT *, CASE WHEN uuid % 10 <> 0 THEN {_HASH} END AS h FROM v_episode), r AS (SELECT group_id, count(*) AS repeated FROM (SELECT group_id, h FROM e WHERE h IS NOT NULL GROUP BY ALL HAVING count(*) > 1) GROUP BY 1)
 SELECT e.group_id, count(h) AS hashed, count(*) - count(h) AS missing, coalesce(max(repeated), 0) AS repeated FROM e LEFT JOIN r USING (group_id) GROUP BY 1"""
 

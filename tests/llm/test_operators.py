@@ -195,6 +195,13 @@ def test_bm25(spark):
     assert bm25.top_k(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_bm25_of_many_shards(spark, documents):
+    df = documents.select("doc_id", "text")
+    asked = df.filter("doc_id % 20 = 0")
+    rows = [sorted(map(tuple, bm25.top_k(x, asked, k=5).collect())) for x in (df.coalesce(1), df.repartition(24))]
+    assert rows[0] == rows[1] and len(rows[0]) > 50
+
+
 def test_bm25_against_all_scores(spark, documents):
     df = spark.createDataFrame(documents[["doc_id", "text"]])
     got = {(r["query_id"], r["rank"]): (r["doc_id"], round(r["score"], 6)) for r in bm25.top_k(df, df.filter("doc_id % 50 = 0"), k=5).collect()}

@@ -199,7 +199,8 @@ def test_bm25_of_many_shards(spark, documents):
     df = spark.createDataFrame(documents[["doc_id", "text"]])
     asked = df.filter("doc_id % 20 = 0")
     rows = [sorted(map(tuple, bm25.top_k(x, asked, k=5).collect())) for x in (df.coalesce(1), df.repartition(24))]
-    assert rows[0] == rows[1] and len(rows[0]) > 50
+    assert rows[0]
+    assert rows[0] == rows[1], [len(rows[0]), *[x for x in zip(*rows) if x[0] != x[1]][:3]]
 
 
 def test_bm25_against_all_scores(spark, documents):

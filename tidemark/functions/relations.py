@@ -43,3 +43,13 @@ def conformity(facts: DataFrame, allowed: DataFrame) -> DataFrame:
     anywhere = allowed.filter("source_type = 'Entity' and target_type = 'Entity'").select("name")
     odd = facts.join(F.broadcast(allowed), ["source_type", "target_type", "name"], "left_anti").join(F.broadcast(anywhere), "name", "left_anti")
     return odd.groupBy("source_type", "target_type", "name").agg(F.count("*").alias("n"))
+
+
+def vocabulary_report(facts: DataFrame, name: str = "name") -> DataFrame:
+    """(kind, old, new, n) of every relation name: a ``rename`` onto its canonical form, ``canonical`` itself, ``residual``, or ``one-off`` on a single fact.
+
+    Residual names and one-offs carry meaning that the vocabulary lacks: they keep their names. Null and empty names are no names.
+    """
+    told = report(facts.filter(F.col(name).isNotNull() & (F.col(name) != "")), name)
+    kind = F.when(F.col("old") != F.col("new"), "rename").when(F.col("old").isin(CANONICAL), "canonical").when(F.col("n") == 1, "one-off").otherwise("residual")
+    return told.select(kind.alias("kind"), "old", "new", "n")

@@ -131,3 +131,15 @@ def test_chat_roles_come_back_as_they_are(spark, tmp_path):
     assert sorted(tuple(r) for r in chat.op9_chat_format(spark, str(tmp_path)).select(*columns).collect()) == expected
     share = spark.createDataFrame([(1, [("Human", "a"), ("gpt", "b")])], "k long, conversations array<struct<from:string,value:string>>")
     assert [t.role for t in chat.unify(share, "k").first().turns] == ["user", "assistant"]
+
+
+def test_training_is_bounded_by_bytes(spark):
+    from tidemark.llm import quality
+
+    assert quality.within([(1, 10, 5), (2, 20, 9), (3, 30, 4), (4, 40, 0)], 9) == [10, 30, 40] and quality.within([], 9) == []
+    docs = spark.createDataFrame([(i, f"good plain words {i}" if i % 2 else f"zz qq {i}" * 400) for i in range(60)], "doc_id long, text string")
+    labels = docs.selectExpr("doc_id", "cast(doc_id % 2 as int) as quality")
+    small = quality.learn(docs, labels, budget=500)
+    scored = {r["doc_id"]: r["score"] for r in quality.score(docs, small).collect()}
+    whole = {r["doc_id"]: r["score"] for r in quality.score(docs, quality.learn(docs, labels)).collect()}
+    assert all(s > 0.5 for s in scored.values()) and all((s > 0.5) == bool(k % 2) for k, s in whole.items())

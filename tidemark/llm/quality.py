@@ -10,12 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import mix, piece_hashes, read, runs, text_bytes, word_slices
+from .common import Scratch, mix, piece_hashes, read, runs, text_bytes, word_slices
 
 #: Rows of the embedding table, its width.
 TABLE, WIDTH = 1 << 18, 8
 #: Labelled documents (the smallest hashes of their ids) that training sees at most.
 SAMPLE_ROWS = 3000
+#: Bytes of their texts together; in the order of the hashes, a text that does not fit in what is left is passed over, whole.
+SAMPLE_BYTES = 64 << 20
 EPOCHS, RATE, SEED = 6, 0.5, 7
 #: A step moves a document's average by this share of the rate, however many features it has.
 STEP = 0.2
@@ -98,17 +100,30 @@ def train(texts: list[bytes], labels: list[int], epochs: int = EPOCHS, rate: flo
     return Model(table, out, bias)
 
 
-def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_ROWS, text: str = "text", key: str = "doc_id", label: str = "quality") -> Model:
-    """Train on at most ``sample`` labelled documents outside the held-out fold. Repeated labels of a key: the largest; repeated texts: the least."""
+def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_ROWS, text: str = "text", key: str = "doc_id", label: str = "quality", budget: int = SAMPLE_BYTES) -> Model:
+    """Train on at most ``sample`` labelled documents outside the held-out fold, of ``budget`` bytes together. Repeated labels of a key: the largest; repeated texts: the least."""
     fold = F.crc32(F.col(key).cast("string").cast("binary")) % FOLDS
     known = labels.filter(F.col(label).isin(0, 1) & F.col(key).isNotNull()).filter(fold != HELD_OUT).groupBy(key).agg(F.max(label).cast("int").alias("_label"))
     chosen = known.orderBy(F.xxhash64(F.col(key).cast("string")), key).limit(sample)
     # one text of each key, so that a key of many rows does not fill the driver
-    rows = docs.select(key, text).join(F.broadcast(chosen), key).groupBy(key).agg(F.min(F.coalesce(F.col(text), F.lit(""))).cast("binary").alias("t"), F.first("_label").alias("_label")).collect()
-    rows = sorted((int(r[key]), bytes(r["t"]), int(r["_label"])) for r in rows)
+    one = docs.select(key, text).join(F.broadcast(chosen), key).groupBy(key).agg(F.min(F.coalesce(F.col(text), F.lit(""))).cast("binary").alias("t"), F.first("_label").alias("_label"))
+    with Scratch(docs.sparkSession) as scratch:
+        table = scratch.saved(one.select(key, "t", "_label", F.octet_length("t").alias("size"), F.xxhash64(F.col(key).cast("string")).alias("h")))
+        taken = within(sorted((r["h"], int(r[key]), r["size"]) for r in table.select("h", key, "size").collect()), budget)
+        rows = sorted((int(r[key]), bytes(r["t"]), int(r["_label"])) for r in table.filter(F.col(key).isin(taken)).select(key, "t", "_label").collect())
     return train([r[1] for r in rows], [r[2] for r in rows])
 
 
+def within(sizes: list[tuple[int, int, int]], budget: int) -> list[int]:
+    """Of (hash, key, size) in order the keys whose sizes fit in ``budget`` together."""
+    taken = []
+    for _, key, size in sizes:
+        if size <= budget:
+            taken.append(key)
+            budget -= size
+    return taken
+
+
 def score(df: DataFrame, model: Model, text: str = "text", out: str = "score", keep: list[str] | None = None) -> DataFrame:
     """Add ``out``: the probability of label 1 for each whole text.
 

@@ -88,7 +88,7 @@ SELECT r.conv_id, n.conv_id IS NOT NULL AS verified, coalesce(given <> steps, fa
 
 def confusion(spark, d):
     """Guard verdicts against labels (archived stands for a right retirement), as counts and rates."""
-    a = retired_and_written(spark, d).filter("window = 3").join(edges(spark, d).select("uuid", "archived"), "uuid")
+    a = retired_and_written(spark, d).filter("window = 3").join(edges(spark, d).filter("expired_at is not null").select("uuid", "archived"), "uuid")
     g = a.groupBy("archived").agg(F.count("*").alias("decidable"), F.count_if("justified").alias("allowed"))
     low, high = stats.wilson(F.col("allowed"), F.col("decidable"))
     return g.select("archived", "decidable", "allowed", F.round(low, 6).alias("low"), F.round(high, 6).alias("high"))

@@ -5,7 +5,8 @@ import random
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import audit
+from tidemark.functions import compare
+from tidemark.operators import admission, audit
 
 
 def stages(spark):
@@ -62,3 +63,16 @@ def test_cohorts_move_few_rows_of_each_fact(spark):
     df = spark.createDataFrame(rows, FACTS)
     # 3 keys of each written and of each retired fact, some of them in two spans; an offset's row of each key was 28
     assert moved(spark, lambda: audit.cohorts(df, df, [0, 1, 3]).count()) < 12 * 2000
+
+
+def test_a_fact_is_cut_into_words_once(spark):
+    """The guard's plan has the words of a fact below the join with what its write has written, not above."""
+    rows = spark.createDataFrame([("a", 1, 1, 2, "N", "The red bolt costs 3.00 USD")], "uuid string, episode long, source long, target long, name string, fact string")
+    plan = admission.guard(rows, rows, "episode")._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" in plan and "regexp_extract_all" not in plan[: plan.index("Join Inner")]
+
+
+def test_repeats_count_in_overlaps(spark):
+    rows = spark.createDataFrame([("red red bolt 3", "red red red nut 4"), ("The DB costs 3", "the DB cost 3"), (None, "a bolt"), ("AB x", "x CD")], "a string, b string")
+    got = rows.select(F.round(compare.overlap(compare.content(F.col("a")), compare.content(F.col("b"))), 4).alias("o"), compare.values_differ(F.col("a"), F.col("b")).alias("d")).collect()
+    assert [tuple(r) for r in got] == [(0.4, True), (1.0, False), (0.0, False), (0.5, True)]

@@ -24,17 +24,21 @@ def differing(a: Column, b: Column) -> Column:
     return F.array_sort(F.array_union(F.array_except(tokens(a), tokens(b)), F.array_except(tokens(b), tokens(a))))
 
 
+def values(text: Column) -> Column:
+    """The distinct numbers, versions, prices and acronyms of a statement, sorted."""
+    value = lambda t: t.rlike(r"\d|^[.,:/%_+-]*[A-Z][A-Z0-9]{1,5}[.,:/%_+-]*$")
+    return F.array_sort(F.array_distinct(F.filter(tokens(text), value)))
+
+
 def values_differ(a: Column, b: Column) -> Column:
     """Whether a number, version, price or acronym is in one statement only."""
-    return F.exists(differing(a, b), lambda t: F.regexp_replace(t, r"^[.,:/%_+-]+|[.,:/%_+-]+$", "").rlike(r"\d|^[A-Z][A-Z0-9]{1,5}$"))
+    return values(a) != values(b)
 
 
 def stem(token: Column) -> Column:
-    t = F.regexp_replace(F.lower(token), r"""^[.,:;/%_+'"()\[\]-]+|[.,:;/%_+'"()\[\]-]+$""", "")
-    out = t
-    for suffix in reversed(SUFFIXES):
-        out = F.when(F.endswith(t, F.lit(suffix)) & (F.length(t) >= len(suffix) + 3), F.left(t, F.length(t) - len(suffix))).otherwise(out)
-    return out
+    bare = F.regexp_replace(F.lower(token), r"""^[.,:;/%_+'"()\[\]-]+|[.,:;/%_+'"()\[\]-]+$""", "")
+    # the longest suffix is tried first
+    return F.regexp_replace(bare, rf"(?s)^(.{{3,}}?)({'|'.join(SUFFIXES)})\z", "$1")
 
 
 def content(text: Column) -> Column:
@@ -42,16 +46,22 @@ def content(text: Column) -> Column:
     return F.filter(F.transform(tokens(text), stem), lambda s: (s != "") & ~s.isin(FUNCTION_WORDS))
 
 
-def counts(words: Column) -> Column:
-    return F.map_from_entries(F.transform(F.array_distinct(words), lambda w: F.struct(w.alias("w"), F.size(F.filter(words, lambda x: x == w)).alias("n"))))
+def numbered(words: Column) -> Column:
+    """Words with the number of times they came before, so that the repeats of a multiset are entries of a set. ``words`` is named for
+    each word: it should be a column, not an expression."""
+    return F.transform(words, lambda w, i: F.concat(w, F.lit("\x01"), F.size(F.filter(F.slice(words, 1, i), lambda x: x == w)).cast("string")))
+
+
+def numbered_overlap(a: Column, b: Column) -> Column:
+    """``overlap`` of words that are numbered already, as once for each statement of many pairs."""
+    return F.coalesce(F.try_divide(F.size(F.array_intersect(a, b)), F.greatest(F.size(a), F.size(b))), F.lit(0.0))
 
 
 def shared(a: Column, b: Column) -> Column:
     """Size of the multiset intersection."""
-    both = F.map_zip_with(counts(a), counts(b), lambda _, x, y: F.least(F.coalesce(x, F.lit(0)), F.coalesce(y, F.lit(0))))
-    return F.aggregate(F.map_values(both), F.lit(0), lambda s, x: s + x)
+    return F.size(F.array_intersect(numbered(a), numbered(b)))
 
 
 def overlap(a: Column, b: Column) -> Column:
-    """Shared content words over the longer statement's; 0 without words."""
-    return F.coalesce(F.try_divide(shared(a, b), F.greatest(F.size(a), F.size(b))), F.lit(0.0))
+    """Shared content words, repeats counted, over the longer statement's; 0 without words."""
+    return numbered_overlap(numbered(a), numbered(b))

@@ -57,14 +57,15 @@ def guard(retired: DataFrame, written: DataFrame, write: str) -> DataFrame:
     case; unknown ends of the retired fact abstain. Lexical: a new fact shares SUBJECT of its content words and
     differs by a value. A retirement stands if both hold; writes without new facts retire as they like and have no row.
     """
-    new = written.select(F.col(write).alias("_w"), F.col("source").alias("_s"), F.col("target").alias("_t"), F.lower("name").alias("_n"), F.col("fact").alias("_f"))
-    met = retired.select("uuid", F.col(write).alias("_w"), "source", "target", F.lower("name").alias("name"), "fact").join(new, "_w")
+    # words and values once for each fact: a fact meets all those of its write
+    told = lambda facts: facts.select("*", compare.content(F.col("fact")).alias("_c")).withColumns({"_x": compare.numbered(F.col("_c")), "_u": compare.values(F.col("fact"))})
+    new = told(written).select(F.col(write).alias("_w"), F.col("source").alias("_s"), F.col("target").alias("_t"), F.lower("name").alias("_n"), F.col("_x").alias("_y"), F.col("_u").alias("_v"))
+    met = told(retired).select("uuid", F.col(write).alias("_w"), "source", "target", F.lower("name").alias("name"), "_x", "_u").join(new, "_w")
     s, t = F.col("source"), F.col("target")
     pair = ((s == F.col("_s")) & (t == F.col("_t"))) | ((s == F.col("_t")) & (t == F.col("_s")))
     same = F.coalesce(pair | (((s == F.col("_s")) | (t == F.col("_t"))) & (F.col("name") == F.col("_n"))), F.lit(False))
-    shared = compare.overlap(F.col("_x"), F.col("_y"))
-    pairs = met.withColumns({"_x": compare.content(F.col("fact")), "_y": compare.content(F.col("_f"))})
-    rows = pairs.select("uuid", (same | s.isNull() | t.isNull()).alias("same"), shared.alias("shared"), compare.values_differ(F.col("fact"), F.col("_f")).alias("differ"))
+    shared = compare.numbered_overlap(F.col("_x"), F.col("_y"))
+    rows = met.select("uuid", (same | s.isNull() | t.isNull()).alias("same"), shared.alias("shared"), (F.col("_u") != F.col("_v")).alias("differ"))
     g = rows.groupBy("uuid").agg(F.bool_or("same").alias("structural"), F.bool_or((F.col("shared") >= SUBJECT) & F.col("differ")).alias("lexical"), F.max("shared").alias("closest"))
     reason = F.when(~F.col("structural"), "nothing written could replace it").when(~F.col("lexical"), F.concat(F.lit("no subject in common, best overlap "), F.format_number("closest", 2)))
     return g.select("uuid", "structural", "lexical", reason.alias("reason"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import compare
 from tidemark.operators import admission, audit
+from tidemark.streaming import streams
 
 
 def stages(spark):
@@ -76,3 +77,14 @@ def test_repeats_count_in_overlaps(spark):
     rows = spark.createDataFrame([("red red bolt 3", "red red red nut 4"), ("The DB costs 3", "the DB cost 3"), (None, "a bolt"), ("AB x", "x CD")], "a string, b string")
     got = rows.select(F.round(compare.overlap(compare.content(F.col("a")), compare.content(F.col("b"))), 4).alias("o"), compare.values_differ(F.col("a"), F.col("b")).alias("d")).collect()
     assert [tuple(r) for r in got] == [(0.4, True), (1.0, False), (0.0, False), (0.5, True)]
+
+
+def test_sessions_of_all_files(spark, tmp_path):
+    """Open sessions, late events and a session that two files share are in the result."""
+    at = lambda d, h, m: dt.datetime(2024, 1, d, h, m)
+    files = [[(1, at(1, 0, 0)), (1, at(1, 0, 40)), (2, at(9, 0, 0))], [(1, at(1, 0, 20)), (1, at(1, 1, 10)), (None, at(1, 0, 0)), (2, at(9, 0, 10))]]
+    for i, rows in enumerate(files):
+        spark.createDataFrame(rows, "user_id long, at timestamp").coalesce(1).write.mode("append").parquet(str(tmp_path / "events"))
+    events = spark.readStream.schema("user_id long, at timestamp").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "events"))
+    got = {(r.user_id, r.start, r.calls) for r in streams.all_sessions(events).collect()}
+    assert got == {(1, "2024-01-01 00:00:00", 3), (1, "2024-01-01 01:10:00", 1), (None, "2024-01-01 00:00:00", 1), (2, "2024-01-09 00:00:00", 2)}

@@ -6,7 +6,8 @@ import random
 from pyspark.sql import functions as F
 
 from tidemark.functions import compare
-from tidemark.operators import admission, audit
+from tidemark.operators import admission, audit, scopes
+from tidemark.plans import brief_queries
 from tidemark.streaming import streams
 
 
@@ -88,3 +89,10 @@ def test_sessions_of_all_files(spark, tmp_path):
     events = spark.readStream.schema("user_id long, at timestamp").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "events"))
     got = {(r.user_id, r.start, r.calls) for r in streams.all_sessions(events).collect()}
     assert got == {(1, "2024-01-01 00:00:00", 3), (1, "2024-01-01 01:10:00", 1), (None, "2024-01-01 00:00:00", 1), (2, "2024-01-09 00:00:00", 2)}
+
+
+def test_words_of_texts_are_not_sent_to_the_driver(spark):
+    parts = spark.createDataFrame([("a", "red bolt"), ("b", "blue nut")], "uuid string, text string")
+    plan = scopes.mentions(parts, spark.createDataFrame([("red",)], "name string"))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [word" in plan
+    assert "SortMergeJoin [word" in brief_queries.name_mentions(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()

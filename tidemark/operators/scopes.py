@@ -22,7 +22,8 @@ def mentions(texts: DataFrame, names: DataFrame, text: str = "text", key: str =
     known = names.select("name").distinct().withColumn("word", F.lower(F.regexp_extract("name", f"({WORD})", 1))).filter("word <> ''")
     plain = F.lower("name") == F.col("word")
     words = texts.filter(F.col(key).isNotNull()).select(key, F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(f"({WORD})"), 1))).alias("word"))
-    met = words.join(known.withColumn("plain", plain), "word").select(key, "name", "plain")
+    # the planner takes the words for as small as their texts, and would send them all to the driver
+    met = words.join(known.withColumn("plain", plain).hint("merge"), "word").select(key, "name", "plain")
     longer = met.filter(~F.col("plain")).select(key, "name").distinct().join(texts.select(key, F.col(text).alias("_text")), key)
     # the name stands for itself, between word boundaries
     pattern = F.concat(F.lit(r"(?iU)\b\Q"), F.replace("name", F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E\b"))

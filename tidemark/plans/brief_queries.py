@@ -94,7 +94,8 @@ def name_mentions(spark, d):
     said = p.select("p_partkey", F.concat(F.lit("The "), F.upper("p_name"), F.lit("-like "), F.col("p_type"), F.lit(" of "), F.col("p_brand")).alias("text"))
     names = p.select(F.col("p_name").alias("name")).union(p.select(F.substring_index("p_name", " ", -1))).union(p.select(F.lower("p_type"))).distinct()
     words = said.select("p_partkey", F.lower("text").alias("t"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("([a-z0-9]+)"), 1))).alias("word"))
-    met = words.join(names.withColumn("word", F.regexp_extract("name", "[a-z0-9]+", 0)), "word")
+    # the planner takes the words for as small as their texts, and would send them all to the driver
+    met = words.join(names.withColumn("word", F.regexp_extract("name", "[a-z0-9]+", 0)).hint("merge"), "word")
     whole = F.contains(F.concat(F.lit(" "), F.regexp_replace("t", "[^a-z0-9]+", " "), F.lit(" ")), F.concat(F.lit(" "), "name", F.lit(" ")))
     return met.filter(whole).groupBy("name").agg(F.count_distinct("p_partkey").alias("mentions"))
 

@@ -6,7 +6,7 @@ import random
 from pyspark.sql import functions as F
 
 from tidemark.functions import compare
-from tidemark.operators import admission, audit, scopes
+from tidemark.operators import admission, audit, graph, scopes
 from tidemark.plans import brief_queries
 from tidemark.streaming import streams
 
@@ -96,3 +96,14 @@ def test_words_of_texts_are_not_sent_to_the_driver(spark):
     plan = scopes.mentions(parts, spark.createDataFrame([("red",)], "name string"))._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin [word" in plan
     assert "SortMergeJoin [word" in brief_queries.name_mentions(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_hops_move_no_links(spark):
+    links = spark.range(3000).select(F.concat(F.lit("a"), F.col("id") % 1500).alias("source"), F.concat(F.lit("b"), F.col("id")).alias("target"))
+    centres = spark.createDataFrame([(1, "a1"), (2, "b7"), (3, None)], "query long, uuid string")
+    before = set(stages(spark))
+    got = {tuple(r) for r in graph.hops_from(links, centres, 2).collect()}
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    assert got == {(1, "a1", 0), (1, "b1", 1), (1, "b1501", 1), (2, "b7", 0), (2, "a7", 1), (2, "b1507", 2)}
+    # small frontiers go to the links; both ways of all links were shuffled before
+    assert sum(x.shuffleWriteRecords() for i, x in stages(spark).items() if i not in before) < 3000

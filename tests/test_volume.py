@@ -5,7 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from tidemark.functions import compare
+from tidemark.functions import compare, screening
 from tidemark.operators import admission, audit, graph, scopes
 from tidemark.plans import brief_queries
 from tidemark.streaming import streams
@@ -107,3 +107,12 @@ def test_hops_move_no_links(spark):
     assert got == {(1, "a1", 0), (1, "b1", 1), (1, "b1501", 1), (2, "b7", 0), (2, "a7", 1), (2, "b1507", 2)}
     # small frontiers go to the links; both ways of all links were shuffled before
     assert sum(x.shuffleWriteRecords() for i, x in stages(spark).items() if i not in before) < 3000
+
+
+def test_kinds_of_unchanged_texts(spark):
+    """Marks are counted only where a text has changed; texts that bring marks of their own, and nulls, have no kinds."""
+    rows = spark.createDataFrame([("plain [REDACTED:jwt]",), (None,), ("password = hunter22",)], "text string")
+    df = screening.redact(rows, "text")
+    assert [r.kinds for r in df.collect()] == [[], [], ["assigned_secret"]]
+    plan = df._jdf.queryExecution().analyzed().toString()
+    assert "CASE WHEN (_c" in plan

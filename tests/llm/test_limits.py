@@ -6,6 +6,8 @@ import time
 import zlib
 
 import duckdb
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from tidemark.llm import chat, html, pii, secrets
@@ -143,3 +145,27 @@ def test_training_is_bounded_by_bytes(spark):
     scored = {r["doc_id"]: r["score"] for r in quality.score(docs, small).collect()}
     whole = {r["doc_id"]: r["score"] for r in quality.score(docs, quality.learn(docs, labels)).collect()}
     assert all(s > 0.5 for s in scored.values()) and all((s > 0.5) == bool(k % 2) for k, s in whole.items())
+
+
+def test_bm25_multiplies_common_terms_and_tells_near_scores_apart():
+    from tidemark.llm import bm25
+
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{int(x)}" for x in rng.zipf(1.3, rng.integers(1, 300)) if x < 5000) for _ in range(1500)]
+    texts += [texts[7] + " x" + "y" * i for i in range(20)]
+    counted = list(bm25.term_counts(pa.array(texts)))
+    terms, places = np.unique(np.concatenate([t for t, _ in counted]), return_inverse=True)
+    counts = np.concatenate([c for _, c in counted]).astype("<i4")
+    sizes = np.array([len(t) for t, _ in counted], "<i4")
+    mean = counts.sum() / len(texts)
+    shard = bm25.Shard({"ids": list(range(len(texts))), "sizes": sizes.tobytes(), "terms": terms.tobytes(), "places": places.astype("<i4").tobytes(), "counts": counts.tobytes()}, mean)
+    assert len(shard.docs) < len(places) / 2 < np.count_nonzero(shard.matrix)
+    idf = np.log(1 + (len(texts) - (df := np.bincount(places)) + 0.5) / (df + 0.5))
+    doc = np.repeat(np.arange(len(texts)), sizes)
+    impact = counts * 2.2 / (counts + 1.2 * (0.25 + 0.75 * np.bincount(doc, counts)[doc] / mean))
+    asked = [(i, counted[i][0], idf[np.searchsorted(terms, counted[i][0])], 0.0) for i in range(0, 1520, 10)]
+    got = {name: (docs.tolist(), scores.tolist()) for name, docs, scores in shard.tops(asked, 10)}
+    for name, own, _, _ in asked:
+        scores = np.round(np.bincount(doc, np.where(np.isin(terms[places], own), idf[places] * impact, 0), len(texts)), 9)
+        best = [i for i in np.lexsort((np.arange(len(texts)), -scores))[:10].tolist() if scores[i] > 0]
+        assert got.get(name, ([], [])) == (best, scores[best].tolist())

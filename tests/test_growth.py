@@ -210,3 +210,52 @@ def test_hops_of_many_queries_have_their_own_visited_nodes(spark):
     facts = spark.createDataFrame(links, "source string, target string")
     got = graph.hops_from(facts, spark.createDataFrame(centres, "query long, uuid string"), 3).collect()
     assert {tuple(r) for r in got} == expected and len(got) == len(expected)
+
+
+class Counted:
+    """A state handle that counts what goes to the store."""
+
+    def __init__(self):
+        self.value, self.timers, self.calls = None, set(), 0
+
+    def getValueState(self, *_):
+        return self
+
+    def getMapState(self, *_):
+        raise AssertionError("one trip to the store for each item")
+
+    def get(self):
+        self.calls += 1
+        return self.value
+
+    def update(self, value):
+        self.calls += 1
+        self.value = value
+
+    def registerTimer(self, at):
+        self.calls += 1
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.calls += 1
+        self.timers.discard(at)
+
+
+def test_retry_queue_reads_its_state_once_a_call():
+    from types import SimpleNamespace as Names
+
+    handle, queue = Counted(), retry.Queue(5, 3, 600_000)
+    queue.init(handle)
+    base = int(START.replace(tzinfo=dt.UTC).timestamp() * 1000)
+    rows = [Names(item=i, ms=base + i * 60_000, fails=i % 7) for i in range(500)]
+    assert not list(queue.handleInputRows(("a",), iter(rows), None))
+    assert len(handle.timers) == 1 and handle.calls == 3
+    until, out = base + 500 * 60_000, {}
+    while handle.timers and min(handle.timers) <= until:
+        beat = min(handle.timers)
+        handle.timers.discard(beat)
+        done = queue.handleExpiredTimer(("a",), Names(getCurrentWatermarkInMs=lambda: until), Names(getExpiryTimeInMs=lambda beat=beat: beat))
+        out |= {r.item: (r.retry_count, r.status) for r in done}
+    start = dt.datetime.fromtimestamp(0, dt.UTC)
+    expected = brute_queue([("a", r.item, start + dt.timedelta(milliseconds=r.ms), r.fails) for r in rows], 3, start + dt.timedelta(milliseconds=until))
+    assert out == expected and out and handle.calls == 6

@@ -6,8 +6,8 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tidemark.sources.shared import remove, shared_dir
@@ -18,10 +18,11 @@ ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvide
 
 
 class Queue(StatefulProcessor):
-    """State of one queue: its waiting items (when they came, how often they were tried, how many tries fail), and the last beat.
+    """State of one queue: its waiting items (when they came, how often they were tried, how many tries fail), the last beat and the timer, as one value.
 
     A beat tries the ``per_run`` oldest items that came before it. Beats lie on a grid of event time and run once the watermark has passed them,
-    so the outcome does not hang on how the input is cut into batches, nor on restarts.
+    so the outcome does not hang on how the input is cut into batches, nor on restarts. The state is read and written once a call, and one timer
+    stands for the first beat that has something to do.
     """
 
     def __init__(self, most: int, per_run: int, beat_ms: int):
@@ -29,48 +30,55 @@ class Queue(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getMapState("waiting", "item long", "at long, tried int, fails int")
-        self.last = handle.getValueState("last", "beat long")
+        self.state = handle.getValueState("queue", "last long, timer long, item array<long>, at array<long>, tried array<int>, fails array<int>")
 
     def next_beat(self, at: int) -> int:
         return (at // self.beat + 1) * self.beat
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        beats = set()
-        for part in rows:
-            for item, at, fails in zip(part["item"].tolist(), part["at"].tolist(), part["fails"].tolist(), strict=True):
-                ms = int(at.timestamp() * 1000)
-                if not self.waiting.containsKey((item,)):
-                    self.waiting.updateValue((item,), (ms, 0, int(fails)))
-                    beats.add(self.next_beat(ms))
-        known = set(self.handle.listTimers()) if beats else set()
-        for beat in beats - known:
-            self.handle.registerTimer(beat)
-        yield pd.DataFrame({"queue": pd.Series([], dtype=object), "item": pd.Series([], dtype="int64"), "retry_count": pd.Series([], dtype="int32"), "status": pd.Series([], dtype=object), "settled_at": pd.Series([], dtype="datetime64[ns]")})
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def load(self) -> tuple[int | None, int | None, dict[int, list[int]]]:
+        """The last beat, the timer, and [at, tried, fails] of each waiting item."""
+        row = self.state.get()
+        return (row[0], row[1], {i: list(v) for i, *v in zip(*row[2:], strict=True)}) if row else (None, None, {})
+
+    def keep(self, last: int | None, timer: int | None, items: dict[int, list[int]]) -> None:
+        lists = zip(*((i, *v) for i, v in items.items()), strict=True) if items else ([], [], [], [])
+        self.state.update((last, timer, *map(list, lists)))
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        last, timer, items = self.load()
+        first = timer
+        for row in rows:
+            if row.item not in items:
+                items[row.item] = [row.ms, 0, row.fails]
+                beat = self.next_beat(row.ms)
+                first = beat if first is None else min(first, beat)
+        if first != timer:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(first)
+        self.keep(last, first, items)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         beat, until = expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs()
-        done = self.last.get()
-        beat = max(beat, done[0] + self.beat if done else beat)
-        items = {k[0]: list(v) for k, v in self.waiting.iterator()}
+        last, _, items = self.load()
+        beat = beat if last is None else max(beat, last + self.beat)
         out = []
         while items and beat <= until:
-            due = sorted((at, item) for item, (at, _, _) in items.items() if at < beat)[: self.per_run]
+            due = sorted((v[0], item) for item, v in items.items() if v[0] < beat)[: self.per_run]
             for _, item in due:
                 items[item][1] += 1
-                at, tried, fails = items[item]
+                _, tried, fails = items[item]
                 if tried > fails or tried >= self.most:
-                    out.append((key[0], item, tried, "replayed" if tried > fails else "replay_failed", pd.Timestamp(beat, unit="ms")))
+                    out.append(Row(queue=key[0], item=item, retry_count=tried, status="replayed" if tried > fails else "replay_failed", ms=beat))
                     del items[item]
-                    self.waiting.removeKey((item,))
-            self.last.update((beat,))
+            last = beat
             # on to the beat after the first one that has something to do
             beat = max(beat + self.beat, self.next_beat(min((v[0] for v in items.values()), default=0)))
-        for item, (at, tried, fails) in items.items():
-            self.waiting.updateValue((item,), (at, tried, fails))
-        if items and beat not in set(self.handle.listTimers()):
+        if items:
             self.handle.registerTimer(beat)
-        yield pd.DataFrame(out, columns=["queue", "item", "retry_count", "status", "settled_at"]).astype({"item": "int64", "retry_count": "int32"})
+        self.keep(last, beat if items else None, items)
+        return iter(out)
 
     def close(self) -> None:
         pass
@@ -100,9 +108,10 @@ def settled(calls: DataFrame, path: str, state: str, most: int = MOST, per_run:
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
-    ready = calls.filter("queue is not null and item is not null and at is not null").selectExpr("queue", "item", "at", "coalesce(fails, 0) as fails")
+    ready = calls.filter("queue is not null and item is not null and at is not null").selectExpr("queue", "item", "at", "unix_millis(at) as ms", "coalesce(fails, 0) as fails")
     with rocks(spark):
-        kept = ready.withWatermark("at", delay).groupBy("queue").transformWithStateInPandas(Queue(most, per_run, beat_minutes * 60_000), SETTLED, "Append", "EventTime")
+        kept = ready.withWatermark("at", delay).groupBy("queue").transformWithState(Queue(most, per_run, beat_minutes * 60_000), "queue string, item long, retry_count int, status string, ms long", "Append", "EventTime")
+        kept = kept.withColumn("settled_at", F.timestamp_millis("ms")).drop("ms")
         kept.writeStream.outputMode("append").option("checkpointLocation", state).trigger(availableNow=True).foreachBatch(write).queryName(f"q{uuid.uuid4().hex}").start().awaitTermination()
     return spark.read.schema(SETTLED).parquet(f"{path}/*")
 

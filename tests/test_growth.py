@@ -212,6 +212,21 @@ def test_hops_of_many_queries_have_their_own_visited_nodes(spark):
     assert {tuple(r) for r in got} == expected and len(got) == len(expected)
 
 
+def test_pair_overlap_cuts_each_text_once(spark):
+    from tidemark.functions import compare
+    from tidemark.plans.registry import QUERIES
+
+    plan = QUERIES["pair_overlap"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    # no text is cut in what stands above the joins
+    assert plan.count("regexp_extract_all") == 3 and "regexp" not in plan[: plan.index("Join")]
+    texts = spark.createDataFrame([("The USA orders 17", "the big rings, A1 17 rings."), ("ones 2", ""), ("", "x"), ("One of", "the cities")], "a string, b string")
+    halves = compare.cut(compare.cut(texts, "a").withColumn("_a", F.struct(*compare.CUT)), "b").select("a", "b", "_a", F.struct(*compare.CUT).alias("_b"))
+    got = halves.select("a", "b", *compare.stated(*([F.col(x)[c] for c in compare.CUT] for x in ("_a", "_b"))))
+    whole = F.concat_ws(" ", "a", "b")
+    wrong = got.filter((F.col("_words") != compare.tokens(whole)) | (F.col("_values") != compare.values(whole)) | (F.col("_stems") != compare.content(whole)))
+    assert got.count() == 4 and wrong.count() == 0
+
+
 class Counted:
     """A state handle that counts what goes to the store."""
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 TOKEN = r"([A-Za-z0-9$€£][A-Za-z0-9$€£.,:/%_+-]*)"
@@ -21,13 +21,22 @@ def tokens(text: Column) -> Column:
 
 def differing(a: Column, b: Column) -> Column:
     """Tokens of one statement only."""
-    return F.array_sort(F.array_union(F.array_except(tokens(a), tokens(b)), F.array_except(tokens(b), tokens(a))))
+    return one_sided(tokens(a), tokens(b))
+
+
+def one_sided(a: Column, b: Column) -> Column:
+    """Tokens of one of two lists only."""
+    return F.sort_array(F.array_union(F.array_except(a, b), F.array_except(b, a)))
 
 
 def values(text: Column) -> Column:
     """The distinct numbers, versions, prices and acronyms of a statement, sorted."""
+    return values_of(tokens(text))
+
+
+def values_of(words: Column) -> Column:
     value = lambda t: t.rlike(r"\d|^[.,:/%_+-]*[A-Z][A-Z0-9]{1,5}[.,:/%_+-]*$")
-    return F.array_sort(F.array_distinct(F.filter(tokens(text), value)))
+    return F.sort_array(F.array_distinct(F.filter(words, value)))
 
 
 def values_differ(a: Column, b: Column) -> Column:
@@ -35,15 +44,22 @@ def values_differ(a: Column, b: Column) -> Column:
     return values(a) != values(b)
 
 
-def stem(token: Column) -> Column:
-    bare = F.regexp_replace(F.lower(token), r"""^[.,:;/%_+'"()\[\]-]+|[.,:;/%_+'"()\[\]-]+$""", "")
+def stems(lines: Column) -> Column:
+    """A token in each line: its stem, or nothing for a function word."""
+    bare = F.regexp_replace(F.lower(lines), r"""(?m)^[.,:;/%_+'"()\[\]-]+|[.,:;/%_+'"()\[\]-]+$""", "")
     # the longest suffix is tried first
-    return F.regexp_replace(bare, rf"(?s)^(.{{3,}}?)({'|'.join(SUFFIXES)})\z", "$1")
+    cut_off = F.regexp_replace(bare, rf"(?m)^(.{{3,}}?)({'|'.join(SUFFIXES)})$", "$1")
+    return F.regexp_replace(cut_off, rf"(?m)^(?:{'|'.join(FUNCTION_WORDS)})$", "")
 
 
 def content(text: Column) -> Column:
     """Stems of a statement's content words, repeats kept."""
-    return F.filter(F.transform(tokens(text), stem), lambda s: (s != "") & ~s.isin(FUNCTION_WORDS))
+    return content_of(tokens(text))
+
+
+def content_of(words: Column) -> Column:
+    # tokens hold no line breaks; all of a statement's are stemmed at once, since a lambda would be interpreted for each
+    return F.array_remove(F.split(stems(F.array_join(words, "\n")), "\n"), "")
 
 
 def numbered(words: Column) -> Column:
@@ -65,3 +81,19 @@ def shared(a: Column, b: Column) -> Column:
 def overlap(a: Column, b: Column) -> Column:
     """Shared content words, repeats counted, over the longer statement's; 0 without words."""
     return numbered_overlap(numbered(a), numbered(b))
+
+
+CUT = ["_words", "_values", "_stems"]
+
+
+def cut(pieces: DataFrame, text: str) -> DataFrame:
+    """Rows with CUT: tokens, values and content words of a text, each made once."""
+    own = pieces.withColumn("_words", tokens(F.col(text)))
+    return own.withColumns({"_values": values_of(F.col("_words")), "_stems": content_of(F.col("_words"))})
+
+
+def stated(left: list[Column], right: list[Column]) -> list[Column]:
+    """CUT of statements that are two texts with a blank between, from the CUT of both; their content words are yet to be numbered. No token holds a
+    blank, so those of both follow each other, and texts that many statements share are cut once."""
+    words, values, stems = zip(left, right, strict=True)
+    return [F.concat(*words).alias(CUT[0]), F.sort_array(F.array_distinct(F.concat(*values))).alias(CUT[1]), F.concat(*stems).alias(CUT[2])]

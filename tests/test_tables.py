@@ -172,3 +172,11 @@ def test_novel_lines_equal_brute_force(spark, seed):
 def test_all_white_space_is_one_space(spark):
     df = spark.createDataFrame([("a   b　\n\x1fc ",), ("a b c",), (None,)], "t string")
     assert [r[0] for r in df.select(screening.spaced("t")).collect()] == ["a b c", "a b c", None]
+
+
+def test_writers_are_counted_without_three_rows_of_each_mention(spark):
+    episodes = spark.createDataFrame([("e1", "a", None, None, None, 3), ("e1", "a", None, None, None, 1), ("e2", "a", None, None, None, 2), ("e3", "b", "s", None, None, 5)], "uuid string, agent string, session string, model string, host string, at long")
+    facts = spark.createDataFrame([("f1", "y", ["e1", "e1", "e2", None]), ("f1", "x", ["e2"]), ("f2", None, ["e2", "gone"]), (None, "z", ["e1"]), ("f3", "x", None)], "uuid string, group_id string, episodes array<string>")
+    found = lineage.written(episodes, facts)
+    assert "Expand" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(tuple(r) for r in found.collect()) == [("a", None, None, None, 2, 2, ["x", "y", "z"], 1, 3), ("b", "s", None, None, 1, 0, [], 5, 5)]

@@ -180,3 +180,21 @@ def test_writers_are_counted_without_three_rows_of_each_mention(spark):
     found = lineage.written(episodes, facts)
     assert "Expand" not in found._jdf.queryExecution().optimizedPlan().toString()
     assert sorted(tuple(r) for r in found.collect()) == [("a", None, None, None, 2, 2, ["x", "y", "z"], 1, 3), ("b", "s", None, None, 1, 0, [], 5, 5)]
+
+
+def shuffled_rows(spark, group, run):
+    """Rows that ``run`` writes to shuffles."""
+    spark.sparkContext.setJobGroup(group, group)
+    run()
+    tracker, store = spark.sparkContext.statusTracker(), spark.sparkContext._jsc.sc().statusStore()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    stages = {s for job in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(job).stageIds}
+    return sum(store.lastStageAttempt(s).shuffleWriteRecords() for s in stages)
+
+
+def test_appends_shuffle_nothing_and_compactions_each_row_once(spark):
+    rows = versions(spark, [(f"u{i}", f"s{i % 2}", "n", 1, 0) for i in range(1000)])
+    facts = FactTable(spark, shared_dir(spark), rows.schema)
+    assert shuffled_rows(spark, "append", lambda: facts.append(rows)) == 0
+    assert 1000 <= shuffled_rows(spark, "compact", facts.compact) < 1100
+    assert facts.read().count() == 1000

@@ -14,8 +14,8 @@ from pyspark.sql import types as T
 from tidemark.operators.temporal import latest
 from tidemark.sources.shared import remove
 
-#: Files of one scope in a compaction.
-SPREAD = 16
+#: Of batches and compacted rows; rows are written twice, so size counts.
+CODEC = "zstd"
 
 
 class FactTable:
@@ -43,10 +43,9 @@ class FactTable:
         return self.spark.read.schema(T.StructType(fields)).option("basePath", f"{self.path}/{folder}").parquet(f"{self.path}/{folder}")
 
     def append(self, versions: DataFrame) -> int:
-        """Add versions as one batch, written by scope; returns its number. A batch whose write was stopped has no marker and is not read."""
+        """Add versions as one batch, written by scope where they are; returns its number. A batch whose write was stopped has no marker and is not read."""
         number = max(self._numbers("log"), default=-1) + 1
-        rows = versions.select(*self.columns).repartition(self.scope, F.pmod(F.xxhash64(self.key), F.lit(SPREAD)))
-        rows.write.partitionBy(self.scope).parquet(f"{self.path}/log/batch={number}")
+        versions.select(*self.columns).write.partitionBy(self.scope).parquet(f"{self.path}/log/batch={number}", compression=CODEC)
         return number
 
     def _manifest(self) -> tuple[DataFrame | None, int]:
@@ -87,8 +86,8 @@ class FactTable:
         run = max([*self._numbers("state"), *self._numbers("manifest")], default=-1) + 1
         touched = pending.select(self.scope).distinct()
         rows = pending if named is None else pending.unionByName(self._state(named.join(touched, self.scope, "left_semi")))
-        now = latest(rows, self.key, *self.order).repartition(self.scope, F.pmod(F.xxhash64(self.key), F.lit(SPREAD)))
-        now.write.partitionBy(self.scope).parquet(f"{self.path}/state/run={run}")
+        now = latest(rows, self.key, *self.order)
+        now.write.partitionBy(self.scope).parquet(f"{self.path}/state/run={run}", compression=CODEC)
         fresh = touched.select(self.scope, F.lit(run).cast("long").alias("run"))
         whole = fresh if named is None else fresh.unionByName(named.join(touched, self.scope, "left_anti"))
         whole.withColumn("upto", F.lit(batch).cast("long")).coalesce(1).write.parquet(f"{self.path}/manifest/run={run}")

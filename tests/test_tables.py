@@ -6,13 +6,15 @@ import os
 import random
 import re
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import screening
 from tidemark.operators import evaluate, lineage, proposals, retrieve, temporal
+from tidemark.plans import table_queries
 from tidemark.sources.facttable import FactTable
-from tidemark.sources.shared import shared_dir
+from tidemark.sources.shared import saved, shared_dir
 from tidemark.streaming import transcripts
 
 SCHEMA = "uuid string, group_id string, name string, version_ts long, op_seq int"
@@ -198,3 +200,33 @@ def test_appends_shuffle_nothing_and_compactions_each_row_once(spark):
     assert shuffled_rows(spark, "append", lambda: facts.append(rows)) == 0
     assert 1000 <= shuffled_rows(spark, "compact", facts.compact) < 1100
     assert facts.read().count() == 1000
+
+
+def test_few_merges_move_few_facts(spark):
+    rows = [(f"u{i}", "p", "n", dt.date(2026, 1, 1), None, None, False) for i in range(3000)]
+    facts = saved(spark.createDataFrame(rows, "uuid string, group_id string, name string, created_at date, invalid_at date, expired_at date, archived boolean"))
+    proposed = saved(spark.createDataFrame([("m1", "merge", "OPEN", [], None, "u1", "u2"), ("m2", "merge", "OPEN", [], None, "u1", "gone")], "proposal_key string, kind string, status string, scopes array<string>, target string, canonical string, duplicate string"))
+    decisions = proposed.select("proposal_key", F.lit("apply").alias("action"), F.lit(None).cast("string").alias("statement"))
+    got = []
+
+    def run():
+        statuses, made = proposals.apply(proposed, decisions, spark.createDataFrame([], "scope string, statement string"), facts, F.lit(dt.date(2026, 5, 1)))
+        got.extend([rows_of(statuses.select("proposal_key", "status")), rows_of(made.select("uuid", "merged_into"))])
+
+    assert shuffled_rows(spark, "merges", run) < 500
+    assert got == [[("m1", "APPLIED"), ("m2", "OPEN")], [("u2", "u1")]]
+
+
+def test_applied_merges_of_many_copies_equal_sql(spark, tmp_path):
+    rng, con = random.Random(7), duckdb.connect()
+    day = lambda: dt.datetime(2024, 1, 1) + dt.timedelta(rng.randrange(90))
+    orders = [(i, rng.randrange(50), day()) for i in range(300)]
+    # half of the links lead to one part, so that they are copies; the others are mostly single
+    lines = [(rng.randrange(300), n % 7 + 1, rng.choice([1, rng.randrange(10**6)]), n, 1.0, 2.5, 0.1, rng.choice(["R", "N", "A", None]), day()) for n in range(1500)]
+    for name, rows, schema in (("orders", orders, "o_orderkey long, o_custkey long, o_orderdate timestamp_ntz"), ("lineitem", lines, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double, l_extendedprice double, l_discount double, l_returnflag string, l_shipdate timestamp_ntz")):
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+        con.sql(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    query, sql = table_queries.PAIRS["applied_merges"]
+    wanted = con.sql(f"SELECT group_id, active, merged, lost, again FROM ({sql})").fetchall()
+    assert sum(r[2] for r in wanted) > 100
+    assert rows_of(query(spark, str(tmp_path))) == sorted(wanted)

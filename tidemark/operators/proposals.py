@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.temporal import active, merge
+from tidemark.sources.shared import saved
 
 #: A statement that names so many of a promotion's scopes is about them, and not fit for the wider scope.
 MOST_NAMED = 3
@@ -44,13 +45,18 @@ def apply(proposals: DataFrame, decisions: DataFrame, known: DataFrame, facts: D
     ``proposals`` also has ``canonical`` and ``duplicate`` (merges) and ``statement`` comes with the decision (promotions). A merge needs both of its
     facts, which must be active and not the same one; else it stays open ("fact missing"). Of several merges of one duplicate the one with
     the least key counts, the others stay open ("merged already"). A promotion is a new fact of the target scope, whose id follows from the
-    proposal's key, so that carrying it out again gives the same fact.
+    proposal's key, so that carrying it out again gives the same fact. Of the facts only those that merges name are moved; their ids are
+    written to the shared folder when this is called.
     """
     told = settle(proposals, decisions, known)
     live = active(facts)
     merges = told.filter("status = 'APPLIED'").join(proposals.filter("kind = 'merge'").select("proposal_key", "canonical", "duplicate"), "proposal_key")
+    pairs = merges.filter("canonical <> duplicate")
+    # a table of its own, so that its size is known: if it is small, the facts stay where they are
+    ends = saved(pairs.select(F.explode(F.array("canonical", "duplicate")).alias("uuid")).distinct())
+    live = live.join(ends, "uuid", "left_semi")
     there = live.select("uuid").distinct()
-    both = merges.filter("canonical <> duplicate").join(there.withColumnRenamed("uuid", "canonical"), "canonical", "left_semi").join(there.withColumnRenamed("uuid", "duplicate"), "duplicate", "left_semi")
+    both = pairs.join(there.withColumnRenamed("uuid", "canonical"), "canonical", "left_semi").join(there.withColumnRenamed("uuid", "duplicate"), "duplicate", "left_semi")
     first = both.groupBy("duplicate").agg(F.min_by(F.struct("proposal_key", "canonical"), "proposal_key").alias("_m")).select("duplicate", "_m.proposal_key", "_m.canonical")
     failed = merges.select("proposal_key").join(first.select("proposal_key"), "proposal_key", "left_anti").join(both.select("proposal_key", F.lit("merged already").alias("_why")), "proposal_key", "left")
     failed = failed.select("proposal_key", F.coalesce("_why", F.lit("fact missing")).alias("_why"))

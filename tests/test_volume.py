@@ -6,8 +6,8 @@ import random
 from pyspark.sql import functions as F
 
 from tidemark.functions import compare, screening
-from tidemark.operators import admission, audit, graph, scopes
-from tidemark.plans import admission_queries, brief_queries
+from tidemark.operators import admission, audit, graph, scopes, vectors, words
+from tidemark.plans import admission_queries, brief_queries, recall_queries
 from tidemark.streaming import streams
 
 
@@ -129,3 +129,33 @@ def test_write_guard_tells_of_each_retirement(spark):
     for r in rows:
         assert (r.structural is None) == (r.lexical is None) == (r.episode not in wrote)
         assert r.stands == (r.episode not in wrote or (r.structural and r.lexical)) and (r.reason is None) == r.stands
+
+
+def words_by_hand(facts, queries, k):
+    out = set()
+    for q, scope, asked, weights in queries:
+        scores = [(-round(sum(w for t, w in zip(asked, weights, strict=True) if t in own) * weight, 9), u) for u, g, own, weight in facts if g == scope and u != q]
+        out |= {(q, u, -s) for s, u in sorted(x for x in scores if x[0] < 0)[:k]}
+    return out
+
+
+def test_words_lens_by_hand(spark, monkeypatch):
+    """Blocks, common and rare terms, ties, slices and rows without words give the best facts of each query."""
+    rng = random.Random(5)
+    some = lambda n: [w for w in (f"w{int(200 * rng.random() ** 3)}" for _ in range(n))]
+    facts = [(u, rng.choice("pq"), sorted(set(some(rng.randrange(12)))), rng.choice([0.5, 1.0, 1.25])) for u in range(150)]
+    queries = [(u, g, w, [rng.choice([0.25, 1.5, 3.0]) for _ in w]) for u, g, w, _ in facts[::4]] + [(999, "r", ["w1"], [1.0])]
+    df, asked = spark.createDataFrame(facts, "uuid long, group_id string, words array<string>, weight double"), spark.createDataFrame(queries, "uuid long, group_id string, words array<string>, weights array<double>")
+    for block, size, common, matches in ((1024, 4096, 768, 2_000_000), (10, 16, 3, 7), (10, 16, 0, 50)):
+        monkeypatch.setattr(vectors, "BLOCK", block)
+        for name, value in (("FACTS", size), ("COMMON", common), ("MATCHES", matches)):
+            monkeypatch.setattr(words, name, value)
+        got = [tuple(r) for r in words.nearest(df, asked, 5).collect()]
+        assert len(got) == len(set(got)) and set(got) == words_by_hand(facts, queries, 5)
+
+
+def test_words_lens_moves_no_row_for_each_shared_term(spark):
+    """400 facts and 16 queries of one scope share 20 terms each: a row for each of those was 128,000."""
+    rows = [(u, "p", [f"w{i}" for i in range(20)]) for u in range(400)]
+    facts = spark.createDataFrame(rows, "uuid long, group_id string, words array<string>")
+    assert moved(spark, lambda: recall_queries.lexical(facts).count()) < 8000

@@ -6,8 +6,8 @@ import random
 from pyspark.sql import functions as F
 
 from tidemark.functions import compare, screening
-from tidemark.operators import admission, audit, graph, scopes, vectors, words
-from tidemark.plans import admission_queries, brief_queries, recall_queries
+from tidemark.operators import admission, audit, evaluate, graph, scopes, vectors, words
+from tidemark.plans import admission_queries, brief_queries, grid_queries, recall_queries
 from tidemark.streaming import streams
 
 
@@ -159,3 +159,12 @@ def test_words_lens_moves_no_row_for_each_shared_term(spark):
     rows = [(u, "p", [f"w{i}" for i in range(20)]) for u in range(400)]
     facts = spark.createDataFrame(rows, "uuid long, group_id string, words array<string>")
     assert moved(spark, lambda: recall_queries.lexical(facts).count()) < 8000
+
+
+def test_grid_judges_a_text_once_for_its_query(spark, monkeypatch):
+    """Texts and words go to a query once, not once for each configuration that has the fact among its best."""
+    seen, judged = [], evaluate.judged
+    monkeypatch.setattr(evaluate, "judged", lambda results, *args, **how: seen.append(results) or judged(results, *args, **how))
+    grid_queries.grid_outcomes(spark, "/root/testdata/sf0.001", [{}, {"pool": 16}, {"cap": 1}])
+    rows = [tuple(r) for r in seen[0].select("query", "uuid").collect()]
+    assert len(rows) == len(set(rows)) >= 20

@@ -169,3 +169,12 @@ def test_bm25_multiplies_common_terms_and_tells_near_scores_apart():
         scores = np.round(np.bincount(doc, np.where(np.isin(terms[places], own), idf[places] * impact, 0), len(texts)), 9)
         best = [i for i in np.lexsort((np.arange(len(texts)), -scores))[:10].tolist() if scores[i] > 0]
         assert got.get(name, ([], [])) == (best, scores[best].tolist())
+
+
+def test_bm25_makes_a_shards_lists_for_many_queries_at_a_time(spark):
+    """A partition of queries, for which each shard is made anew, holds 3 million terms; before, 800,000."""
+    from tidemark.llm import bm25
+
+    asked = spark.createDataFrame([], "query_id long, t array<struct<term:long,idf:double>>, floor double")
+    assert bm25.query_blocks(asked, 3_000_000, 10_000).rdd.getNumPartitions() == 1
+    assert bm25.query_blocks(asked, 8_000_000, 30_000).rdd.getNumPartitions() == 2
